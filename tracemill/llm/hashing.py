@@ -111,25 +111,25 @@ def shingle_sets(texts: list, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)), np.cumsum(out)
 
 
-def window_hashes(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of codes[s : s + width] for all s in starts (Karp-Rabin over prefix sums, in pieces)."""
+def window_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes codes[s:e] for the ascending starts and ends (Karp-Rabin over prefix sums, in pieces)."""
     out = np.empty(len(starts), dtype=np.uint64)
     a = 0
     while a < len(starts):
         base = int(starts[a])
         b = int(np.searchsorted(starts, base + PIECE))
-        span = codes[base : int(starts[b - 1]) + width]
-        prefix = np.zeros(len(span) + 1, dtype=np.uint64)
-        p = powers(len(span) + 1)
-        np.cumsum(_BYTE[span & 0xFF] * p[:-1] if codes.dtype == np.uint8 else mix(span.astype(np.uint64) + _STEP) * p[:-1], out=prefix[1:])
-        at = starts[a:b] - base
-        diff = prefix[at + width] - prefix[at]
+        span = codes[base : int(ends[a:b].max())]
+        n = len(span)
+        p = powers(n + 1)
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[span] * p[:-1], out=prefix[1:])
+        s, e = starts[a:b] - base, ends[a:b] - base
         # scaled to a common power, so equal windows agree wherever they stand in any text
-        out[a:b] = mix(diff * p[len(span) - at] * _inverse_scale(len(span)))
+        out[a:b] = mix((prefix[e] - prefix[s]) * p[n - s] * _down(n) + (e - s).astype(np.uint64))
         a = b
     return out
 
 
-def _inverse_scale(n: int) -> np.uint64:
-    """BASE**-n modulo 2**64; with it the scale does not depend on the piece."""
+def _down(n: int) -> np.uint64:
+    """BASE**-n modulo 2**64."""
     return np.uint64(pow(pow(int(_BASE), -1, 1 << 64), n, 1 << 64))

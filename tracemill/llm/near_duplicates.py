@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .classes import expand_pairs
 from .hashing import mix, shingle_sets
 
 
@@ -149,12 +150,7 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: every pair of similar texts, copies included."""
-        copies = self.members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
-        both = self.links.select("a", "b").union(copies.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        left = self.members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
-        right = self.members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-        wide = both.join(left, "a").join(right, "b").where("a <> b or x < y")
-        return wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return expand_pairs(self.links, self.members)
 
     def classes(self) -> DataFrame:
         """(id, class_id, links): one row per text; links counts the representatives linked to its own."""

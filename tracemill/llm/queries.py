@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table
+from .arrivals import repeats
 from .corpus import code_blobs
 from .near_duplicates import near_duplicates
+from .shared_spans import shared_spans
 
 CODE_SIMILARITY = 0.6
 
@@ -22,5 +25,34 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select(F.col("id").alias("blob_id"), "class_id", "links")
 
 
-QUERIES = {"p6_found": p6_found, "p6_groups": p6_groups}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = shared_spans(code_blobs(spark, folder), "id", "source", 240).pairs()
+    return pairs.select(F.col("a").alias("blob_id_a"), F.col("b").alias("blob_id_b"))
+
+
+def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each code blob stands in another one too."""
+    return shared_spans(code_blobs(spark, folder), "id", "source", 240).coverage().withColumnRenamed("id", "blob_id")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats(code_blobs(spark, folder), table(spark, folder, "arrivals"), CODE_SIMILARITY).select("arrival_id", "kind")
+
+
+def p4_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeats of each batch by kind."""
+    arrivals = table(spark, folder, "arrivals")
+    found = repeats(code_blobs(spark, folder), arrivals, CODE_SIMILARITY)
+    kinds = arrivals.join(found, "arrival_id", "left").groupBy("batch_no")
+    return kinds.agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_shared": p2_shared,
+    "p4_found": p4_found,
+    "p4_batches": p4_batches,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
+}
 ORACLES: dict = {}
