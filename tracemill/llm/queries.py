@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..session import table
 from .arrivals import repeats
 from .corpus import code_blobs
+from .leakage import leaks
 from .near_duplicates import near_duplicates
 from .shared_spans import shared_spans
+from .truncation import truncated
 
 CODE_SIMILARITY = 0.6
 
@@ -47,6 +49,36 @@ def p4_batches(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", 13)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """For each item the documents it leaked into and the greatest share of it that one of them covers."""
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count_distinct("id").alias("documents"), F.max(F.col("words") / F.col("item_words")).alias("coverage"))
+    items = table(spark, folder, "eval_items").select("item_id", "task")
+    return items.join(found, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def _truncated(spark: SparkSession, folder: str) -> DataFrame:
+    return truncated(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncated(spark, folder).where("cause is not null").select(F.col("id").alias("doc_id"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates, by cause."""
+    rows = _truncated(spark, folder).groupBy("source")
+    rates = rows.agg(F.count("*").alias("documents"), F.count_if(F.col("cause") == "limit").alias("at_limit"), F.count_if(F.col("cause") == "transfer").alias("in_transfer"))
+    return rates.withColumn("rate", (F.col("at_limit") + F.col("in_transfer")) / F.col("documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_shared": p2_shared,
@@ -54,5 +86,9 @@ QUERIES = {
     "p4_batches": p4_batches,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
+    "p9_found": p9_found,
+    "p9_items": p9_items,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 ORACLES: dict = {}
