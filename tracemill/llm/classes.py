@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def text_classes(texts: DataFrame) -> DataFrame:
-    """(id, rep): rep is the least id with the same text. texts has (id, text), both not null."""
-    named = texts.select("id", F.sha2("text", 256).alias("name")).distinct()
-    least = named.groupBy("name").agg(F.min("id").alias("rep"))
-    return named.join(least, "name").select("id", "rep")
-
-
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of ids from links (a, b) between representatives, plus the pairs within a class."""
     copies = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
