@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .classes import among
 from .corpus import canonical_source
 from .history import HISTORY, PrefixIndex
 
@@ -26,7 +27,8 @@ def repeats(history: DataFrame, arrivals: DataFrame, threshold: float = 0.8, k:
     named = materialise(old.select("ref", "batch", name).union(new.select("ref", "batch", name)))
     first = named.groupBy("name").agg(F.min(F.struct("batch", "ref")).alias("first"))
     later = named.where(F.col("batch") > HISTORY).join(first, "name").select("ref", (F.struct("batch", "ref") > F.col("first")).alias("repeated"))
-    distinct = old.select("ref", "text").join(first.where(F.col("first.batch") == HISTORY).select(F.col("first.ref").alias("ref")), "ref", "left_semi")
+    copies = named.where(F.col("batch") == HISTORY).join(first, "name").where(F.col("ref") > F.col("first.ref")).select("ref").distinct()
+    distinct = among(old.select("ref", "text"), "ref", copies, keep=False)
 
     index = PrefixIndex.build(distinct, threshold, k)
     index.append(new)

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_BROADCAST_IDS = 1_000_000
+
+
+def among(texts: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of texts whose key is (or is not) among the distinct ids, a one-column table of the same name.
+
+    Up to MOST_BROADCAST_IDS ids (8 MB) are counted and then sent to the texts; beyond that both sides are shuffled.
+    """
+    few = ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, key, "left_semi" if keep else "left_anti")
+
+
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of ids from links (a, b) between representatives, plus the pairs within a class."""
     copies = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")

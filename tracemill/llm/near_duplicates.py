@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .classes import expand_pairs
+from .classes import among, expand_pairs
 from .hashing import mix, shingle_sets
 
 
@@ -135,6 +135,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
             keep = [i for i, s in enumerate(out) if s and s >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], t) for z, t in ((a, pa.int64()), (b, pa.int64()), (out, pa.float64()))], names=["a", "b", "similarity"])
 
+    pairs = materialise(pairs.select("a", "b"))
+    texts = among(texts, "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     wide = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
