@@ -11,6 +11,7 @@ from .corpus import code_blobs
 from .leakage import leaks
 from .near_duplicates import near_duplicates
 from .shared_spans import shared_spans
+from .survivorship import shape_origins_of
 from .truncation import truncated
 
 CODE_SIMILARITY = 0.6
@@ -27,6 +28,17 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select(F.col("id").alias("blob_id"), "class_id", "links")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = shape_origins_of(spark, folder).where("origin_project_id is not null")
+    return found.select("shape_hash", "origin_project_id", "top_project_id")
+
+
+def p1_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged record of every shape that two or more projects hold."""
+    rows = shape_origins_of(spark, folder)
+    return rows.select("shape_hash", "projects", "origin_project_id", F.unix_micros("origin_at").alias("origin_micros"), "top_project_id", "downloads")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = shared_spans(code_blobs(spark, folder), "id", "source", 240).pairs()
     return pairs.select(F.col("a").alias("blob_id_a"), F.col("b").alias("blob_id_b"))
@@ -80,6 +92,8 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_merged": p1_merged,
     "p2_found": p2_found,
     "p2_shared": p2_shared,
     "p4_found": p4_found,
@@ -91,4 +105,37 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
-ORACLES: dict = {}
+_P1 = r"""
+WITH texts AS (
+  SELECT id, project_id, indexed_at, trim(first_published) AS s FROM releases WHERE project_id IS NOT NULL
+), instants AS (
+  SELECT id, project_id, indexed_at, CASE
+    WHEN regexp_full_match(s, '-?\d{1,15}') THEN make_timestamp(try_cast(s AS BIGINT) * 1000)
+    WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}') THEN try_cast(s AS TIMESTAMP)
+    WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?') THEN try_cast(s AS TIMESTAMP)
+    WHEN regexp_full_match(s, '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})') THEN try_cast(s AS TIMESTAMPTZ) AT TIME ZONE 'UTC'
+  END AS born FROM texts
+), dated AS (
+  SELECT id AS release_id, project_id, CASE WHEN born >= TIMESTAMP '2000-01-01' AND born <= indexed_at THEN born END AS born FROM instants
+), held AS (
+  SELECT DISTINCT b.shape_hash, d.project_id, d.born
+  FROM scan_files f JOIN blobs b ON b.id = f.blob_id JOIN dated d USING (release_id)
+  WHERE b.shape_hash IS NOT NULL AND coalesce(lower(trim(b.language)) <> 'text', true)
+), per AS (
+  SELECT h.shape_hash, h.project_id, min(h.born) AS born, max(CASE WHEN p.downloads >= 0 THEN p.downloads END) AS downloads
+  FROM held h LEFT JOIN projects p ON p.id = h.project_id GROUP BY 1, 2
+), merged AS (
+  SELECT shape_hash, count(*) AS projects,
+    first(project_id ORDER BY born NULLS LAST, project_id) AS origin_project_id,
+    min(born) AS origin_at,
+    first(project_id ORDER BY downloads DESC NULLS LAST, project_id) AS top_project_id,
+    max(downloads) AS downloads
+  FROM per GROUP BY 1 HAVING count(*) >= 2
+)
+"""
+ORACLES: dict = {
+    "p1_found": _P1 + "SELECT shape_hash, origin_project_id, top_project_id FROM merged WHERE origin_at IS NOT NULL",
+    "p1_merged": _P1
+    + """SELECT shape_hash, projects, CASE WHEN origin_at IS NOT NULL THEN origin_project_id END AS origin_project_id,
+      epoch_us(origin_at) AS origin_micros, top_project_id, downloads FROM merged""",
+}
