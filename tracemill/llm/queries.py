@@ -12,6 +12,7 @@ from .leakage import leaks
 from .near_duplicates import near_duplicates
 from .shared_spans import shared_spans
 from .survivorship import shape_origins_of
+from .syntax import rates, verdicts, with_language
 from .truncation import truncated
 
 CODE_SIMILARITY = 0.6
@@ -49,6 +50,19 @@ def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans(code_blobs(spark, folder), "id", "source", 240).coverage().withColumnRenamed("id", "blob_id")
 
 
+def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return verdicts(with_language(table(spark, folder, "blobs"), table(spark, folder, "scan_files")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _verdicts(spark, folder).where("verdict in ('failed', 'truncated')").select(F.col("id").alias("blob_id"))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the files of each repository and language that do not parse."""
+    return rates(_verdicts(spark, folder), table(spark, folder, "scan_files"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(code_blobs(spark, folder), table(spark, folder, "arrivals"), CODE_SIMILARITY).select("arrival_id", "kind")
 
@@ -96,6 +110,8 @@ QUERIES = {
     "p1_merged": p1_merged,
     "p2_found": p2_found,
     "p2_shared": p2_shared,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_batches": p4_batches,
     "p6_found": p6_found,
