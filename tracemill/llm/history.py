@@ -3,9 +3,9 @@
 Tokens are the runs of k consecutive words. All sets are ordered alike, rarest token first, so two sets of
 similarity t or more share a token among the first n - ceil(t n) + 1 of each. Only these prefixes are posted. The
 index is a table bucketed by token: a probe moves the batch's prefixes to the postings and leaves history where it
-lies; an append adds the batch's postings. The order is fixed when the index is made: token counts of the history,
-kept in a table of 2**ORDER_BITS counters, then the token's hash. It steers speed alone; any order gives the same
-result.
+lies; an append adds the batch's postings. The order is fixed when the index is made: the level of the token in a
+table of the MOST_FREQUENT tokens of the history, then the token's hash. It steers speed alone; any order gives the
+same result.
 """
 
 from __future__ import annotations
@@ -23,42 +23,49 @@ from ..session import scratch_path
 from .hashing import shingle_sets
 from .near_duplicates import verified
 
-ORDER_BITS = 18
+LOCAL = 3
+MOST_FREQUENT = 1 << 17
 HISTORY = -(2**31)
 
 
-def token_counts(texts: DataFrame, k: int) -> np.ndarray:
-    """Counters of all tokens of texts (ref, text), 2**ORDER_BITS of them whatever the size of the input."""
+def frequent_tokens(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens of texts (ref, text), sorted, and the binary logarithms of their counts.
+
+    All tokens are counted in blocks; those seen LOCAL times in a block are summed over the blocks, and the
+    MOST_FREQUENT greatest sums make the table, whatever the size of the input.
+    """
 
     def run(batches):
-        total = np.zeros(1 << ORDER_BITS, dtype=np.int64)
         for batch in batches:
             sets, _ = shingle_sets(batch.column(0).to_pylist(), k)
-            total += np.bincount((sets >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["slot", "n"])
+            token, n = np.unique(sets, return_counts=True)
+            often = n >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << ORDER_BITS, dtype=np.int64)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
-    return out
+    counted = texts.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
+    token = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
+    at = np.argsort(token)
+    return token[at], np.log2(top["n"].to_numpy(dtype=np.float64))[at].astype(np.uint8)
 
 
-def coarse(counts: np.ndarray) -> np.ndarray:
-    """Counters as classes: 0 for all that lie near the middle or below, then the binary logarithm of the excess."""
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)), 0, 255).astype(np.uint8)
+def rarity(sets: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0 for tokens outside the table of frequent ones, else the logarithm of their count."""
+    token, level = order
+    if not len(token):
+        return np.zeros(len(sets), dtype=np.uint8)
+    at = np.minimum(np.searchsorted(token, sets), len(token) - 1)
+    return np.where(token[at] == sets, level[at], 0)
 
 
-def prefixes(texts: DataFrame, order: np.ndarray, threshold: float, k: int) -> DataFrame:
+def prefixes(texts: DataFrame, order: tuple[np.ndarray, np.ndarray], threshold: float, k: int) -> DataFrame:
     """(token, ref, batch, pos, n): the rarest tokens of each text (ref, batch, text), as many as the threshold asks for."""
     shared = texts.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        classes = shared.value
         for batch in batches:
             sets, offsets = shingle_sets(batch.column(2).to_pylist(), k)
-            kind = classes[(sets >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+            kind = rarity(sets, shared.value)
             tokens, sizes, full = [], [], []
             for i in range(batch.num_rows):
                 a, b = offsets[i], offsets[i + 1]
@@ -89,7 +96,7 @@ class PrefixIndex:
     spark: SparkSession
     threshold: float
     k: int
-    order: np.ndarray
+    order: tuple[np.ndarray, np.ndarray]
     buckets: int
     name: str
     path: str
@@ -101,7 +108,7 @@ class PrefixIndex:
         spark = history.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"postings_{uuid.uuid4().hex}"
-        index = cls(spark, threshold, k, coarse(token_counts(history, k)), buckets, name, scratch_path(spark, "postings"))
+        index = cls(spark, threshold, k, frequent_tokens(history, k), buckets, name, scratch_path(spark, "postings"))
         index.append(history.select("ref", F.lit(HISTORY).alias("batch"), "text"))
         return index
 
@@ -138,7 +145,7 @@ class PrefixIndex:
         for more in self.texts[1:]:
             texts = texts.union(more)
         texts = texts.select(F.col("ref").alias("id"), "text")
-        return verified(self.candidates(batch), texts, self.k, self.threshold)
+        return verified(self.candidates(batch), batch.select(F.col("ref").alias("id"), "text"), texts, self.k, self.threshold)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")

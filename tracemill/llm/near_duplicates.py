@@ -111,8 +111,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int, p: Sketch) -> Da
     return narrow.mapInArrow(run, "id bigint, n bigint, lo bigint, hi bigint, registers binary, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose exact similarity reaches the threshold; texts has (id, text)."""
+def verified(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the pairs (a, b) whose exact similarity reaches the threshold; the texts are (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -136,9 +136,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], t) for z, t in ((a, pa.int64()), (b, pa.int64()), (out, pa.float64()))], names=["a", "b", "similarity"])
 
     pairs = materialise(pairs.select("a", "b"))
-    texts = among(texts, "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    side = lambda texts, i: among(texts, "id", pairs.select(F.col(i).alias("id")).distinct()).select(F.col("id").alias(i), F.col("text").alias(f"text_{i}"))
+    left, right = side(texts_a, "a"), side(texts_b, "b")
     wide = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return wide.mapInArrow(run, "a bigint, b bigint, similarity double")
 
@@ -194,4 +193,4 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     sized = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-6
     likely_pairs = candidates.join(side("a"), "a").join(side("b"), "b").where(sized).where(plausible("ra", "rb", "na", "nb")).select("a", "b")
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return NearDuplicates(verified(likely_pairs, texts, k, threshold).dropDuplicates(["a", "b"]), members)
+    return NearDuplicates(verified(likely_pairs, texts, texts, k, threshold).dropDuplicates(["a", "b"]), members)
