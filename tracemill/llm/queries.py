@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .arrivals import repeats
 from .corpus import code_blobs
+from .handwritten import not_handwritten
 from .leakage import leaks
 from .near_duplicates import near_duplicates
 from .shared_spans import shared_spans
@@ -75,6 +76,19 @@ def p4_batches(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"))
 
 
+def _not_handwritten(spark: SparkSession, folder: str) -> DataFrame:
+    return not_handwritten(*(table(spark, folder, name) for name in ("blobs", "scan_files", "releases", "projects")))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _not_handwritten(spark, folder).where("size(reasons) > 0").select("file_id")
+
+
+def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Code files by the set of reasons they are not written by hand for."""
+    return _not_handwritten(spark, folder).groupBy(F.concat_ws("+", "reasons").alias("reasons")).agg(F.count("*").alias("files"))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", 13)
 
@@ -116,6 +130,8 @@ QUERIES = {
     "p4_batches": p4_batches,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
+    "p7_found": p7_found,
+    "p7_kinds": p7_kinds,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
