@@ -10,7 +10,9 @@ from .arrivals import repeats
 from .corpus import code_blobs
 from .handwritten import not_handwritten
 from .leakage import leaks
+from .licenses import findings, licenses
 from .near_duplicates import near_duplicates
+from .packing import pack, token_counts
 from .shared_spans import shared_spans
 from .survivorship import shape_origins_of
 from .syntax import rates, verdicts, with_language
@@ -19,6 +21,21 @@ from .truncation import truncated
 CODE_SIMILARITY = 0.6
 
 
+def _licenses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return licenses(*(table(spark, folder, name) for name in ("blobs", "scan_files", "releases")))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return findings(*_licenses(spark, folder))
+
+
+def p5_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The licences of every code file: its own, or else those of its release."""
+    own, release = F.col("own"), F.col("release")
+    applies = F.when(F.size(own) > 0, own).otherwise(release)
+    return _licenses(spark, folder)[1].select("id", F.array_join(applies, " OR ").alias("licenses"), (F.size(own) > 0).alias("own_statement"), "finding")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near_duplicates(code_blobs(spark, folder), "id", "source", CODE_SIMILARITY).pairs()
     return pairs.select(F.col("a").alias("blob_id_a"), F.col("b").alias("blob_id_b"))
@@ -89,6 +106,20 @@ def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return _not_handwritten(spark, folder).groupBy(F.concat_ws("+", "reasons").alias("reasons")).agg(F.count("*").alias("files"))
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document assigned to a container of each capacity."""
+    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
+    containers = [(r[0], r[1]) for r in table(spark, folder, "containers").select("container", "capacity_tokens").limit(1000).collect()]
+    return pack(sizes, containers).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used and the share of their capacity that is filled."""
+    bins = p8_packed(spark, folder).groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("tokens"))
+    used = bins.groupBy("container", "capacity").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return used.withColumn("least_bins", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.col("tokens") / (F.col("bins") * F.col("capacity")))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text", 13)
 
@@ -128,10 +159,14 @@ QUERIES = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_batches": p4_batches,
+    "p5_found": p5_found,
+    "p5_files": p5_files,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_kinds": p7_kinds,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_items": p9_items,
     "p10_found": p10_found,
