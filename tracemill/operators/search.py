@@ -59,7 +59,11 @@ def documents(files: DataFrame, profile: Profile = SOURCE_SEARCH) -> DataFrame:
 
 
 def _exploded(df: DataFrame, *keys: str) -> DataFrame:
-    both = F.flatten(F.array(*[F.transform(f"hashes_{r}", lambda x, r=r: F.struct(F.lit(r).alias("representation"), x["hash"].alias("hash"), x["position"].alias("position"))) for r in ("preserving", "normalized")]))
+
+    def named(r: str):
+        return F.transform(f"hashes_{r}", lambda x: F.struct(F.lit(r).alias("representation"), x["hash"].alias("hash"), x["position"].alias("position")))
+
+    both = F.concat(named("preserving"), named("normalized"))
     return df.select(*keys, language_family("language").alias("family"), F.explode(both).alias("p")).select(*keys, "family", "p.*")
 
 

@@ -2,6 +2,605 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import constants as C
+from .constants import PIPELINE, SOURCE_SEARCH
+from .functions import arrow as A
+from .functions import columns as X
+from .operators import corpus, history, license, provenance, search, similarity
+from .session import table
+from .streaming import events as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "shape_clusters"
+
+IS_CODE = "coalesce(lower(trim(language)) <> 'text', true)"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with the SQL that checks it."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLES[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    return [table(spark, folder, n) for n in names]
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_id, language, source) of the code blobs, the language in its usual spelling."""
+    low = F.lower(F.trim("language"))
+    name = F.when(low.isin("py", "python"), "python").when(low.isin("ts", "typescript"), "typescript").otherwise("javascript")
+    return table(spark, folder, "blobs").where(F.expr(IS_CODE) & F.col("source").isNotNull()).select(F.col("id").alias("file_id"), name.alias("language"), "source")
+
+
+def _occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.occurrences(*_tables(spark, folder, "blobs", "scan_files", "releases", "projects"))
+
+
+# --- duplicates and frequencies
+
+
+@query("""
+SELECT h AS exact_hash, count(*) AS blobs, min(id) AS first_id FROM (
+  SELECT id, sha256(regexp_replace(regexp_replace(source, '\\r\\n?', chr(10), 'g'), '[ \\t]+(\\n|$)', '\\1', 'g')) AS h FROM blobs WHERE source IS NOT NULL
+) GROUP BY h
+""")
+def exact_clusters(spark, folder):
+    """Blobs of one cleaned source."""
+    blobs = table(spark, folder, "blobs").where("source is not null").select("id", X.exact_hash("source").alias("exact_hash"))
+    return blobs.groupBy("exact_hash").agg(F.count("*").alias("blobs"), F.min("id").alias("first_id"))
+
+
+_OCCURRENCES = """
+WITH o AS (
+  SELECT f.id AS file_id, f.path, b.id AS blob_id, b.shape_hash, b.language, r.project_id, r.version, r.license_spdx, r.first_published, p.ecosystem, p.name, p.rank, p.downloads
+  FROM scan_files f JOIN blobs b ON b.id = f.blob_id JOIN releases r ON r.id = f.release_id JOIN projects p ON p.id = r.project_id
+)
+"""
+
+
+@query(_OCCURRENCES + "SELECT shape_hash, count(*) AS occurrences, count(DISTINCT project_id) AS project_count FROM o WHERE shape_hash IS NOT NULL GROUP BY 1")
+def shape_clusters(spark, folder):
+    """Files of one shape, and the projects that hold it."""
+    return corpus.clusters(_occurrences(spark, folder), "shape_hash")
+
+
+_FREQUENCY = """
+WITH prints AS (
+  SELECT DISTINCT b.shape_hash AS cluster, x.hash AS hash FROM fingerprints f JOIN blobs b ON b.id = f.blob_id, unnest(f.fp_preserving) AS u(x) WHERE b.shape_hash IS NOT NULL
+), held AS (
+  SELECT DISTINCT b.shape_hash AS cluster, r.project_id FROM scan_files f JOIN blobs b ON b.id = f.blob_id JOIN releases r ON r.id = f.release_id WHERE b.shape_hash IS NOT NULL
+), frequency AS (
+  SELECT p.hash, count(DISTINCT p.cluster) AS clusters, count(DISTINCT h.project_id) AS projects
+  FROM prints p LEFT JOIN held h USING (cluster) GROUP BY 1 HAVING count(DISTINCT p.cluster) >= 2
+)
+"""
+
+
+def _frequency(spark, folder):
+    blobs, files, releases, prints = _tables(spark, folder, "blobs", "scan_files", "releases", "fingerprints")
+    shapes = blobs.where("shape_hash is not null").select(F.col("id").alias("blob_id"), F.col("shape_hash").alias("cluster"))
+    hashes = prints.join(shapes, "blob_id").select("cluster", F.explode("fp_preserving.hash").alias("hash"))
+    held = files.select("blob_id", F.col("release_id").alias("id")).distinct().join(releases.select("id", "project_id"), "id").join(shapes, "blob_id").select("cluster", "project_id")
+    return corpus.document_frequency(hashes, held)
+
+
+@query(_FREQUENCY + "SELECT hash, clusters, projects FROM frequency")
+def fingerprint_frequency(spark, folder):
+    """Clusters and projects that hold each fingerprint, from two clusters up."""
+    return _frequency(spark, folder)
+
+
+@query(_FREQUENCY + "SELECT 'preserving' AS representation, hash FROM frequency WHERE clusters >= 30")
+def stoplist(spark, folder):
+    """Fingerprints too common to tell anything."""
+    return corpus.stoplist(_frequency(spark, folder).withColumn("representation", F.lit("preserving")))
+
+
+_RANKED = (
+    _OCCURRENCES
+    + rf"""
+, base AS (
+  SELECT *, lower(path) AS p, regexp_replace(lower(name), '^@[^/]+/', '') AS pkg, string_split(lower(path), '/') AS seg,
+    try_cast(CASE WHEN regexp_full_match(first_published, '\d{{4}}-\d{{2}}-\d{{2}}.*') THEN first_published END AS TIMESTAMPTZ) AS published,
+    greatest(coalesce(downloads, 0), 0) AS dl
+  FROM o WHERE shape_hash IS NOT NULL
+), v AS (
+  SELECT DISTINCT a.file_id FROM base a, unnest(a.seg[:-2]) AS d(s)
+  JOIN (SELECT DISTINCT shape_hash, name, pkg FROM base) n ON n.shape_hash = a.shape_hash AND n.pkg = d.s WHERE n.name <> a.name
+), f AS (
+  SELECT b.*,
+    1.0 / (1.0 + greatest(CASE WHEN published IS NOT NULL AND min(published) OVER w IS NOT NULL
+      THEN (epoch_ms(published) - epoch_ms(min(published) OVER w)) / 86400000.0 ELSE 3650.0 END, 0.0) / 180.0) AS origin,
+    log10(1.0 + dl) / log10(1.0 + greatest(max(dl) OVER w, 1)) AS authority,
+    (regexp_replace(seg[-1], '\.[a-z]+$', '') IN (pkg, replace(pkg, '-', '_')) OR list_contains(seg, pkg) OR list_contains(seg, replace(pkg, '-', '_'))
+      OR (len(list_filter(regexp_split_to_array(pkg, '[^a-z0-9]+'), lambda t: length(t) > 1)) > 0
+        AND len(list_filter(regexp_split_to_array(pkg, '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT contains(p, t))) = 0))::INT AS name_match,
+    (regexp_matches(p, '^(src|lib)/') OR len(seg) = 1 OR seg[1] = replace(pkg, '-', '_'))::INT AS primary_source,
+    regexp_matches(path, '{C.DERIVED_PATH}')::INT AS derived, regexp_matches(path, '{C.AUXILIARY_PATH}')::INT AS auxiliary,
+    (v.file_id IS NOT NULL)::INT AS vendored, coalesce(length(license_spdx) > 0, false)::INT AS license_known
+  FROM base b LEFT JOIN v ON v.file_id = b.file_id WINDOW w AS (PARTITION BY shape_hash)
+), s AS (
+  SELECT *, 2.5 * origin + authority + 1.5 * name_match + 0.8 * primary_source - 2.0 * derived - auxiliary - 3.0 * vendored + 0.3 * license_known AS score FROM f
+), ranked AS (
+  SELECT *, exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w AS probability
+  FROM (SELECT *, max(score) OVER (PARTITION BY shape_hash) AS m FROM s) WINDOW w AS (PARTITION BY shape_hash)
+)
+"""
+)
+
+
+def _ranked(spark, folder):
+    shaped = F.col("first_published").rlike(r"^\d{4}-\d{2}-\d{2}")
+    rows = _occurrences(spark, folder).withColumn("downloads", F.greatest(F.coalesce("downloads", F.lit(0)), F.lit(0)))
+    return corpus.upstream_rank(rows, F.when(shaped, F.try_to_timestamp("first_published")))
+
+
+@query(_RANKED + "SELECT file_id, round(score, 6) AS score, round(probability, 6) AS probability, vendored::DOUBLE AS vendored FROM ranked")
+def upstream_rank(spark, folder):
+    """Score and probability of every occurrence of a shape to be its upstream."""
+    return _ranked(spark, folder).select("file_id", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"), "vendored")
+
+
+@query()
+def corpus_pack(spark, folder):
+    """The exported documents: likely upstreams in rank order, eight of a project, the first thousand."""
+    return corpus.export_pack(_ranked(spark, folder))
+
+
+@query("""
+SELECT ecosystem, status, count(*) AS projects, sum(CASE WHEN downloads > 0 THEN downloads ELSE 0 END)::BIGINT AS downloads FROM projects GROUP BY 1, 2
+""")
+def corpus_statistics(spark, folder):
+    """Projects by ecosystem and status."""
+    return table(spark, folder, "projects").groupBy("ecosystem", "status").agg(F.count("*").alias("projects"), F.sum(F.when(F.col("downloads") > 0, F.col("downloads")).otherwise(0)).alias("downloads"))
+
+
+# --- files
+
+
+_LANGUAGE = "CASE WHEN regexp_matches(lower(path), '\\.(ts|tsx|mts|cts)$') THEN 'typescript' WHEN regexp_matches(lower(path), '\\.(js|jsx|mjs|cjs)$') THEN 'javascript' WHEN regexp_matches(lower(path), '\\.py$') THEN 'python' ELSE 'unknown' END"
+
+
+@query(f"""
+SELECT reason, count(*) AS files FROM (
+  SELECT CASE WHEN regexp_matches(f.path, '{C.SKIPPED_PATH}') THEN 'excluded_path'
+    WHEN {_LANGUAGE} = 'unknown' THEN 'unsupported_type'
+    WHEN strlen(b.source) > 100000 THEN 'too_large'
+    WHEN contains(b.source, chr(0)) THEN 'binary'
+    WHEN regexp_matches(b.source[:600], '{C.GENERATED_HEAD}') THEN 'generated'
+    WHEN list_max(list_transform(string_split(b.source, chr(10)), lambda x: length(x))) > 1000 OR length(b.source) / greatest(len(string_split(b.source, chr(10))), 1) > 250 THEN 'minified'
+    ELSE 'kept' END AS reason
+  FROM scan_files f JOIN blobs b ON b.id = f.blob_id
+) GROUP BY 1
+""")
+def file_selection(spark, folder):
+    """Files that enter the corpus, and the first reason for which others do not."""
+    files, blobs = _tables(spark, folder, "scan_files", "blobs")
+    return corpus.reason_counts(files.join(blobs.select(F.col("id").alias("blob_id"), "source"), "blob_id").select("path", "source"))
+
+
+@query(f"""
+SELECT {_LANGUAGE} AS language, regexp_matches(path, '{C.AUXILIARY_PATH}') AS auxiliary, regexp_matches(path, '{C.AUXILIARY_SCAN_PATH}') AS auxiliary_scan,
+  regexp_matches(path, '{C.DERIVED_PATH}') AS derived, list_has_any(string_split(lower(path), '/'), {C.EXCLUDED_SEGMENTS}) AS excluded, count(*) AS files
+FROM scan_files GROUP BY 1, 2, 3, 4, 5
+""")
+def path_classes(spark, folder):
+    """Files by what their paths say."""
+    files = table(spark, folder, "scan_files")
+    keys = [X.language("path").alias("language"), X.auxiliary("path").alias("auxiliary"), X.auxiliary("path", True).alias("auxiliary_scan"), X.derived("path").alias("derived"), X.in_excluded_directory("path").alias("excluded")]
+    return files.groupBy(*keys).agg(F.count("*").alias("files"))
+
+
+@query("""
+SELECT id, path FROM scan_files
+WHERE NOT (path = 'src' OR starts_with(path, 'src/') OR path = 'docs/snippets' OR starts_with(path, 'docs/snippets/') OR path = 'app' OR starts_with(path, 'app/'))
+""")
+def user_exclusions(spark, folder):
+    """Files outside the excluded files and directories."""
+    return table(spark, folder, "scan_files").where(~X.excluded_by("path", ["src", "docs/snippets", "app"])).select("id", "path")
+
+
+@query(r"""
+SELECT id, length(path) > 0 AND length(path) <= 512 AND NOT regexp_matches(path, '[\\:%\x00-\x1f\x7f]') AND NOT starts_with(path, '/')
+  AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe,
+  regexp_replace(path, '^[^/]*/', '') AS inside FROM scan_files
+""")
+def safe_paths(spark, folder):
+    """Which paths are plain and relative, and what they are inside their root."""
+    return table(spark, folder, "scan_files").select("id", X.safe_path("path").alias("safe"), X.strip_root("path").alias("inside"))
+
+
+_PRIORITY = f"CASE WHEN regexp_matches(path, '{C.AUXILIARY_SCAN_PATH}') THEN 100 ELSE 0 END + CASE WHEN regexp_matches(path, '(?i)^(src|lib|packages|app|pkg)/') THEN -1 ELSE 0 END + len(string_split(path, '/'))"
+
+
+@query(f"""
+SELECT id, release_id FROM (
+  SELECT id, release_id, count(*) OVER w > 8 OR sum(coalesce(bytes, 0)) OVER w > 20000 AS over FROM scan_files
+  WINDOW w AS (PARTITION BY release_id ORDER BY {_PRIORITY}, path, id ROWS UNBOUNDED PRECEDING)
+) WHERE NOT over
+""")
+def file_budget(spark, folder):
+    """Files of each release up to the first that exceeds eight files or 20,000 bytes, product source first."""
+    files = table(spark, folder, "scan_files").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
+    order = [X.path_priority("path"), F.col("path"), F.col("id")]
+    return history.budget_cut(files, ["release_id"], order, "bytes", 8, 20_000).select("id", "release_id")
+
+
+@query("""
+WITH RECURSIVE o AS (
+  SELECT id, release_id, coalesce(bytes, 0) AS bytes, row_number() OVER (PARTITION BY release_id ORDER BY path, id) AS n FROM scan_files
+), t AS (
+  SELECT release_id, 0::BIGINT AS n, 0::BIGINT AS used, 0::BIGINT AS total, NULL::BIGINT AS id, false AS fits FROM (SELECT DISTINCT release_id FROM o)
+  UNION ALL
+  SELECT o.release_id, o.n, t.used + (t.used < 8 AND t.total + o.bytes <= 20000)::INT, t.total + CASE WHEN t.used < 8 AND t.total + o.bytes <= 20000 THEN o.bytes ELSE 0 END, o.id, t.used < 8 AND t.total + o.bytes <= 20000
+  FROM t JOIN o ON o.release_id = t.release_id AND o.n = t.n + 1
+)
+SELECT id, release_id FROM t WHERE fits
+""")
+def upload_budget(spark, folder):
+    """Files of each release that fit one after the other into eight files and 20,000 bytes."""
+    files = table(spark, folder, "scan_files").select("id", "release_id", "path", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    return history.budget_greedy(files, ["release_id"], ["path", "id"], "bytes", 8, 20_000).select("id", "release_id")
+
+
+@query(r"""
+SELECT id, CASE WHEN repository IS NULL OR trim(repository) = '' THEN 'EMPTY'
+    WHEN regexp_matches(trim(repository), '^[a-z]+://[^/]*@') THEN 'CREDENTIALS'
+    WHEN n IS NULL THEN 'UNSUPPORTED' END AS error, n AS name
+FROM (SELECT *, CASE
+    WHEN regexp_full_match(trim(repository), 'https://github\.com/[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9._-]{1,100}?(\.git)?/?') THEN regexp_replace(trim(repository), '^https://github\.com/(.*?)(\.git)?/?$', '\1')
+    WHEN regexp_full_match(trim(repository), '[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9._-]{1,100}?(\.git)?') THEN regexp_replace(trim(repository), '(\.git)?$', '') END AS n FROM releases)
+""")
+def repository_names(spark, folder):
+    """Owner and name of each release's repository address, or why there is none."""
+    name, error = X.repository_of("repository")
+    return table(spark, folder, "releases").select("id", error.alias("error"), name.alias("name"))
+
+
+# --- licences
+
+
+_DETECT = "CASE " + " ".join(f"WHEN regexp_matches(source, '{p}') THEN '{n}'" for n, p in license.SIGNATURES) + " ELSE 'Unknown' END"
+_POLICY = "CASE " + " ".join(f"WHEN l IN ({', '.join(repr(x) for x in names)}) THEN '{status}'" for status, names in license.POLICY.items()) + " ELSE 'UNKNOWN' END"
+
+
+@query(f"SELECT id, l AS license, {_POLICY} AS policy FROM (SELECT id, {_DETECT} AS l FROM blobs WHERE source IS NOT NULL AND NOT {IS_CODE})")
+def license_texts(spark, folder):
+    """The licence whose signature each licence file carries, and its policy."""
+    texts = table(spark, folder, "blobs").where("source is not null").where(f"not {IS_CODE}")
+    found = license.detect("source")
+    return texts.select("id", found.alias("license"), license.policy(found).alias("policy"))
+
+
+@query(f"""
+SELECT release_id, CASE WHEN bool_or(p = 'BLOCKING') THEN 'BLOCKING' WHEN bool_or(p = 'REVIEW') THEN 'REVIEW' WHEN bool_or(p = 'UNKNOWN') AND NOT bool_or(p = 'CLEAR') THEN 'UNKNOWN' ELSE 'CLEAR' END AS policy
+FROM (SELECT release_id, {_POLICY} AS p FROM (SELECT f.release_id, {_DETECT} AS l FROM scan_files f JOIN blobs b ON b.id = f.blob_id WHERE f.path IS NOT NULL AND string_split(f.path, '/')[-1] IN ({", ".join(repr(x) for x in license.LICENSE_FILES)}) AND b.source IS NOT NULL))
+GROUP BY 1
+""")
+def license_policy(spark, folder):
+    """The worst policy among the licence files of each release."""
+    files, blobs = _tables(spark, folder, "scan_files", "blobs")
+    texts = files.where(license.is_license_file(F.col("path"))).join(blobs.where("source is not null").select(F.col("id").alias("blob_id"), license.policy(license.detect("source")).alias("status")), "blob_id")
+    return texts.groupBy("release_id").agg(license.worst_policy("status").alias("policy"))
+
+
+@query()
+def license_names(spark, folder):
+    """Both normal forms of every release's licence fields."""
+    full = license.registry_license(F.array("license_spdx", "license_raw"))
+    return table(spark, folder, "releases").select("id", license.plain_license("license_spdx").alias("plain"), full["spdx"].alias("spdx"), full["family"].alias("family"))
+
+
+_MANIFEST = "concat('{\"dependencies\":{\"', name, '\":\"^', version, '\"}}')"
+
+
+@query("""
+SELECT project_id AS scan_id, concat('pkg:npm/', replace(name, '@', '%40'), '@^', max_by(version, (coalesce(version_published, TIMESTAMP '1970-01-01'), r.id))) AS purl
+FROM releases r JOIN projects p ON p.id = r.project_id GROUP BY project_id, name
+""")
+def manifest_dependencies(spark, folder):
+    """Package addresses of a manifest that names each project's latest release."""
+    releases, projects = _tables(spark, folder, "releases", "projects")
+    latest = corpus.latest_versions(releases.select("project_id", "version", "version_published", "id"), ["project_id"], [F.coalesce("version_published", F.lit("1970-01-01").cast("timestamp_ntz")), F.col("id")])
+    named = latest.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id")
+    manifests = named.select(F.col("project_id").alias("scan_id"), F.lit("package.json").alias("path"), F.to_json(F.struct(F.create_map("name", F.concat(F.lit("^"), "version")).alias("dependencies"))).alias("content"))
+    return license.dependencies(manifests).select("scan_id", X.purl("ecosystem", "name", "version").alias("purl"))
+
+
+@query()
+def bill_of_materials(spark, folder):
+    """A bill of materials of each project's releases taken as dependencies."""
+    releases, projects = _tables(spark, folder, "releases", "projects")
+    rows = releases.join(projects.select(F.col("id").alias("project_id"), "ecosystem", "name"), "project_id")
+    return license.bill_of_materials(rows.select(F.col("project_id").alias("scan_id"), "ecosystem", "name", "version", F.col("id").alias("nth")))
+
+
+# --- tokens, fingerprints and search
+
+
+@query()
+def token_counts(spark, folder):
+    """Tokens and distinct kinds of every code blob in both representations."""
+    rows = _sources(spark, folder)
+    kept, plain = A.kinds(F.col("source"), F.col("language")), A.kinds(F.col("source"), F.col("language"), normalised=True)
+    both = rows.select("file_id", kept.alias("kept"), plain.alias("plain"))
+    return both.select("file_id", F.size("kept").alias("tokens"), F.size(F.array_distinct("kept")).alias("kinds"), F.size(F.array_distinct("plain")).alias("plain_kinds"), X.shape_hash("kept").alias("shape"))
+
+
+@query()
+def pipeline_fingerprints(spark, folder):
+    """Winnowed fingerprints of the one-lexer engine (five tokens, windows of four)."""
+    kinds = A.kinds(F.col("source"), F.col("language"), "pipeline")
+    prints = _sources(spark, folder).select("file_id", A.fingerprints(kinds, PIPELINE).alias("f"))
+    return prints.select("file_id", F.explode("f").alias("p")).select("file_id", "p.hash", "p.position")
+
+
+@query("""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents
+), g AS (
+  SELECT doc_id, i AS position, md5(array_to_string(t[i + 1:i + 5], ' ')) AS h FROM w, unnest(range(0, len(t) - 4)) AS u(i) WHERE len(t) >= 5
+), m AS (
+  SELECT doc_id, min({'h': h, 'back': -position}) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS x,
+    position, max(position) OVER (PARTITION BY doc_id) AS last FROM g
+)
+SELECT DISTINCT doc_id, x.h AS hash, -x.back AS position FROM m WHERE position <= greatest(last - 3, 0)
+""")
+def text_fingerprints(spark, folder):
+    """Winnowed five-word shingles of the documents, in columns alone."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    rows = table(spark, folder, "documents").select("doc_id", words.alias("t")).where(F.size("t") >= 5)
+    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.md5(F.array_join(F.slice("t", i, 5), " ")))
+    hashed = rows.select("doc_id", F.posexplode(grams).alias("position", "h"))
+    part = Window.partitionBy("doc_id")
+    least = F.min(F.struct("h", (-F.col("position")).alias("back"))).over(part.orderBy("position").rowsBetween(0, 3))
+    found = hashed.select("doc_id", least.alias("x"), "position", F.max("position").over(part).alias("last")).where(F.col("position") <= F.greatest(F.col("last") - 3, F.lit(0)))
+    return found.select("doc_id", F.col("x.h").alias("hash"), (-F.col("x.back")).alias("position")).distinct()
+
+
+_CONTAINED = """
+WITH f AS (
+  SELECT DISTINCT g.blob_id, x.hash FROM fingerprints g, unnest(g.fp_preserving) AS u(x)
+), d AS (SELECT hash FROM f GROUP BY 1 HAVING count(*) <= 30),
+size AS (SELECT blob_id, count(*) AS n FROM f GROUP BY 1)
+"""
+
+
+@query(
+    _CONTAINED
+    + """
+SELECT a.blob_id AS probe_id, b.blob_id AS doc_id, count(*) AS shared, round(count(*) / any_value(s.n)::DOUBLE, 6) AS containment,
+  CASE WHEN count(*) / any_value(s.n)::DOUBLE >= 0.85 THEN 'strong_match' ELSE 'review_suggested' END AS band
+FROM f a JOIN f b ON a.hash = b.hash AND a.blob_id <> b.blob_id JOIN d ON d.hash = a.hash JOIN size s ON s.blob_id = b.blob_id
+GROUP BY 1, 2 HAVING count(*) / any_value(s.n)::DOUBLE >= 0.55
+"""
+)
+def blob_containment(spark, folder):
+    """Blobs whose fingerprints another blob holds to 0.55 or more, over fingerprints outside the stoplist."""
+    prints = table(spark, folder, "fingerprints").select("blob_id", F.explode("fp_preserving.hash").alias("hash")).distinct()
+    rare = prints.groupBy("hash").agg(F.count("*").alias("n")).where("n <= 30").select("hash")
+    kept = prints.join(rare, "hash", "left_semi")
+    shared = kept.select(F.col("blob_id").alias("probe_id"), "hash").join(kept.select(F.col("blob_id").alias("doc_id"), "hash"), "hash").where("probe_id <> doc_id").groupBy("probe_id", "doc_id").agg(F.count("*").alias("shared"))
+    sizes = prints.groupBy(F.col("blob_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    score = F.col("shared") / F.col("n")
+    found = shared.join(sizes, "doc_id").where(score >= 0.55)
+    return found.select("probe_id", "doc_id", "shared", F.round(score, 6).alias("containment"), similarity.band(score, F.lit(False), F.lit("CLEAR")).alias("band"))
+
+
+def _search(spark, folder):
+    """Arrivals searched in the corpus of blobs."""
+    low = F.lower(F.trim("language"))
+    asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), low.alias("language"), "source", "path")
+    docs = search.documents(_sources(spark, folder), SOURCE_SEARCH)
+    frequency = search.postings(docs).select("representation", "hash", "doc_id").distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters"))
+    index = search.postings(docs, corpus.stoplist(frequency))
+    regions = search.regions(asked, SOURCE_SEARCH)
+    return asked, regions, docs, search.retrieve(regions, index, docs)
+
+
+@query()
+def search_shortlists(spark, folder):
+    """The twenty best candidates of every region of the arrivals."""
+    return _search(spark, folder)[3].select("file_id", "region", "doc_id", "score", "matched", "common", "rare", "nth")
+
+
+@query()
+def search_findings(spark, folder):
+    """Verified findings of the arrivals, folded per source and cut for the report."""
+    asked, regions, docs, shortlist = _search(spark, folder)
+    return search.report(search.best_per_source(search.verify(shortlist, regions, docs)), asked)
+
+
+# --- events and history
+
+
+_EDITS = """
+WITH e AS (
+  SELECT event_id, user_id, ts, CAST(floor(abs(coalesce(value, 0)) * 10) AS BIGINT) AS chars, CAST(floor(abs(coalesce(value, 0)) / 5) AS BIGINT) AS lines, event_type = 'purchase' AS replacement,
+    epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ms FROM events
+), s AS (
+  SELECT event_id, user_id, ms, CASE
+    WHEN lines >= 8 AND ms IS NOT NULL AND ms <= 400 THEN CASE WHEN replacement THEN 'human_modified_ai' ELSE 'ai_assisted_signal' END
+    WHEN chars >= 400 AND (ms IS NULL OR ms > 400) THEN 'imported'
+    WHEN chars > 0 AND chars <= 40 AND (ms IS NULL OR ms >= 150) THEN CASE WHEN replacement THEN 'human_modified_ai' ELSE 'human_signal' END
+    WHEN chars > 40 AND ms IS NOT NULL AND ms < 150 THEN 'ai_assisted_signal' ELSE 'unknown' END AS signal FROM e
+)
+"""
+
+
+def _edits(spark, folder):
+    """Events taken as edits of one file per user."""
+    size = F.abs(F.coalesce("value", F.lit(0.0)))
+    return table(spark, folder, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), F.floor(size * 10).cast("bigint").alias("chars"), F.floor(size / 5).cast("bigint").alias("lines"), (F.col("event_type") == "purchase").alias("replacement")
+    )
+
+
+def _signals(spark, folder):
+    timed = provenance.elapsed(_edits(spark, folder), ["user_id"], "at", "event_id")
+    return timed.withColumn("signal", provenance.signal(F.col("chars"), F.col("lines"), F.col("elapsed_ms"), F.col("replacement")))
+
+
+@query(_EDITS + "SELECT event_id, ms AS elapsed_ms, signal FROM s")
+def edit_signals(spark, folder):
+    """The shape of every edit."""
+    return _signals(spark, folder).select("event_id", "elapsed_ms", "signal")
+
+
+@query(_EDITS + f"SELECT n.signal, count(s.event_id) AS events FROM (SELECT unnest({provenance.SIGNALS}) AS signal) n LEFT JOIN s ON s.signal = n.signal GROUP BY 1")
+def edit_composition(spark, folder):
+    """Edits by shape, absent shapes included."""
+    return provenance.composition(_signals(spark, folder))
+
+
+def _chain(spark, folder):
+    fields = {"repositoryId": "user", "contentHash": "digest", "sourceType": "event_type"}
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.col("user_id").cast("string").alias("user"), F.sha2(F.coalesce("props", F.lit("")), 256).alias("digest"), F.col("ts").cast("timestamp").alias("at"))
+    chain = provenance.build_chains(events, "user_id", ["at", "event_id"], fields)
+    return chain, events
+
+
+@query()
+def hash_chains(spark, folder):
+    """The hash chain of every user's events."""
+    return _chain(spark, folder)[0].select("user_id", "seq", "event_id", "previous_hash", "event_hash")
+
+
+@query("SELECT user_id, count(*) AS events, true AS intact FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def chain_checks(spark, folder):
+    """Whether every chain recomputes, link by link."""
+    chain, events = _chain(spark, folder)
+    body = {"repositoryId": F.col("user"), "contentHash": F.col("digest"), "sourceType": F.col("event_type")}
+    full = chain.join(events.select("event_id", "user", "digest", "event_type"), "event_id")
+    recomputed = F.sha2(provenance.canonical_event(body, F.col("previous_hash")), 256)
+    return provenance.verify_chains(full, "user_id", ["at", "event_id"], recomputed).select("user_id", "events", "intact")
+
+
+@query()
+def attestations(spark, folder):
+    """A statement around the ends of every chain."""
+    return provenance.attestation(_chain(spark, folder)[0], "user_id", ["at", "event_id"])
+
+
+_STEPS = """
+WITH v AS (
+  SELECT project_id, id AS release_id, lead(id) OVER (PARTITION BY project_id ORDER BY coalesce(version_published, TIMESTAMP '1970-01-01'), id) AS next_id FROM releases
+), p AS (SELECT DISTINCT release_id, regexp_replace(path, '^(\\./)+', '') AS path FROM scan_files WHERE path IS NOT NULL),
+a AS (SELECT v.release_id, p.path FROM v JOIN p ON p.release_id = v.release_id WHERE v.next_id IS NOT NULL),
+b AS (SELECT v.release_id, p.path FROM v JOIN p ON p.release_id = v.next_id)
+"""
+
+
+@query(
+    _STEPS
+    + """
+SELECT release_id, count_if(a IS NULL) AS detected, count_if(a IS NOT NULL AND b IS NOT NULL) AS still_detected, count_if(b IS NULL) AS resolved, 0::BIGINT AS unverified
+FROM (SELECT coalesce(a.release_id, b.release_id) AS release_id, a.path AS a, b.path AS b FROM a FULL JOIN b ON a.release_id = b.release_id AND a.path = b.path) GROUP BY 1
+"""
+)
+def release_changes(spark, folder):
+    """Paths that each release's successor adds, keeps and drops."""
+    releases, files = _tables(spark, folder, "releases", "scan_files")
+    order = Window.partitionBy("project_id").orderBy(F.coalesce("version_published", F.lit("1970-01-01").cast("timestamp_ntz")), "id")
+    steps = releases.select(F.col("id").alias("release_id"), F.lead("id").over(order).alias("next_id")).where("next_id is not null")
+    paths = files.where("path is not null").select("release_id", F.regexp_replace("path", r"^(\./)+", "").alias("path")).distinct()
+    before = steps.join(paths, "release_id").select("release_id", "path")
+    after = steps.join(paths.withColumnRenamed("release_id", "next_id"), "next_id").select("release_id", "path")
+    return history.action_counts(history.reconcile(before, after, ["release_id", "path"]), ["release_id"])
+
+
+@query("SELECT release_id, path, id FROM (SELECT *, row_number() OVER (PARTITION BY release_id, path ORDER BY ingested_at NULLS FIRST, id) AS n FROM scan_files) WHERE n = 1")
+def first_ingestions(spark, folder):
+    """The first ingestion of every path of a release."""
+    files = table(spark, folder, "scan_files").select("release_id", "path", "id", "ingested_at")
+    return history.first_per(files, ["release_id", "path"], [F.col("ingested_at"), F.col("id")]).select("release_id", "path", "id")
+
+
+@query("SELECT repository, id FROM (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY ingested_at DESC NULLS LAST, id DESC) AS n FROM (SELECT * FROM scan_files ORDER BY ingested_at DESC NULLS LAST, id DESC LIMIT 80)) WHERE n = 1")
+def latest_scans(spark, folder):
+    """The latest file of each repository among the eighty latest of all."""
+    files = table(spark, folder, "scan_files").select("repository", "id", "ingested_at")
+    return history.latest_of_recent(files, "repository", [F.col("ingested_at").desc_nulls_last(), F.desc("id")], 80).select("repository", "id")
+
+
+@query("SELECT repository, id, nth, n > 8 AS truncated FROM (SELECT repository, id, row_number() OVER (PARTITION BY repository ORDER BY path, id) AS nth, count(*) OVER (PARTITION BY repository) AS n FROM scan_files) WHERE nth <= 8")
+def capped_files(spark, folder):
+    """Eight files of each repository, and whether it has more."""
+    files = table(spark, folder, "scan_files").select("repository", "id", "path")
+    return history.capped(files, ["repository"], [F.col("path"), F.col("id")], 8).select("repository", "id", F.col("nth").cast("bigint").alias("nth"), "truncated")
+
+
+@query("SELECT date_trunc('month', ingested_at)::TIMESTAMP AS month, count(*) AS files, count(DISTINCT repository) AS repositories FROM scan_files GROUP BY 1")
+def monthly_ingestions(spark, folder):
+    """Files and repositories by month."""
+    files = table(spark, folder, "scan_files").select(X.month_start("ingested_at").cast("timestamp_ntz").alias("month"), "repository")
+    return files.groupBy("month").agg(F.count("*").alias("files"), F.count_distinct("repository").alias("repositories"))
+
+
+@query()
+def rate_limits(spark, folder):
+    """Events that pass a limit of three per user and minute."""
+    events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id")
+    return history.rate_limited(events, "user_id", "at", "event_id", 3, 60_000)
+
+
+@query("SELECT user_id, count(*) AS n, md5(array_to_string(list_sort(list(event_id::VARCHAR)), chr(10))) AS digest FROM events GROUP BY 1")
+def content_digests(spark, folder):
+    """One digest over the sorted members of each group."""
+    rows = table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("event_id").cast("string"))).alias("ids"))
+    return rows.select("user_id", "n", F.md5(F.array_join("ids", "\n")).alias("digest"))
+
+
+@query()
+def merged_ranges(spark, folder):
+    """Line ranges of the orders' items, merged with a gap of one."""
+    r = F.struct(F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + (F.col("l_partkey") % 2)).cast("int").alias("end"))
+    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(r).alias("r"))
+    return rows.select("l_orderkey", X.format_ranges(X.merge_ranges("r", 1)).alias("ranges"))
+
+
+# --- streams
+
+
+@query("SELECT event_id FROM events")
+def stream_once(spark, folder):
+    """Events of a stream, each once."""
+    rows = stream.table_stream(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return stream.drain(spark, stream.once(rows, "event_id", "ts", "3650 days"), "once").select("event_id")
+
+
+@query(_EDITS + "SELECT event_id, ms AS elapsed_ms, signal FROM s")
+def stream_edits(spark, folder):
+    """The shape of every edit of a stream."""
+    size = F.abs(F.coalesce("value", F.lit(0.0)))
+    rows = stream.table_stream(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("file"), F.col("ts").cast("timestamp").alias("at"), "event_id", F.floor(size * 10).cast("bigint").alias("chars"), F.floor(size / 5).cast("bigint").alias("lines"), (F.col("event_type") == "purchase").alias("replacement")
+    )
+    return stream.drain(spark, stream.classified_edits(rows, "3650 days"), "edits").select("event_id", "elapsed_ms", "signal")
+
+
+@query()
+def stream_chains(spark, folder):
+    """Hash chains over a stream."""
+    rows = stream.table_stream(spark, folder, "events").select(F.col("user_id").cast("string").alias("stream"), "event_id", F.coalesce("props", F.lit("")).alias("body"))
+    return stream.drain(spark, stream.chained(rows), "chains")
+
+
+@query()
+def stream_rate_limits(spark, folder):
+    """The rate limit over a stream."""
+    rows = stream.table_stream(spark, folder, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("hit_id"))
+    return stream.drain(spark, stream.rate_limited(rows, 3, 60_000), "limits")
