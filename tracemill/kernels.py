@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import pairwise
-
 import numpy as np
 
 from . import constants as C
@@ -133,10 +131,44 @@ def lcs_length(a: list[str], b: list[str]) -> int:
 
 
 def longest_run(a: list[str], b: list[str]) -> tuple[int, int, int]:
-    """Longest common contiguous run: length, start in a, start in b; the first in a, then in b, on ties."""
+    """Longest common contiguous run: length, start in a, start in b; the first in a, then in b, on ties.
+
+    The equality matrix is skewed so that its diagonals become rows; runs of ones in it are common runs. Long inputs
+    are taken row by row.
+    """
     if not a or not b:
         return 0, 0, 0
     x, y = (np.array(c, dtype=np.int64) for c in _codes(a, b))
+    m, n = len(x), len(y)
+    if m * n > 1 << 24:
+        return _longest_run_by_rows(x, y)
+    # one row for each diagonal, closed by a zero
+    skewed = np.zeros((m + n - 1, m + 1), dtype=np.int8)
+    skewed[:, :m] = _diagonals(x[:, None] == y[None, :])
+    edges = np.diff(np.concatenate([[0], skewed.ravel(), [0]]).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return 0, 0, 0
+    lengths = ends - starts
+    top = int(lengths.max())
+    best = starts[lengths == top]
+    diagonal, i = best // (m + 1), best % (m + 1)
+    j = diagonal - (m - 1) + i
+    first = np.lexsort((j, i))[0]
+    return top, int(i[first]), int(j[first])
+
+
+def _diagonals(equal: np.ndarray) -> np.ndarray:
+    """(m + n - 1, m): row d, column i holds equal[i, d - (m - 1) + i], zero outside."""
+    m, n = equal.shape
+    wide = np.zeros((m, 2 * (m - 1) + n), dtype=np.int8)
+    wide[:, m - 1 : m - 1 + n] = equal
+    row, cell = wide.strides
+    return np.lib.stride_tricks.as_strided(wide, shape=(m + n - 1, m), strides=(cell, row + cell))
+
+
+def _longest_run_by_rows(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """The same with two rows of memory, for long inputs."""
     best, at = 0, (0, 0)
     previous = np.zeros(len(y) + 1, dtype=np.int64)
     for i in range(len(x)):
@@ -166,8 +198,3 @@ def region_starts(n: int, size: int, stride: int) -> list[int]:
     if n <= size:
         return [0]
     return [*range(0, n - size, stride), n - size]
-
-
-def strides(values: list[int]) -> list[int]:
-    """Gaps between neighbours; for tests of winnowing guarantees."""
-    return [b - a for a, b in pairwise(values)]

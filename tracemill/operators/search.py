@@ -143,7 +143,9 @@ def verify(shortlist: DataFrame, query: DataFrame, docs: DataFrame, s: SearchSet
                 out.append((r.file_id, r.region, r.doc_id, r.score, r.nth, *e[:6], first, last, e[8], e[9]))
             yield pd.DataFrame(out, columns=[c.strip().split()[0] for c in schema.split(",")])
 
-    return rows.mapInPandas(run, schema)
+    # comparing is work for the cores and not for the network: small partitions, never coalesced
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism * 4, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "file_id", "region", "doc_id").mapInPandas(run, schema)
 
 
 _CLASSES = {"insufficient_evidence": 0, "possible_common_pattern": 1, "strong_match": 2}

@@ -12,7 +12,7 @@ from .constants import PIPELINE, SOURCE_SEARCH
 from .functions import arrow as A
 from .functions import columns as X
 from .operators import corpus, history, license, provenance, search, similarity
-from .session import table
+from .session import materialise, table
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -404,10 +404,10 @@ def _search(spark, folder):
     """Arrivals searched in the corpus of blobs."""
     low = F.lower(F.trim("language"))
     asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), low.alias("language"), "source", "path")
-    docs = search.documents(_sources(spark, folder), SOURCE_SEARCH)
+    docs = materialise(search.documents(_sources(spark, folder), SOURCE_SEARCH))
     frequency = search.postings(docs).select("representation", "hash", "doc_id").distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters"))
     index = search.postings(docs, corpus.stoplist(frequency))
-    regions = search.regions(asked, SOURCE_SEARCH)
+    regions = materialise(search.regions(asked, SOURCE_SEARCH))
     return asked, regions, docs, search.retrieve(regions, index, docs)
 
 
