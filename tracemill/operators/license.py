@@ -161,7 +161,7 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     npm = rows.where("base = 'package.json'").select("scan_id", F.lit(0).alias("o"), F.posexplode(both).alias("i", "e")).select("scan_id", "o", "i", F.lit("npm").alias("ecosystem"), F.col("e.key").alias("name"), F.col("e.value").alias("version"))
 
     def lines(name: str, order: int, text: Column, pattern: str, ecosystem: str, version: int, skip: str | None = None) -> DataFrame:
-        each = rows.where(F.col("base") == name).select("scan_id", F.posexplode(F.split(text, "\n")).alias("i", "raw")).withColumn("line", F.trim("raw"))
+        each = rows.where(F.col("base") == name).select("scan_id", F.posexplode(F.split(text, "\n")).alias("i", "raw")).withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", ""))
         each = each.where(F.col("line").rlike(pattern) & (~F.col("line").startswith(skip) if skip else F.lit(True)))
         found = F.regexp_extract("line", pattern, version)
         return each.select("scan_id", F.lit(order).alias("o"), "i", F.lit(ecosystem).alias("ecosystem"), F.regexp_extract("line", pattern, 1).alias("name"), F.when(found != "", found).alias("version"))
