@@ -96,6 +96,8 @@ def python_tokens(source: str):
                 yield ERROR
                 return
             yield "NUMBER", False
+    if depth:
+        return
     if some:
         yield "NEWLINE", False
     for _ in indents[1:]:
@@ -403,9 +405,9 @@ forhead@ = [lexical@ | notdecl@] ';' [exprs@] ';' [exprs@] | (('let' | 'var' | '
 exprs@ = expr@ {',' expr@} ;
 notdecl@ = start@ {',' expr@} ;
 start@ = startlhs@ ('=' | ASSIGN) expr@ | startcond@ | arrow@ | YIELD@ ;
-startlhs@ = startprimary@ {suffix@} | pattern@ ;
+startlhs@ = startprimary@ {suffix@} ;
 startcond@ = startunary@ {binary unary@} ['?' expr@ ':' expr@] ;
-startunary@ = unop {unop} unary0@ | startprimary@ {suffix@} ['++' | '--' | 'PREFIX'] CASTS ;
+startunary@ = AWAIT@ | unop {unop} unary0@ | startprimary@ {suffix@} ['++' | '--' | 'PREFIX'] CASTS ;
 expr@ = lhs@ ('=' | ASSIGN) expr@ | cond@ | arrow@ | YIELD@ ;
 lhs@ = primary@ {suffix@} ;
 cond@ = unary@ {binary unary@} ['?' expr@ ':' expr@] ;
@@ -428,10 +430,9 @@ template@ = TEMPLATE | HEAD exprs@ {MIDDLE exprs@} TAIL ;
 new@ = 'new' {'new'} (newtarget@ {'.' (NAME | PRIVATE) | '[' exprs@ ']' | template@} TYPEARGS [args@] | '.' NAME) ;
 newtarget@ = ident | 'this' | 'super' | literal | '(' exprs@ ')' | array@ | object@ | functionexpr@ | classexpr@ | template@ | 'import' '.' NAME ;
 arrow@ = ident '=>' bodyF@ | ARROWF '=>' bodyF@ | 'async' ident '=>' bodyA@ | 'async' ARROWA '=>' bodyA@ ;
-bodyF@ = '{' stmtsF '}' | expr_F@ ;
-bodyA@ = '{' stmtsA '}' | expr_A@ ;
-expr_F@ = exprF ;
-expr_A@ = exprA ;
+bodyF@ = '{' stmtsF '}' | conciseF ;
+bodyA@ = '{' stmtsA '}' | conciseA ;
+concise@ = start@ | (functionexpr@ | classexpr@) {suffix@} ;
 function@ = 'function' ident SIGNATURE BODYF | 'function' '*' ident SIGNATUREG BODYG | 'async' 'function' ident SIGNATUREA BODYA | 'async' 'function' '*' ident SIGNATUREB BODYB ;
 functionexpr@ = 'function' [ident] SIGNATURE '{' stmtsF '}' | 'function' '*' [ident] SIGNATUREG '{' stmtsG '}' | 'async' 'function' [ident] SIGNATUREA '{' stmtsA '}' | 'async' 'function' '*' [ident] SIGNATUREB '{' stmtsB '}' ;
 class@ = DECORATORS@ CLASSMOD 'class' ident TYPEPARAMS classtail@ ;
@@ -488,8 +489,10 @@ heritage = typename ['<' types '>'] ;
 alias = 'type' ident [typeparams] '=' type end ;
 enum = ['const'] 'enum' ident '{' [enummember {',' enummember} [',']] '}' ;
 enummember = (anyname | STRING) ['=' exprF] ;
-namespace_decl = ('namespace' | 'module') (typename | STRING) '{' {item} '}' | 'global' '{' {item} '}' | 'module' STRING end ;
-declare = 'declare' (declT | interface | alias | enum | namespace_decl) ;
+namespace_decl = ('namespace' | 'module') typename '{' {item} '}' ;
+ambient = ['export'] ('const' | 'let' | 'var') ident [typeann] {',' ident [typeann]} end ;
+ambients = '{' {item | ambient} '}' ;
+declare = 'declare' (declT | interface | alias | enum | ('namespace' | 'module') (typename | STRING) ambients | 'global' ambients | 'module' STRING end | ('const' | 'let' | 'var') ident typeann {',' ident typeann} end) ;
 """
 
 

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity by hierarchical residual packing.
 
 Each group of items is packed best-fit, largest first. Bins that are nearly full are closed; the others go on as
-items, groups are merged, and best-fit is repeated until one group is left. Groups hold about GROUP items, so no
-task grows with the input. An item is split only if it exceeds the capacity: whole containers are cut off it and the
+items, groups are merged, and best-fit is repeated until one group is left or a round no longer saves bins. Groups
+hold about GROUP items in every round, so no task grows with the input. An item is split only if it exceeds the capacity: whole containers are cut off it and the
 rest is packed like any other item.
 """
 
@@ -22,6 +22,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GROUP = 4096
 NEARLY = 0.985
+LEAST_GAIN = 0.02
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -76,7 +77,7 @@ def _round(items: DataFrame, number: int, groups: int) -> DataFrame:
         name = (number << 56) + (group << 20) + chosen
         return pd.DataFrame({"container": frame["container"], "capacity": frame["capacity"], "item": frame["item"], "bin": name.astype("int64"), "fill": fill.astype("int64")})
 
-    spread = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(groups)))
+    spread = items.withColumn("part", F.pmod(F.xxhash64("item", F.lit(number)), F.lit(groups)))
     return spread.groupBy("container", "part").applyInPandas(pack, "container string, capacity bigint, item bigint, bin bigint, fill bigint")
 
 
@@ -107,10 +108,11 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], group: int = GROUP
         if groups == 1:
             break
         current = done.where(F.col("fill") < F.col("capacity") * nearly).select("container", "capacity", F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
-        most = current.groupBy("container").count().agg(F.max("count")).first()[0] or 0
-        if not most:
+        before, most = most, current.groupBy("container").count().agg(F.max("count")).first()[0] or 0
+        # groups stay of one size; where merging has stopped to help (all items over half a container, say), so does the packing
+        if not most or (number and most > (1 - LEAST_GAIN) * before):
             break
-        groups = min(-(-groups // 4), max(1, -(-most // group)))
+        groups = max(1, -(-most // group))
         number += 1
     out = items.withColumn("at", F.col("item"))
     for i, step in enumerate(maps):
