@@ -205,5 +205,5 @@ def test_streams(spark, tmp_path):
     assert limited.where("allowed").count() == 4 and limited.count() == 9
     chained = stream.drain(spark, stream.chained(source().select(F.col("key").alias("stream"), F.col("hit_id").alias("event_id"), F.lit("b").alias("body"))), "t2")
     assert chained.where("previous_hash is null").count() == 2
-    timed = source().withColumn("at", F.timestamp_millis("ms"))
+    timed = source().withColumn("at", F.timestamp_millis(F.col("ms") + 86_400_000))
     assert stream.drain(spark, stream.once(timed, "hit_id", "at"), "t3").count() == 8
