@@ -154,10 +154,21 @@ def upstream_rank(spark, folder):
     return _ranked(spark, folder).select("file_id", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"), "vendored")
 
 
-@query()
+@query(
+    _RANKED
+    + rf"""
+, placed AS (SELECT *, row_number() OVER (PARTITION BY shape_hash ORDER BY score DESC, coalesce(first_published, ''), path, file_id) AS place FROM ranked),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY path, file_id) AS nth FROM placed
+  WHERE place = 1 AND NOT regexp_matches(path, '{C.AUXILIARY_PATH}') AND NOT regexp_matches(path, '{C.DERIVED_PATH}')
+)
+SELECT concat(ecosystem, ':', name, '@', version, ':', path) AS document_id, file_id, blob_id, path, version, license_spdx, round(probability, 6) AS probability
+FROM kept WHERE nth <= 8 ORDER BY rank NULLS LAST, ecosystem, path, file_id LIMIT 1000
+"""
+)
 def corpus_pack(spark, folder):
     """The exported documents: likely upstreams in rank order, eight of a project, the first thousand."""
-    return corpus.export_pack(_ranked(spark, folder))
+    return corpus.export_pack(_ranked(spark, folder)).withColumn("probability", F.round("probability", 6))
 
 
 @query("""
@@ -473,7 +484,18 @@ def _chain(spark, folder):
     return chain, events
 
 
-@query()
+@query(r"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type, sha256(coalesce(props, '')) AS digest, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events WHERE user_id IS NOT NULL
+), c AS (
+  SELECT user_id, seq, event_id, NULL::VARCHAR AS previous_hash,
+    sha256(concat('{"contentHash":"', digest, '","previousEventHash":null,"repositoryId":"', user_id, '","sourceType":"', event_type, '"}')) AS event_hash FROM e WHERE seq = 0
+  UNION ALL
+  SELECT e.user_id, e.seq, e.event_id, c.event_hash,
+    sha256(concat('{"contentHash":"', e.digest, '","previousEventHash":"', c.event_hash, '","repositoryId":"', e.user_id, '","sourceType":"', e.event_type, '"}')) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1
+)
+SELECT * FROM c
+""")
 def hash_chains(spark, folder):
     """The hash chain of every user's events."""
     return _chain(spark, folder)[0].select("user_id", "seq", "event_id", "previous_hash", "event_hash")
@@ -550,7 +572,19 @@ def monthly_ingestions(spark, folder):
     return files.groupBy("month").agg(F.count("*").alias("files"), F.count_distinct("repository").alias("repositories"))
 
 
-@query()
+_LIMITS = """
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE user_id IS NOT NULL
+), t AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS ms, []::BIGINT[] AS held, false AS allowed, 0::BIGINT AS retry_after_ms FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, n, event_id, ms, CASE WHEN len(h) < 3 THEN list_append(h, ms) ELSE h END, len(h) < 3, CASE WHEN len(h) < 3 THEN 0 ELSE h[1] + 60000 - ms END
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ms, list_filter(t.held, lambda x: x > e.ms - 60000) AS h FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)
+)
+"""
+
+
+@query(_LIMITS + "SELECT user_id, ms, event_id, allowed, retry_after_ms FROM t WHERE n > 0")
 def rate_limits(spark, folder):
     """Events that pass a limit of three per user and minute."""
     events = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id")
@@ -592,14 +626,23 @@ def stream_edits(spark, folder):
     return stream.drain(spark, stream.classified_edits(rows, "3650 days"), "edits").select("event_id", "elapsed_ms", "signal")
 
 
-@query()
+@query(r"""
+WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS stream, event_id, to_json(coalesce(props, ''))::VARCHAR AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events
+), c AS (
+  SELECT stream, seq, event_id, NULL::VARCHAR AS previous_hash, sha256(concat('{"body":', body, ',"previousEventHash":null}')) AS event_hash FROM e WHERE seq = 0
+  UNION ALL
+  SELECT e.stream, e.seq, e.event_id, c.event_hash, sha256(concat('{"body":', e.body, ',"previousEventHash":"', c.event_hash, '"}')) FROM c JOIN e ON e.stream = c.stream AND e.seq = c.seq + 1
+)
+SELECT * FROM c
+""")
 def stream_chains(spark, folder):
     """Hash chains over a stream."""
     rows = stream.table_stream(spark, folder, "events").select(F.col("user_id").cast("string").alias("stream"), "event_id", F.coalesce("props", F.lit("")).alias("body"))
     return stream.drain(spark, stream.chained(rows), "chains")
 
 
-@query()
+@query(_LIMITS + "SELECT user_id::VARCHAR AS key, ms, event_id AS hit_id, allowed FROM t WHERE n > 0")
 def stream_rate_limits(spark, folder):
     """The rate limit over a stream."""
     rows = stream.table_stream(spark, folder, "events").select(F.col("user_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.col("event_id").alias("hit_id"))
