@@ -200,7 +200,44 @@ WITH texts AS (
   FROM per GROUP BY 1 HAVING count(*) >= 2
 )
 """
+_CODE = """
+code AS (SELECT id, source FROM blobs WHERE source IS NOT NULL AND coalesce(lower(trim(language)) <> 'text', true))
+"""
+_SHINGLES = """
+words AS (SELECT id, regexp_extract_all(source, '[A-Za-z0-9_]+') AS w FROM texts),
+sets AS (SELECT DISTINCT id, hash(w[i:i + 4]) AS h FROM words, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
+sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM sets a JOIN sets b ON a.h = b.h AND a.id < b.id GROUP BY 1, 2),
+alike AS (SELECT s.a, s.b FROM shared s JOIN sizes x ON x.id = s.a JOIN sizes y ON y.id = s.b WHERE s.n / (x.n + y.n - s.n) >= 0.6)
+"""
+_P9 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM eval_items),
+ds AS (SELECT DISTINCT doc_id, hash(w[k:k + 12]) AS h FROM d, unnest(range(1, len(w) - 11)) AS u(k) WHERE len(w) >= 13),
+si AS (SELECT DISTINCT item_id, hash(w[k:k + 12]) AS h FROM i, unnest(range(1, len(w) - 11)) AS u(k) WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (h)
+"""
 ORACLES: dict = {
+    "p2_found": "WITH "
+    + _CODE
+    + """, w AS (SELECT DISTINCT id, hash(substr(source, k, 240)) AS h FROM code, unnest(range(1, length(source) - 238)) AS u(k) WHERE length(source) >= 240),
+      many AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)
+      SELECT DISTINCT a.id AS blob_id_a, b.id AS blob_id_b FROM w a JOIN many USING (h) JOIN w b ON a.h = b.h AND a.id < b.id""",
+    "p4_found": "WITH "
+    + _CODE
+    + r""", old AS (SELECT id * 2 AS id, -1 AS batch, source FROM code),
+      fresh AS (SELECT arrival_id * 2 + 1 AS id, coalesce(batch_no, 2147483647) AS batch, source FROM arrivals WHERE source IS NOT NULL),
+      texts AS (SELECT * FROM old UNION ALL SELECT * FROM fresh),
+      clean AS (SELECT id, batch, regexp_replace(regexp_replace(source, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g') AS c FROM texts),
+      exact AS (SELECT DISTINCT x.id FROM clean x JOIN clean y ON x.c = y.c AND (y.batch, y.id) < (x.batch, x.id) WHERE x.batch >= 0),
+    """
+    + _SHINGLES
+    + """, near AS (
+        SELECT DISTINCT x.id FROM (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike) s JOIN texts x ON x.id = s.a JOIN texts y ON y.id = s.b
+        WHERE x.batch >= 0 AND (y.batch, y.id) < (x.batch, x.id) AND x.id NOT IN (SELECT id FROM exact))
+      SELECT (id - 1) // 2 AS arrival_id, 'exact' AS kind FROM exact UNION ALL SELECT (id - 1) // 2, 'near' FROM near""",
+    "p6_found": "WITH " + _CODE + ", texts AS (SELECT * FROM code), " + _SHINGLES + "SELECT a AS blob_id_a, b AS blob_id_b FROM alike",
+    "p9_found": _P9,
     "p1_found": _P1 + "SELECT shape_hash, origin_project_id, top_project_id FROM merged WHERE origin_at IS NOT NULL",
     "p1_merged": _P1
     + """SELECT shape_hash, projects, CASE WHEN origin_at IS NOT NULL THEN origin_project_id END AS origin_project_id,
