@@ -144,6 +144,27 @@ def test_a_heading_shared_by_many_is_no_span(spark):
     assert got == {(a, b) for a in held for b in held if a < b}
 
 
+def test_coverage_holds_every_span_of_a_hot_group(spark):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    head, tail = noise(250), noise(260)
+    rows = [(i, head + noise(20 + i % 133) + tail) for i in range(798)]
+    rows[0] = (0, head + "-" * 50 + head + "+" * 50 + tail)
+    holders = {}
+    for i, t in rows:
+        for k in range(len(t) - 239):
+            holders.setdefault(t[k : k + 240], set()).add(i)
+    want = {}
+    for i, t in rows:
+        marked = set()
+        for k in range(len(t) - 239):
+            if len(holders[t[k : k + 240]]) > 1:
+                marked.update(range(k, k + 240))
+        want[i] = (len(t), len(marked), 797)
+    got = shared_spans(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 240).coverage().collect()
+    assert {r.id: (r.chars, r.shared_chars, r.partners) for r in got} == want
+
+
 def test_shared_spans_of_nothing(spark):
     found = shared_spans(spark.createDataFrame([], "id bigint, text string"), "id", "text", 240)
     assert found.pairs().count() == 0 and found.coverage().count() == 0

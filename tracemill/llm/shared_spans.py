@@ -4,7 +4,8 @@ A window is hashed only where its byte offset modulo PERIOD lies in a perfect di
 offsets of a common span of at least `length` characters, some shift below PERIOD puts both on the cover, so the
 two texts share an anchor inside the span. Candidates are then extended on the texts. An anchor that occurs more
 than HOT times is not paired: the windows of exactly `length` characters around it are hashed instead, which
-separate the texts that really continue alike from those that merely share a heading.
+separate the texts that really continue alike from those that merely share a heading. Such a window gives pairs
+one place each; for the coverage every place of it is marked, without pairing.
 """
 
 from __future__ import annotations
@@ -177,14 +178,18 @@ def _whole_characters(a: np.ndarray, start: int, size: int) -> tuple[int, int, i
 
 @dataclass(frozen=True)
 class SharedSpans:
-    """spans: (a, b, start_a, start_b, bytes, chars) between distinct texts; members: (id, rep); texts: (id, text).
+    """spans: (a, b, start_a, start_b, bytes, chars) between distinct texts; members: (id, rep); texts: (id, text);
+    hot: (id, start), the windows of `length` characters around hot anchors that stand in other texts too.
 
     The ids of spans, texts and reps are 64-bit names of the texts, so copies need no join before the search.
+    Every pair has a span. The spans of a pair that only hot anchors join may lack some; hot holds their places.
     """
 
     spans: DataFrame
     members: DataFrame
     texts: DataFrame
+    hot: DataFrame
+    length: int
 
     def pairs(self) -> DataFrame:
         """(a, b), a < b: the records that share a span, copies included."""
@@ -198,25 +203,30 @@ class SharedSpans:
         spans = materialise(self.spans)
         marks = spans.select(F.col("a").alias("id"), F.col("start_a").alias("start"), "bytes", F.col("b").alias("other")).union(spans.select("b", "start_b", "bytes", "a"))
         partners = marks.select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("linked"))
-        ranges = marks.groupBy("id", "start").agg(F.max("bytes").alias("bytes")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("ranges"))
+        ranges = marks.groupBy("id", "start").agg(F.max("bytes").alias("bytes")).groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges"))
+        windows = self.hot.groupBy("id").agg(F.collect_list("start").alias("windows"))
+        length = self.length
 
         def run(batches):
             for batch in batches:
                 n, shared = [], []
-                for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
+                for text, found, at in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
                     codes = _bytes(text.as_py())
-                    heads = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
-                    total, end = 0, 0
+                    is_head = (codes & 0xC0) != 0x80
+                    edges = np.zeros(len(codes) + 1, dtype=np.int64)
                     for r in found or ():
-                        s, e = max(r["start"], end), r["start"] + r["bytes"]
-                        if e > s:
-                            total += int(heads[e] - heads[s])
-                            end = e
-                    n.append(int(heads[-1]))
-                    shared.append(total)
+                        edges[r["start"]] += 1
+                        edges[r["start"] + r["bytes"]] -= 1
+                    if at.is_valid:
+                        heads = np.append(np.flatnonzero(is_head), len(codes))
+                        starts = at.values.to_numpy()
+                        np.add.at(edges, starts, 1)
+                        np.add.at(edges, heads[np.searchsorted(heads, starts) + length], -1)
+                    n.append(int(is_head.sum()))
+                    shared.append(int((is_head & (np.cumsum(edges[:-1]) > 0)).sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], names=["rep", "chars", "shared_chars"])
 
-        sizes = self.texts.join(ranges, "id", "left").select("id", "text", "ranges").mapInArrow(run, "rep bigint, chars bigint, shared_chars bigint")
+        sizes = self.texts.join(ranges, "id", "left").join(windows, "id", "left").select("id", "text", "ranges", "windows").mapInArrow(run, "rep bigint, chars bigint, shared_chars bigint")
         classes = self.members.groupBy("rep").agg(F.count("*").alias("copies"))
         whole = self.members.join(sizes, "rep").join(classes, "rep").join(partners.withColumnRenamed("id", "rep"), "rep", "left")
         shared = F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.col("shared_chars"))
@@ -242,7 +252,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
     def around(batches):
         """Keys of the windows of exactly `length` characters that hold a hot anchor in their first period."""
         for batch in batches:
-            keys, ids, starts = [], [], []
+            keys, ids, starts, leads = [], [], [], []
             for i, t, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 codes = _bytes(t.as_py())
                 heads = np.flatnonzero((codes & 0xC0) != 0x80)
@@ -254,20 +264,24 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
                 if not len(chosen):
                     continue
                 ends = np.append(heads, len(codes))[chosen + length]
-                h, where = np.unique(window_hashes(codes, first[chosen], ends).view(np.int64), return_index=True)
+                h = window_hashes(codes, first[chosen], ends).view(np.int64)
+                lead = np.zeros(len(h), dtype=bool)
+                lead[np.unique(h, return_index=True)[1]] = True
                 keys.append(h)
                 ids.append(np.full(len(h), i, dtype=np.int64))
-                starts.append(first[chosen][where].astype(np.int32))
+                starts.append(first[chosen].astype(np.int32))
+                leads.append(lead)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts))], names=["key", "id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(leads))], names=["key", "id", "start", "lead"])
 
     # few hot rows travel to the texts, many make the texts travel
     beside = F.broadcast(hot) if alone.count() <= MOST_BROADCAST_ROWS else hot
-    keyed = named.join(beside, "id").select("id", "text", "at").mapInArrow(around, "key bigint, id bigint, start int")
+    keyed = named.join(beside, "id").select("id", "text", "at").mapInArrow(around, "key bigint, id bigint, start int, lead boolean")
     keyed = materialise(keyed.distinct())
-    # windows that stand in the same set of records tell the same pairs; one of them is enough
-    sets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
-    chosen = keyed.join(sets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    # windows that stand in the same set of records tell the same pairs; one of them is enough, at its first place
+    once = keyed.where("lead")
+    sets = once.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
+    chosen = once.join(sets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     side = lambda i: chosen.select("key", F.col("id").alias(i), F.col("start").alias(f"pos_{i}"))
     continued = side("a").join(side("b"), "key").where("a < b").select("a", "b", "pos_a", "pos_b")
 
@@ -292,4 +306,5 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
     text = lambda i: reps.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"))
     wide = candidates.join(text("a"), "a").join(text("b"), "b").select("a", "b", "shifts", "ta", "tb")
     spans = wide.mapInArrow(extend, "a bigint, b bigint, start_a bigint, start_b bigint, bytes bigint, chars bigint")
-    return SharedSpans(spans, members, reps)
+    everywhere = keyed.join(sets.select("key"), "key", "left_semi").select("id", "start")
+    return SharedSpans(spans, members, reps, everywhere, length)
