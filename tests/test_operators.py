@@ -1,10 +1,12 @@
 import io
 import json
+import random
 import tarfile
 import zipfile
 
 from pyspark.sql import functions as F
 
+from tracemill import queries
 from tracemill.constants import SearchSettings
 from tracemill.operators import corpus, history, license, provenance, search, similarity
 from tracemill.sources import archives, registries, tables
@@ -22,6 +24,20 @@ def test_containment_counts_each_hash_once(spark):
     assert (r.shared, r.doc_size, round(r.containment, 4)) == (2, 3, 0.6667)
 
 
+def test_blob_containment_holds_hashes_of_many_blobs(spark, tmp_path):
+    rng = random.Random(6)
+    common = list(range(20))
+    sets = {i: set(common) for i in range(40)}
+    sets |= {i: set(common) | {1000 + i * 100 + k for k in range(rng.randrange(0, 30))} for i in range(40, 80)}
+    sets |= {i: set(rng.sample(range(60), rng.randrange(1, 40))) for i in range(80, 120)}
+    data = [(i, [(h, n) for n, h in enumerate(sorted(s))]) for i, s in sets.items()] + [(0, [(h, 0) for h in common]), (120, [])]
+    spark.createDataFrame(data, "blob_id bigint, fp_preserving array<struct<hash:bigint,position:int>>").write.parquet(str(tmp_path / "fingerprints.parquet"))
+    want = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a != b and len(sets[a] & sets[b]) / len(sets[b]) >= 0.55}
+    got = queries.blob_containment(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.probe_id, r.doc_id, r.shared) for r in got} == want
+    assert all(r.containment == round(r.shared / len(sets[r.doc_id]), 6) and (r.band == "strong_match") == (r.containment >= 0.85) for r in got)
+
+
 def test_bands(spark):
     cases = [(0.54, False, "CLEAR", "clear"), (0.95, True, "CLEAR", "common_pattern"), (0.95, True, "BLOCKING", "strong_match"), (0.6, False, "BLOCKING", "review_suggested"), (0.85, False, "CLEAR", "strong_match"), (0.7, False, "CLEAR", "review_suggested")]
     df = spark.createDataFrame(cases, "s double, i boolean, p string, want string")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import PIPELINE
 from ..functions.columns import merge_ranges
+from ..session import materialise
 
 
 def containment(probe: DataFrame, corpus: DataFrame, least_hits: int = 1) -> DataFrame:
@@ -20,6 +21,31 @@ def containment(probe: DataFrame, corpus: DataFrame, least_hits: int = 1) -> Dat
     return sizes.select("probe_id", "doc_id", "shared", "probe_size", "doc_size", (F.col("shared") / F.col("doc_size")).alias("containment"))
 
 
+def contained(sets: DataFrame, threshold: float) -> DataFrame:
+    """(probe_id, doc_id, shared, containment) of all pairs from the threshold up; sets is (id, hashes), one row per id.
+
+    Equal sets are one class and are compared once. A probe that holds enough of a document holds one of its rarest
+    hashes, as many as may be missing and one more, so only those meet the probes; the sets are then intersected.
+    """
+    keyed = sets.select("id", F.sort_array(F.array_distinct("hashes")).alias("hashes")).where(F.size("hashes") > 0)
+    keyed = keyed.withColumn("key", F.sha2(F.array_join(F.col("hashes").cast("array<string>"), ","), 256))
+    classes = materialise(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.first("hashes").alias("hashes"), F.count("*").alias("copies")))
+    members = keyed.select("key", "id").join(classes.select("key", "rep"), "key").select("rep", "id")
+
+    n = F.size("hashes")
+    held = classes.select("rep", n.alias("n"), F.explode("hashes").alias("hash")).withColumn("df", F.count("*").over(Window.partitionBy("hash"))).where("df > 1")
+    # hashes that no other class holds come first in the order and meet nothing
+    least = F.ceil(F.col("n") * threshold - 1e-6).cast("int").alias("least")
+    rarest = held.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("o")).select("rep", least, "o").where("size(o) >= least")
+    asked = rarest.select(F.col("rep").alias("doc"), "least", F.explode(F.slice("o", 1, F.size("o") - F.col("least") + 1)["hash"]).alias("hash"))
+    met = asked.join(held.select(F.col("rep").alias("probe"), "n", "hash"), "hash").where("probe <> doc and n >= least").select("probe", "doc").distinct()
+    side = lambda i: classes.select(F.col("rep").alias(i), F.col("hashes").alias(f"{i}_hashes"))
+    both = met.join(side("probe"), "probe").join(side("doc"), "doc").select("probe", "doc", F.size(F.array_intersect("probe_hashes", "doc_hashes")).cast("bigint").alias("shared"), F.size("doc_hashes").alias("n"))
+    links = both.union(classes.where("copies > 1").select("rep", "rep", n.cast("bigint"), n)).withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= threshold)
+    probes, docs = members.select(F.col("rep").alias("probe"), F.col("id").alias("probe_id")), members.select(F.col("rep").alias("doc"), F.col("id").alias("doc_id"))
+    return links.join(probes, "probe").join(docs, "doc").where("probe_id <> doc_id").select("probe_id", "doc_id", "shared", "containment")
+
+
 def band(score, idiom, policy) -> Column:
     """clear, common_pattern, strong_match or review_suggested."""
     s = F.col(score) if isinstance(score, str) else score
