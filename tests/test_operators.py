@@ -38,6 +38,19 @@ def test_blob_containment_holds_hashes_of_many_blobs(spark, tmp_path):
     assert all(r.containment == round(r.shared / len(sets[r.doc_id]), 6) and (r.band == "strong_match") == (r.containment >= 0.85) for r in got)
 
 
+def test_copies_of_one_shape_stay_searchable(spark, tmp_path):
+    body = "\n".join(f"export const value{i} = compute{i}(source, {i});" for i in range(14)) + "\n"
+    others = [(100 + i, "javascript", "\n".join(f"let a{i}x{k} = other{k * i}.call{i}({k});" for k in range(12))) for i in range(45)]
+    blobs = [(i, "javascript", f"// copy {i}\n{body}") for i in range(35)] + others
+    spark.createDataFrame(blobs, "id bigint, language string, source string").write.parquet(str(tmp_path / "blobs.parquet"))
+    spark.createDataFrame([(i, "src/a.js") for i, _, _ in blobs], "blob_id bigint, path string").write.parquet(str(tmp_path / "scan_files.parquet"))
+    spark.createDataFrame([(1, "javascript", "src/x.js", body)], "arrival_id bigint, language string, path string, source string").write.parquet(str(tmp_path / "arrivals.parquet"))
+    short = queries.search_shortlists(spark, str(tmp_path)).collect()
+    assert {r.nth for r in short} == set(range(1, 21)) and {r.doc_id for r in short} <= set(range(35))
+    # 35 blobs hold every hash, but one shape
+    assert {r.doc_id for r in queries.search_findings(spark, str(tmp_path)).collect()} == {r.doc_id for r in short}
+
+
 def test_bands(spark):
     cases = [(0.54, False, "CLEAR", "clear"), (0.95, True, "CLEAR", "common_pattern"), (0.95, True, "BLOCKING", "strong_match"), (0.6, False, "BLOCKING", "review_suggested"), (0.85, False, "CLEAR", "strong_match"), (0.7, False, "CLEAR", "review_suggested")]
     df = spark.createDataFrame(cases, "s double, i boolean, p string, want string")

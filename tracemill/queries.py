@@ -414,7 +414,9 @@ def _search(spark, folder):
     low = F.lower(F.trim("language"))
     asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), low.alias("language"), "source", "path")
     docs = materialise(search.documents(_sources(spark, folder), SOURCE_SEARCH))
-    frequency = search.postings(docs).select("representation", "hash", "doc_id").distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters"))
+    # copies of one shape count once, or they would put their own hashes on the stoplist
+    shapes = search.postings(docs.withColumn("doc_id", X.shape_hash("preserving"))).select("representation", "hash", F.col("doc_id").alias("shape"))
+    frequency = shapes.distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters"))
     index = search.postings(docs, corpus.stoplist(frequency))
     regions = materialise(search.regions(asked, SOURCE_SEARCH))
     return asked, regions, docs, search.retrieve(regions, index, docs)
