@@ -299,6 +299,25 @@ def test_endings(spark):
     assert [r[0] for r in df.select(ending(F.col("t"))).collect()] == [c[1] for c in cases]
 
 
+def test_markers_and_claims_beyond_the_first_lines(spark):
+    licence = "".join(f"// clause {i} of the licence\n" for i in range(30))
+    code = "let a = 1;\nlet b = 2;\n"
+    cases = {
+        licence + "// Code generated by protoc. DO NOT EDIT.\n" + code: (True, []),
+        licence + "// left-pad 1.2.3\n" + code: (False, ["left-pad"]),
+        code + "\n// @generated\n\n": (True, []),
+        code + "/*\n * Code generated by protoc.\n */\n": (True, []),
+        "/* @generated */\n".join(["", code]): (True, []),
+        "// do not edit the order below\n".join([code, code]): (False, []),
+        code + "let c = 3; /* @generated */": (False, []),
+        'x = """\n# @generated\n"""\n': (False, []),
+        "": (False, []),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "id bigint, source string")
+    got = {r.blob_id: (r.marked, r.claims) for r in handwritten.features(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_limits_stand_out_and_cuts_are_flagged(spark):
     rng = random.Random(3)
     rows = []

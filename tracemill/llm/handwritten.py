@@ -1,6 +1,6 @@
 """Generated, minified, data and third-party files among the code files of releases.
 
-What a file is made of is judged on its content: markers that tools leave in the heading, the composition of its
+What a file is made of is judged on its content: markers that tools leave in the heading or behind the code, the composition of its
 tokens (names, literals, white space, repeated line shapes). Where it comes from is judged by place and heading: a
 directory for foreign packages, a heading that names another package and version, or a directory named like another
 project whose own files hold the file's lines; for the last, an index of line hashes gives the exact containment.
@@ -60,6 +60,28 @@ def heading(source: str, most: int | None = HEAD_LINES) -> list[str]:
     return out
 
 
+def closing(source: str) -> list[str]:
+    """The comment lines behind the last code line of a source, from the last one upwards, blank lines skipped."""
+    out, lines = [], source.split("\n")
+    while lines:
+        line = lines.pop()
+        s = line.strip()
+        if not s:
+            continue
+        if s[-2:] == "*/":
+            block = [line]
+            while "/*" not in block[-1] and lines:
+                block.append(lines.pop())
+            if block[-1].strip()[:2] != "/*" or "*/" in s[:-2]:
+                break
+            out += block
+        elif s[:2] == "//" or s[0] == "#" or s[:4] == "<!--" or (len(s) > 6 and s[:3] in ('"""', "'''") and s[-3:] == s[:3]):
+            out.append(line)
+        else:
+            break
+    return out
+
+
 def composition(source: str) -> tuple[bool, bool, bool]:
     """(minified, data, repetitive) by the tokens of a source without its comments.
 
@@ -104,9 +126,9 @@ def features(blobs: DataFrame) -> DataFrame:
             rows = []
             for i, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = source.as_py()
-                head = heading(text)
+                head = heading(text, None)
                 claims = [m.group(1) for m in map(NAMED.match, head) if m and m.group(1).lower() not in NOT_PACKAGES]
-                rows.append((i, any(MARKED.search(x) for x in head), *composition(text), claims))
+                rows.append((i, any(MARKED.search(x) for x in head + closing(text)), *composition(text), claims))
             columns = list(zip(*rows)) if rows else [[]] * 6
             types = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["blob_id", "marked", "minified", "data", "repetitive", "claims"])
