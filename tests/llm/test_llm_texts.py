@@ -318,6 +318,22 @@ def test_markers_and_claims_beyond_the_first_lines(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_a_source_may_have_limits_in_two_measures(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        w = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randrange(2, 12))) for _ in range(rng.randrange(10, 220))]
+        text = " ".join(w) + "."
+        if i % 2 and len(text) > 255:
+            text = text[:254] + "x"
+        elif i % 4 == 0 and len(w) > 120:
+            text = " ".join(w[:120]) + ")"
+        rows.append((i, "a", text))
+    df = spark.createDataFrame(rows, "id bigint, source string, text string")
+    cause = {r.id: r.cause for r in truncated(df, "id", "text", "source").collect()}
+    assert cause == {i: "limit" if t[-1] != "." else None for i, _, t in rows}
+
+
 def test_limits_stand_out_and_cuts_are_flagged(spark):
     rng = random.Random(3)
     rows = []

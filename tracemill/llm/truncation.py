@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 CLOSERS = "\"'`»”’)\\]}"
 # endings that a system sets where it cuts
 MARKERS = r"(?i)(…|\[(more|truncated|cut|snip|continued|\.\.\.|…)\]|\((more|truncated|continued)\)|<(truncated|snip)>|\bread more)$"
@@ -92,12 +94,36 @@ def limits(lengths: DataFrame, q: float = 0.001, least: int = 5, reach: float =
     passed = tested.withColumn("rank", F.row_number().over(ranked)).withColumn("m", F.count("*").over(whole))
     cut = F.max(F.when(F.col("p") <= F.col("rank") * q / F.col("m"), F.col("p"))).over(whole)
     passed = passed.withColumn("cut", cut).where((F.col("p") <= F.col("cut")) & (F.col("n") >= least))
-    # a limit in one measure also thickens the lengths in the others; the measure with the thickest single length is the true one
+    # a limit in one measure also thickens the lengths in the others; the measure with the thickest single length is true,
+    # and all_limits tests the others again without the texts at its limits
     thickest = F.max(F.struct("n", "measure")).over(Window.partitionBy("source"))
     passed = passed.withColumn("thickest", thickest).where("measure = thickest.measure")
     return passed.select("source", "measure", "length", "n", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected")
 
 
+def _at_limit(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (source, sizes, ...) with a column limited: whether one of the sizes is a limit of the source."""
+    key = lambda measure, length: F.concat_ws(":", measure, length.cast("string"))
+    at = found.groupBy("source").agg(F.map_from_entries(F.collect_set(F.struct(key(F.col("measure"), F.col("length")), F.lit(True)))).alias("at"))
+    limited = F.exists("sizes", lambda s: F.coalesce(F.col("at")[key(s.measure, s.length)], F.lit(False)))
+    return rows.join(at, "source", "left").withColumn("limited", limited).drop("at")
+
+
+def all_limits(rows: DataFrame, q: float = 0.001) -> DataFrame:
+    """The limits of each source in all measures, from rows (source, sizes), one per text.
+
+    Each round accepts the limits of one measure of a source and goes on without the texts that stand at them, until
+    no length is significant. What an accepted limit explains is gone then; a limit of its own is found.
+    """
+    rest, found = materialise(rows.select("source", "sizes")), None
+    while True:
+        new = materialise(limits(rest.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.length"), q))
+        found = new if found is None else found.union(new)
+        if new.isEmpty():
+            return found
+        rest = materialise(_at_limit(rest, new).where(~F.col("limited")).drop("limited"))
+
+
 def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, q: float = 0.001) -> DataFrame:
     """(id, source, ending, cause): cause is `limit`, `transfer` or null for every row with an id.
 
@@ -114,9 +140,6 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, q: flo
         ).alias("sizes"),
         ending(F.col(text_col).cast("string")).alias("ending"),
     )
-    found = limits(rows.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.length"), q)
-    at = found.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "measure", F.col("length").cast("string")), F.lit(True)))).alias("at"))
-    joined = rows.join(at, "source", "left")
-    limited = F.exists("sizes", lambda s: F.coalesce(F.col("at")[F.concat_ws(":", s.measure, s.length.cast("string"))], F.lit(False)))
-    cause = F.when(limited & (F.col("ending") != "complete"), "limit").when(F.col("ending") == "open", "transfer")
+    joined = _at_limit(rows, all_limits(rows, q))
+    cause = F.when(F.col("limited") & (F.col("ending") != "complete"), "limit").when(F.col("ending") == "open", "transfer")
     return joined.select("id", "source", "ending", cause.alias("cause"))
