@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import grammars, handwritten, licenses
+from tracemill.llm import grammars, handwritten, licenses, queries
 from tracemill.llm.derivatives import Grammar
 from tracemill.llm.leakage import Items, leaks, words
 from tracemill.llm.packing import best_fit, pack, token_counts
@@ -334,6 +334,13 @@ def test_a_source_may_have_limits_in_two_measures(spark):
     assert cause == {i: "limit" if t[-1] != "." else None for i, _, t in rows}
 
 
+def test_too_many_containers_fail_loudly(spark, tmp_path):
+    spark.createDataFrame([(1, "a text")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(1001).selectExpr("cast(id as string) as container", "cast(id + 10 as int) as capacity_tokens").write.parquet(str(tmp_path / "containers.parquet"))
+    with pytest.raises(ValueError, match="containers"):
+        queries.p8_packed(spark, str(tmp_path))
+
+
 def test_limits_stand_out_and_cuts_are_flagged(spark):
     rng = random.Random(3)
     rows = []

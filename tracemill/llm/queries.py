@@ -19,6 +19,7 @@ from .syntax import rates, verdicts, with_language
 from .truncation import truncated
 
 CODE_SIMILARITY = 0.6
+MOST_CONTAINERS = 1000
 
 
 def _licenses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +110,9 @@ def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document assigned to a container of each capacity."""
     sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
-    containers = [(r[0], r[1]) for r in table(spark, folder, "containers").select("container", "capacity_tokens").limit(1000).collect()]
+    containers = [(r[0], r[1]) for r in table(spark, folder, "containers").select("container", "capacity_tokens").limit(MOST_CONTAINERS + 1).collect()]
+    if len(containers) > MOST_CONTAINERS:
+        raise ValueError(f"more than {MOST_CONTAINERS} containers")
     return pack(sizes, containers).withColumnRenamed("id", "doc_id")
 
 
