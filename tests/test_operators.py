@@ -51,6 +51,16 @@ def test_copies_of_one_shape_stay_searchable(spark, tmp_path):
     assert {r.doc_id for r in queries.search_findings(spark, str(tmp_path)).collect()} == {r.doc_id for r in short}
 
 
+def test_the_extension_tells_an_unnamed_language(spark, tmp_path):
+    source = "# a comment\nx = 1\n"
+    spark.createDataFrame([(1, None, source), (2, "Python", source), (3, None, source), (4, None, source)], "id bigint, language string, source string").write.parquet(str(tmp_path / "blobs.parquet"))
+    spark.createDataFrame([(1, "a/b.py"), (3, "a.js"), (3, "c.ts"), (3, "d.ts"), (4, None)], "blob_id bigint, path string").write.parquet(str(tmp_path / "scan_files.parquet"))
+    got = {r.file_id: r.language for r in queries._sources(spark, str(tmp_path)).collect()}
+    assert got == {1: "python", 2: "python", 3: "typescript", 4: "javascript"}
+    shape = {r.file_id: r.shape for r in queries.token_counts(spark, str(tmp_path)).collect()}
+    assert shape[1] == shape[2]
+
+
 def test_bands(spark):
     cases = [(0.54, False, "CLEAR", "clear"), (0.95, True, "CLEAR", "common_pattern"), (0.95, True, "BLOCKING", "strong_match"), (0.6, False, "BLOCKING", "review_suggested"), (0.85, False, "CLEAR", "strong_match"), (0.7, False, "CLEAR", "review_suggested")]
     df = spark.createDataFrame(cases, "s double, i boolean, p string, want string")

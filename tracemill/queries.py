@@ -39,10 +39,15 @@ def _tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_id, language, source) of the code blobs, the language in its usual spelling."""
+    """(file_id, language, source) of the code blobs, the language in its usual spelling; where it is null, the extension of a path tells it."""
     low = F.lower(F.trim("language"))
-    name = F.when(low.isin("py", "python"), "python").when(low.isin("ts", "typescript"), "typescript").otherwise("javascript")
-    return table(spark, folder, "blobs").where(F.expr(IS_CODE) & F.col("source").isNotNull()).select(F.col("id").alias("file_id"), name.alias("language"), "source")
+    name = F.when(low.isin("py", "python"), "python").when(low.isin("ts", "typescript"), "typescript").when(low.isNotNull(), "javascript")
+    code = table(spark, folder, "blobs").where(F.expr(IS_CODE) & F.col("source").isNotNull()).select(F.col("id").alias("file_id"), name.alias("language"), "source")
+    unnamed = code.where("language is null").select("file_id")
+    seen = table(spark, folder, "scan_files").select(F.col("blob_id").alias("file_id"), X.language("path").alias("told")).where("told <> 'unknown'").join(unnamed, "file_id", "left_semi")
+    # of several paths the most frequent language counts, then the alphabetically first
+    told = seen.groupBy("file_id", "told").agg(F.count("*").alias("n")).groupBy("file_id").agg(F.max_by("told", F.struct("n", -F.ascii("told"))).alias("told"))
+    return code.join(told, "file_id", "left").select("file_id", F.coalesce("language", "told", F.lit("javascript")).alias("language"), "source")
 
 
 def _occurrences(spark: SparkSession, folder: str) -> DataFrame:
