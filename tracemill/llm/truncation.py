@@ -66,12 +66,12 @@ def _poisson_tail(c: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return out
 
 
-def limits(lengths: DataFrame, q: float = 0.001, least: int = 5, reach: float = 0.1) -> DataFrame:
+def limits(lengths: DataFrame, q: float = 0.001, least: int = 5, reach: float = 0.1, alone: bool = False) -> DataFrame:
     """(source, measure, length, n, hazard, expected): the lengths whose hazard is significant.
 
     lengths has (source, measure, length), one row per text. Neighbours are the lengths within `reach` of the
     length, at least 20 on each side. The counts per length are aggregated first, so windows run over distinct
-    lengths and not over texts.
+    lengths and not over texts. alone: a length must also stand four standard errors above the three on either side.
     """
     counts = lengths.where("length > 0").groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     part = Window.partitionBy("source", "measure").orderBy(F.col("length").desc())
@@ -94,6 +94,11 @@ def limits(lengths: DataFrame, q: float = 0.001, least: int = 5, reach: float =
     passed = tested.withColumn("rank", F.row_number().over(ranked)).withColumn("m", F.count("*").over(whole))
     cut = F.max(F.when(F.col("p") <= F.col("rank") * q / F.col("m"), F.col("p"))).over(whole)
     passed = passed.withColumn("cut", cut).where((F.col("p") <= F.col("cut")) & (F.col("n") >= least))
+    if alone:
+        near = Window.partitionBy("source", "measure").orderBy("length")
+        beside = F.greatest(F.coalesce(F.max("n").over(near.rangeBetween(-3, -1)), F.lit(0)), F.coalesce(F.max("n").over(near.rangeBetween(1, 3)), F.lit(0)))
+        spikes = counts.withColumn("beside", beside).where(F.col("n") > F.col("beside") + 4 * F.sqrt(F.col("beside") + 1.0))
+        passed = passed.join(spikes.select("source", "measure", "length"), ["source", "measure", "length"], "left_semi")
     # a limit in one measure also thickens the lengths in the others; the measure with the thickest single length is true,
     # and all_limits tests the others again without the texts at its limits
     thickest = F.max(F.struct("n", "measure")).over(Window.partitionBy("source"))
@@ -113,11 +118,12 @@ def all_limits(rows: DataFrame, q: float = 0.001) -> DataFrame:
     """The limits of each source in all measures, from rows (source, sizes), one per text.
 
     Each round accepts the limits of one measure of a source and goes on without the texts that stand at them, until
-    no length is significant. What an accepted limit explains is gone then; a limit of its own is found.
+    no length is significant. What an accepted limit explains is gone then; a limit of its own is found. Lengths
+    that are common in a source by nature lie side by side, so after the first round a limit must stand alone.
     """
     rest, found = materialise(rows.select("source", "sizes")), None
     while True:
-        new = materialise(limits(rest.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.length"), q))
+        new = materialise(limits(rest.select("source", F.explode("sizes").alias("s")).select("source", "s.measure", "s.length"), q, alone=found is not None))
         found = new if found is None else found.union(new)
         if new.isEmpty():
             return found
