@@ -1,6 +1,9 @@
 import ast
 import random
+import re
+import warnings
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +105,50 @@ def test_typed_scripts(source, valid):
     assert (grammars.check(source, "typescript")[0] == "valid") == valid
 
 
+def library(step):
+    """Sources of the standard library, every step-th; texts that begin with a byte order mark are decoded before they are parsed."""
+    root = Path(ast.__file__).parent
+    for path in sorted(p for p in root.rglob("*.py") if "site-packages" not in p.parts)[::step]:
+        try:
+            text = path.read_text(encoding="utf-8")
+        except UnicodeDecodeError:
+            continue
+        if len(text) < 200_000 and not text.startswith("\ufeff"):
+            yield path, text
+
+
+def parses(text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            return True
+        except (SyntaxError, ValueError):
+            return False
+
+
+def test_the_standard_library_agrees():
+    apart = [str(path) for path, text in library(1) if (grammars.check(text, "python")[0] == "valid") != parses(text)]
+    assert not apart
+
+
+def test_damaged_files_of_the_standard_library_agree():
+    rng = random.Random(11)
+    for path, text in library(9):
+        tokens = list(re.finditer(r"\w+|[^\w\s]|\n *", text))
+        if len(tokens) < 10:
+            continue
+        a, b, c, d = (rng.choice(tokens) for _ in range(4))
+        cut = text[: rng.randrange(len(text))]
+        for damaged in (cut, text[: a.start()] + text[a.end() :], text[: b.start()] + c.group() + text[b.end() :], text[: d.end()] + d.group() + text[d.end() :]):
+            assert (grammars.check(damaged, "python")[0] == "valid") == parses(damaged), path
+
+
+def test_lines_broken_inside_brackets():
+    for text in ("x = [1,\n  2] + y\n", "raise X('a'\n  'b') from None\n", "class A:\n    def f(self,\n          a):\n        pass\n", "f'{x['a']}'\n", "f'''{\nx!r:>{w}\n}'''\n"):
+        assert grammars.check(text, "python")[0] == "valid" and parses(text)
+
+
 def test_every_cut_of_a_python_file_agrees():
     source = "import a\n\nclass A(B):\n    def f(self, x=1):\n        if x in (1, 2):\n            return {'a': [x, *y]}\n        try:\n            pass\n        except E as e:\n            raise\n"
     for n in range(len(source)):

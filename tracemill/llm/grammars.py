@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 from .derivatives import Grammar
 
@@ -18,41 +19,128 @@ _PY = re.compile(
     r"""(?P<space>[ \t\f]+|\\\r?\n)
     |(?P<comment>\#[^\r\n]*)
     |(?P<newline>\r\n|\r|\n)
-    |(?P<string>(?:[rRbBuUfFtT]{1,2})?(?:\"{3}(?:[^\\"]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\r\n]|\\\r\n|\\[\s\S])*"|'(?:[^'\\\r\n]|\\\r\n|\\[\s\S])*'))
+    |(?P<fstring>(?:[fFtT][rR]?|[rR][fFtT])(?:\"{3}|'{3}|"|'))
+    |(?P<string>(?:[uU]|[bB][rR]?|[rR][bB]?)?(?:\"{3}(?:[^\\"]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}|"(?:[^"\\\r\n]|\\\r\n|\\[\s\S])*"|'(?:[^'\\\r\n]|\\\r\n|\\[\s\S])*'))
     |(?P<number>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*|[0-9](?:_?[0-9])*\.?)(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?))
-    |(?P<name>[^\W\d]\w*)
+    |(?P<name>[^\W\d][\w\U000e0100-\U000e01ef]*)
     |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|@=|&=|\|=|\^=|\*\*|//|>>|<<|<=|>=|==|[-+*/%@&|^~<>()\[\]{},:.;=])
+    |(?P<bang>!(?=[sra]\b))
     """,
     re.X,
 )
 _LEADING_ZERO = re.compile(r"0[0-9_]*[1-9][0-9_]*$")
 
 
+class _Open:
+    """An f-string, or the format of one of its fields, that is being read.
+
+    field: the number of brackets open where its replacement field began, or None in the literal part.
+    """
+
+    __slots__ = ("quote", "raw", "above", "spec", "field")
+
+    def __init__(self, quote, raw, above, spec):
+        self.quote, self.raw, self.above, self.spec, self.field = quote, raw, above, spec, None
+
+
+def _literal(source: str, pos: int, quote: str, raw: bool, spec: bool) -> tuple[int, str]:
+    """Where the literal part of an f-string (or of a format) that starts at pos ends, and what ends it: {, }, the quote, or "" for an error."""
+    n = len(source)
+    while pos < n:
+        c = source[pos]
+        if c == "\\":
+            if not raw and source.startswith("N{", pos + 1):
+                pos = source.find("}", pos) + 1
+                if not pos:
+                    return n, ""
+            elif source[pos + 1 : pos + 2] in ("{", "}"):
+                pos += 1
+            elif not raw and not _ESCAPE.match(source, pos):
+                return pos, ""
+            else:
+                pos += 3 if source.startswith("\r\n", pos + 1) else 2
+        elif c == "{":
+            if not spec and source.startswith("{", pos + 1):
+                pos += 2
+            else:
+                return pos + 1, "{"
+        elif c == "}":
+            if spec:
+                return pos + 1, "}"
+            if not source.startswith("}", pos + 1):
+                return pos, ""
+            pos += 2
+        elif c == quote[0] and source.startswith(quote, pos):
+            return pos + len(quote), "" if spec else quote
+        elif c in "\r\n" and len(quote) == 1:
+            return pos, ""
+        else:
+            pos += 1
+    return n, ""
+
+
+_ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{[^}]+\}|[^xuUN])", re.S)
+_BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*(?!\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{[^}]+\}))\\[xuUN]")
+_BAD_BYTE_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
+_CLOSES = {"(": ")", "[": "]", "{": "}"}
+
+
 def python_tokens(source: str):
     """Kinds of a Python source; ERROR ends the stream where no token can be read."""
-    if source.startswith("﻿"):
+    if source.startswith("\ufeff"):
         source = source[1:]
     if "\0" in source:
         yield ERROR
         return
-    pos, n, depth, indents, fresh = 0, len(source), 0, [0], True
+    pos, n, brackets, indents, fresh = 0, len(source), [], [(0, 0)], True
     some = False
+    fstring: _Open | None = None
     match = _PY.match
     while pos < n:
-        if fresh and not depth:
-            column, start = 0, pos
+        if fstring is not None and fstring.field is None:
+            pos, ended = _literal(source, pos, fstring.quote, fstring.raw, fstring.spec)
+            if ended == "":
+                # an f-string that the text ends in is no failing token, only an early end
+                if pos < n:
+                    yield ERROR
+                return
+            if ended == "{":
+                yield "{", False
+                fstring.field = len(brackets)
+                brackets.append("{")
+            elif ended == "}":
+                fstring = fstring.above
+                brackets.pop()
+                yield "}", False
+                fstring.field = None
+            else:
+                fstring = fstring.above
+                yield "FEND", False
+            continue
+        if fresh:
+            # column with tabs at multiples of eight, and with tabs as one: both must agree on the order of lines
+            column, narrow, start = 0, 0, pos
             while pos < n and source[pos] in " \t\f":
-                column = column + 1 if source[pos] == " " else (column // 8 + 1) * 8 if source[pos] == "\t" else 0
+                c = source[pos]
+                column = column + 1 if c == " " else (column // 8 + 1) * 8 if c == "\t" else 0
+                narrow = 0 if c == "\f" else narrow + 1
                 pos += 1
-            if pos < n and source[pos] not in "#\r\n" and not source.startswith("\\\n", pos):
-                if column > indents[-1]:
-                    indents.append(column)
+            if pos < n and source[pos] not in "#\r\n" and not _CONTINUED.match(source, pos):
+                if column == indents[-1][0]:
+                    if narrow != indents[-1][1]:
+                        yield ERROR
+                        return
+                elif column > indents[-1][0]:
+                    if narrow <= indents[-1][1]:
+                        yield ERROR
+                        return
+                    indents.append((column, narrow))
                     yield "INDENT", False
                 else:
-                    while column < indents[-1]:
+                    while column < indents[-1][0]:
                         indents.pop()
                         yield "DEDENT", False
-                    if column != indents[-1]:
+                    if (column, narrow) != indents[-1]:
                         yield ERROR
                         return
             fresh = False
@@ -62,30 +150,64 @@ def python_tokens(source: str):
         if m is None:
             yield ERROR
             return
-        pos = m.end()
         group = m.lastgroup
+        at, pos = pos, m.end()
         if group == "name":
             word = m.group()
             some = True
+            if not word.isascii() and not unicodedata.normalize("NFKC", word).isidentifier():
+                yield ERROR
+                return
             yield (word if word in PYTHON_KEYWORDS or word in PYTHON_SOFT else "NAME"), False
         elif group == "op":
             word = m.group()
             some = True
-            if word in "([{":
-                depth += 1
-            elif word in ")]}":
-                depth = max(0, depth - 1)
+            if fstring is not None and len(brackets) == fstring.field + 1:
+                if word[0] == ":":
+                    # a format follows, read as literal text with fields of its own
+                    pos = at + 1
+                    fstring = _Open(fstring.quote, fstring.raw, fstring, True)
+                    yield "FORMAT", False
+                    continue
+                if word == "}":
+                    brackets.pop()
+                    fstring.field = None
+                    yield "}", False
+                    continue
+            if word in _CLOSES:
+                brackets.append(word)
+            elif word in (")", "]", "}"):
+                if not brackets or _CLOSES[brackets.pop()] != word:
+                    yield ERROR
+                    return
             yield word, False
+        elif group == "bang":
+            if fstring is None or len(brackets) != fstring.field + 1:
+                yield ERROR
+                return
+            yield "CONVERSION", False
         elif group == "newline":
-            fresh = True
-            if not depth and some:
-                some = False
-                yield "NEWLINE", False
+            if not brackets:
+                fresh = True
+                if some:
+                    some = False
+                    yield "NEWLINE", False
+        elif group == "fstring":
+            some = True
+            word = m.group()
+            fstring = _Open(word.lstrip("fFtTrR"), "r" in word.lower(), fstring, False)
+            yield "FSTART", False
         elif group == "string":
             some = True
             word = m.group()
-            head = word[: min(word.find('"') % (n + 1), word.find("'") % (n + 1))]
-            if ("f" in head or "F" in head) and not _balanced(word, "r" in head.lower()):
+            head = word[: min(word.find('"') % (n + 1), word.find("'") % (n + 1))].lower()
+            if "b" in head:
+                if not word.isascii() or ("r" not in head and "\\x" in word and _BAD_BYTE_ESCAPE.search(word)):
+                    yield ERROR
+                    return
+                yield "BYTES", False
+                continue
+            if "r" not in head and "\\" in word and _BAD_ESCAPE.search(word):
                 yield ERROR
                 return
             yield "STRING", False
@@ -95,8 +217,10 @@ def python_tokens(source: str):
             if _LEADING_ZERO.match(word) or (pos < n and (source[pos].isalnum() or source[pos] == "_") and not _PY_AFTER_NUMBER.match(source, pos)):
                 yield ERROR
                 return
-            yield "NUMBER", False
-    if depth:
+            yield ("COMPLEX" if word[-1] in "jJ" else "NUMBER"), False
+        elif group == "space" and m.group()[0] == "\\" and pos >= n:
+            return
+    if brackets or fstring is not None:
         return
     if some:
         yield "NEWLINE", False
@@ -105,32 +229,7 @@ def python_tokens(source: str):
 
 
 _PY_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
-
-
-def _balanced(word: str, raw: bool) -> bool:
-    """Whether the replacement fields of an f-string are closed and not empty."""
-    body = word[word.index(word[-1]) :]
-    quote = 3 if body[:3] in ('"""', "'''") and len(body) >= 6 else 1
-    body = body[quote:-quote]
-    i, depth, opened = 0, 0, 0
-    while i < len(body):
-        c = body[i]
-        if not depth and c in "{}":
-            if body[i : i + 2] in ("{{", "}}"):
-                i += 2
-                continue
-            if c == "}":
-                return False
-            depth, opened = 1, i
-        elif depth:
-            if c in "{[(":
-                depth += 1
-            elif c in "}])":
-                depth -= 1
-                if not depth and not body[opened + 1 : i].strip():
-                    return False
-        i += 1
-    return depth == 0
+_CONTINUED = re.compile(r"\\\r?\n")
 
 
 PYTHON = """
@@ -138,22 +237,25 @@ file = {statement} ;
 statement = simple | compound ;
 simple = small {';' small} [';'] NEWLINE ;
 small = assignment | 'pass' | 'break' | 'continue' | 'return' [starexprs] | 'raise' [expr ['from' expr]] | 'global' names | 'nonlocal' names
-      | 'del' targets | 'assert' expr [',' expr] | importing | yielding | 'type' name [typeparams] '=' expr ;
+      | 'del' deltarget {',' deltarget} [','] | 'assert' expr [',' expr] | importing | yielding | 'type' name [typeparams] '=' expr ;
 names = name {',' name} ;
 name = NAME | 'match' | 'case' | 'type' ;
 importing = 'import' dotted ['as' name] {',' dotted ['as' name]}
           | 'from' ({'.' | '...'} dotted | ('.' | '...') {'.' | '...'}) 'import' ('*' | imported | '(' imported [','] ')') ;
 imported = name ['as' name] {',' name ['as' name]} ;
 dotted = name {'.' name} ;
-assignment = starexprs | targets '=' {targets '='} (starexprs | yielding) | target (':' expr ['=' (starexprs | yielding)] | AUGMENT (starexprs | yielding)) ;
+assignment = starexprs | targets '=' {targets '='} (starexprs | yielding) | single (':' expr ['=' (starexprs | yielding)] | AUGMENT (starexprs | yielding)) ;
 targets = startarget {',' startarget} [','] ;
 startarget = ['*'] target ;
-target = primary_t ;
-primary_t = name {trailer} | atom trailer {trailer} | '(' [targets] ')' {trailer} | '[' [targets] ']' {trailer} | power_t ;
-power_t = NONE ;
+target = access | name | '(' target ')' | '(' [startarget ',' [targets]] ')' | '[' [targets] ']' ;
+single = access | name | '(' single ')' ;
+deltarget = access | name | '(' [deltarget {',' deltarget} [',']] ')' | '[' [deltarget {',' deltarget} [',']] ']' ;
+access = atom {trailer} ('.' name | '[' subscripts ']') ;
 trailer = '.' name | '(' [arguments] ')' | '[' subscripts ']' ;
 starexprs = starexpr {',' starexpr} [','] ;
-starexpr = '*' bitor | named ;
+starexpr = '*' bitor | expr ;
+items = item {',' item} [','] ;
+item = '*' bitor | named ;
 named = name ':=' expr | expr ;
 yielding = 'yield' ['from' expr | starexprs] ;
 expr = disjunction ['if' disjunction 'else' expr] | lambda ;
@@ -163,37 +265,45 @@ inversion = {'not'} comparison ;
 comparison = bitor {compare bitor} ;
 compare = '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' ['not'] ;
 bitor = factor {binary factor} ;
-binary = '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' ;
-factor = {'+' | '-' | '~'} ['await'] atom {trailer} ;
-atom = name | 'True' | 'False' | 'None' | NUMBER | STRING {STRING} | '...' | group | list | braces ;
-group = '(' [yielding | starexprs | (named | '*' bitor) comp] ')' ;
-list = '[' [starexprs | (named | '*' bitor) comp] ']' ;
-braces = '{' [starexprs | named comp | pair {',' pair} [','] | expr ':' expr comp] '}' ;
+binary = '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' ;
+factor = {'+' | '-' | '~'} ['await'] atom {trailer} ['**' factor] ;
+atom = name | 'True' | 'False' | 'None' | NUMBER | COMPLEX | strings | '...' | group | list | braces ;
+strings = text {text} | BYTES {BYTES} ;
+text = STRING | FSTART {field} FEND ;
+field = '{' (yielding | starexprs) ['='] [CONVERSION name] [FORMAT {field}] '}' ;
+group = '(' [yielding | named [comp] | item ',' [items]] ')' ;
+list = '[' [items | named comp] ']' ;
+braces = '{' [items | named comp | pair {',' pair} [','] | expr ':' expr comp] '}' ;
 pair = expr ':' expr | '**' bitor ;
-comp = compfor {compfor | 'if' disjunctions} ;
-disjunctions = named ;
+comp = compfor {compfor | 'if' disjunction} ;
 compfor = ['async'] 'for' targets 'in' disjunction ;
-arguments = positional {',' positional} [',' keyword {',' keyword}] [','] | keyword {',' keyword} [','] | named comp ;
+arguments = positional {',' positional} [',' keywords] [','] | keywords [','] | named comp ;
 positional = named | '*' expr ;
-keyword = name '=' expr | '**' expr | '*' expr ;
+keywords = kw {',' kw} [',' dkw {',' dkw}] | dkw {',' dkw} ;
+kw = name '=' expr | '*' expr ;
+dkw = name '=' expr | '**' expr ;
 subscripts = subscript {',' subscript} [','] ;
 subscript = named | '*' bitor | [expr] ':' [expr] [':' [expr]] ;
 compound = function | conditional | class | with | for | try | while | matching ;
 block = NEWLINE INDENT statement {statement} DEDENT | simple ;
 decorators = '@' named NEWLINE {'@' named NEWLINE} ;
-function = [decorators] ['async'] 'def' name [typeparams] '(' [params] ')' ['->' expr] ':' block ;
+function = [decorators] ['async'] 'def' name [typeparams] '(' [params [',']] ')' ['->' expr] ':' block ;
 typeparams = '[' typeparam {',' typeparam} [','] ']' ;
-typeparam = ['*' | '**'] name [':' expr] ['=' expr] ;
-params = required {',' required} [',' '/'] [',' defaulted {',' defaulted} [',' '/']] [',' rest] [','] | defaulted {',' defaulted} [',' '/'] [',' rest] [','] | rest [','] ;
+typeparam = name [':' expr] ['=' expr] | '*' name ['=' starexpr] | '**' name ['=' expr] ;
+params = req [',' '/' [',' req]] [',' def] [',' rest] | req ',' def ',' '/' [',' def] [',' rest] | def [',' '/' [',' def]] [',' rest] | rest ;
+req = required {',' required} ;
+def = defaulted {',' defaulted} ;
 required = name [':' expr] ;
 defaulted = name [':' expr] '=' expr ;
-rest = '*' name [':' ['*'] expr] {',' keyonly} [',' '**' required] | '*' ',' keyonly {',' keyonly} [',' '**' required] | '**' required ;
+rest = '*' (name [':' starexpr] {',' keyonly} | ',' keyonly {',' keyonly}) [',' '**' required] | '**' required ;
 keyonly = required | defaulted ;
-lambdaparams = lrequired {',' lrequired} [',' '/'] [',' ldefaulted {',' ldefaulted} [',' '/']] [',' lrest] [','] | ldefaulted {',' ldefaulted} [',' '/'] [',' lrest] [','] | lrest [','] ;
-lrequired = name ;
+lambdaparams = lparams [','] ;
+lparams = names_l [',' '/' [',' names_l]] [',' ldef] [',' lrest] | names_l ',' ldef ',' '/' [',' ldef] [',' lrest] | ldef [',' '/' [',' ldef]] [',' lrest] | lrest ;
+names_l = name {',' name} ;
+ldef = ldefaulted {',' ldefaulted} ;
 ldefaulted = name '=' expr ;
-lrest = '*' name {',' lkeyonly} [',' '**' name] | '*' ',' lkeyonly {',' lkeyonly} [',' '**' name] | '**' name ;
-lkeyonly = lrequired | ldefaulted ;
+lrest = '*' (name {',' lkeyonly} | ',' lkeyonly {',' lkeyonly}) [',' '**' name] | '**' name ;
+lkeyonly = name ['=' expr] ;
 conditional = 'if' named ':' block {'elif' named ':' block} ['else' ':' block] ;
 while = 'while' named ':' block ['else' ':' block] ;
 for = ['async'] 'for' targets 'in' starexprs ':' block ['else' ':' block] ;
@@ -201,17 +311,18 @@ class = [decorators] 'class' name [typeparams] ['(' [arguments] ')'] ':' block ;
 with = ['async'] 'with' (withitem {',' withitem} | '(' withitem {',' withitem} [','] ')') ':' block ;
 withitem = expr ['as' startarget] ;
 try = 'try' ':' block (handlers ['else' ':' block] ['finally' ':' block] | 'finally' ':' block) ;
-handlers = handler {handler} ;
-handler = 'except' [['*'] expr {',' expr} ['as' name]] ':' block ;
-matching = 'match' starexprs ':' NEWLINE INDENT case {case} DEDENT ;
-case = 'case' patterns ['if' named] ':' block ;
-patterns = aspattern {',' aspattern} [','] ;
-aspattern = '*' name | orpattern ['as' name] ;
-orpattern = closed {'|' closed} ;
-closed = ['-'] NUMBER [('+' | '-') NUMBER] | STRING {STRING} | 'None' | 'True' | 'False' | dotted ['(' [patternargs] ')'] | '(' [patterns] ')' | '[' [patterns] ']' | '{' [mapping {',' mapping} [',']] '}' ;
-patternargs = patternarg {',' patternarg} [','] ;
-patternarg = [name '='] aspattern ;
-mapping = (['-'] NUMBER | STRING {STRING} | 'None' | 'True' | 'False' | dotted) ':' aspattern | '**' name ;
+handlers = handler {handler} | starhandler {starhandler} ;
+handler = 'except' [expr ['as' name]] ':' block ;
+starhandler = 'except' '*' expr ['as' name] ':' block ;
+matching = 'match' (named | item ',' [items]) ':' NEWLINE INDENT case {case} DEDENT ;
+case = 'case' (aspattern | starpattern ',' [sequence]) ['if' named] ':' block ;
+sequence = starpattern {',' starpattern} [','] ;
+starpattern = '*' name | aspattern ;
+aspattern = closed {'|' closed} ['as' name] ;
+closed = ['-'] (NUMBER | COMPLEX) | ['-'] NUMBER ('+' | '-') COMPLEX | strings | 'None' | 'True' | 'False' | dotted ['(' [patternargs [',']] ')'] | '(' [aspattern | starpattern ',' [sequence]] ')' | '[' [sequence] ']' | '{' [mapping [',']] '}' ;
+patternargs = aspattern {',' aspattern} {',' name '=' aspattern} | name '=' aspattern {',' name '=' aspattern} ;
+mapping = entry {',' entry} [',' '**' name] | '**' name ;
+entry = (['-'] (NUMBER | COMPLEX) | ['-'] NUMBER ('+' | '-') COMPLEX | strings | 'None' | 'True' | 'False' | name '.' dotted) ':' aspattern ;
 """
 
 _AUGMENTED = frozenset("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split())

@@ -55,9 +55,12 @@ def verdicts(sources: DataFrame) -> DataFrame:
 
 
 def rates(found: DataFrame, files: DataFrame) -> DataFrame:
-    """(repository, language, files, failed, truncated, rate): every ingested file counts; a null repository is one of its own."""
+    """(repository, language, files, failed, truncated, undecided, rate): every ingested file counts; a null repository is one of its own.
+
+    rate is the share of failed and truncated files among those that could be decided, null where there is none.
+    """
     held = files.select("repository", F.col("blob_id").alias("id")).groupBy("repository", "id").agg(F.count("*").alias("n"))
     joined = held.join(found.select("id", "language", "verdict").dropDuplicates(["id"]), "id")
     each = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0))
-    out = joined.groupBy("repository", "language").agg(F.sum("n").alias("files"), each("failed").alias("failed"), each("truncated").alias("truncated"))
-    return out.withColumn("rate", (F.col("failed") + F.col("truncated")) / F.col("files"))
+    out = joined.groupBy("repository", "language").agg(F.sum("n").alias("files"), each("failed").alias("failed"), each("truncated").alias("truncated"), each("undecided").alias("undecided"))
+    return out.withColumn("rate", F.try_divide(F.col("failed") + F.col("truncated"), F.col("files") - F.col("undecided")))
