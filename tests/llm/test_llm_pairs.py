@@ -1,12 +1,16 @@
 import random
 import re
+import subprocess
+import sys
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import hashing, history
-from tracemill.llm.arrivals import repeats
+from tracemill.llm import hashing
+from tracemill.llm.arrivals import deliver, history_index, repeats
+from tracemill.llm.classes import possible
 from tracemill.llm.components import components
 from tracemill.llm.near_duplicates import Sketch, near_duplicates
 from tracemill.llm.shared_spans import HOT, cover_for, difference_cover, shared_spans
@@ -131,7 +135,8 @@ def test_shared_spans_equal_brute_force(spark):
     assert {tuple(r) for r in found.pairs().collect()} == want
     share = {r.id: r for r in found.coverage().collect()}
     assert share[60].share == 1.0 and all(0 <= r.share <= 1 for r in share.values())
-    assert {i for i, r in share.items() if r.partners} == {x for pair in want for x in pair}
+    assert {i for i, r in share.items() if r.shared_chars} == {x for pair in want for x in pair}
+    assert {r.id for r in found.partners().collect()} == {x for pair in want for x in pair}
 
 
 def test_a_heading_shared_by_many_is_no_span(spark):
@@ -160,9 +165,43 @@ def test_coverage_holds_every_span_of_a_hot_group(spark):
         for k in range(len(t) - 239):
             if len(holders[t[k : k + 240]]) > 1:
                 marked.update(range(k, k + 240))
-        want[i] = (len(t), len(marked), 797)
-    got = shared_spans(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 240).coverage().collect()
-    assert {r.id: (r.chars, r.shared_chars, r.partners) for r in got} == want
+        want[i] = (len(t), len(marked))
+    found = shared_spans(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 240)
+    assert {r.id: (r.chars, r.shared_chars) for r in found.coverage().collect()} == want
+    assert {r.partners for r in found.partners().collect()} == {797}
+
+
+@pytest.mark.parametrize("n", [HOT - 1, HOT, HOT + 1])
+def test_coverage_on_both_sides_of_a_hot_group(spark, n):
+    rng = random.Random(n)
+    noise = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    part = noise(300)
+    rows = [(i, noise(i) + part + noise(50)) for i in range(n)]
+    found = shared_spans(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 240)
+    windows = Counter(w for _, t in rows for w in {t[k : k + 240] for k in range(len(t) - 239)})
+    want = {i: len({x for k in range(len(t) - 239) if windows[t[k : k + 240]] > 1 for x in range(k, k + 240)}) for i, t in rows}
+    assert {r.id: r.shared_chars for r in found.coverage().collect()} == want
+    assert found.pairs().count() == n * (n - 1) // 2
+
+
+def test_clashing_names_are_told_apart(spark, monkeypatch):
+    from tracemill.llm import shared_spans as module
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id bigint, text string")
+    constant = lambda *c: F.lit(5).cast("bigint") if len(c) == 1 else F.hash(*c).cast("bigint")
+    monkeypatch.setattr(module.F, "xxhash64", constant)
+    names = [r[0] for r in df.select(module._names(df)).collect()]
+    assert names[0] == names[2] != names[1]
+
+
+def test_the_filter_loses_no_id(spark):
+    rows, ids = spark.range(20_000).withColumn("x", F.lit("text")), spark.range(0, 20_000, 7).withColumnRenamed("id", "k")
+    for bits in (1 << 8, 1 << 12, 1 << 20):
+        kept = possible(rows, "id", ids, bits)
+        assert kept.join(ids.withColumnRenamed("k", "id"), "id").count() == ids.count()
+    assert kept.count() < 1.01 * ids.count()
+    assert possible(rows, "id", ids.where("false")).count() == 0
+    assert possible(rows.withColumn("id", F.lit(None).cast("bigint")), "id", ids).count() <= 20_000
 
 
 def test_shared_spans_of_nothing(spark):
@@ -220,16 +259,50 @@ def test_repeats_equal_brute_force(spark, deliveries):
 
 def test_one_delivery_equals_batch_after_batch(spark, deliveries):
     old, new = deliveries
-    h = spark.createDataFrame(old, "ref bigint, text string").where("text is not null").withColumn("ref", F.col("ref") * 2)
-    rows = spark.createDataFrame(new, "ref bigint, batch int, text string").where("text is not null and batch is not null").withColumn("ref", F.col("ref") * 2 + 1)
-    whole = history.PrefixIndex.build(h, 0.6)
-    whole.append(rows)
-    want = {(r.a, r.b) for r in whole.probe(rows).collect()}
-    index, got = history.PrefixIndex.build(h, 0.6), set()
+    h = spark.createDataFrame(old, "id bigint, source string")
+    rows = spark.createDataFrame(new, "arrival_id bigint, batch_no int, source string").where("batch_no is not null")
+    want = {tuple(r) for r in repeats(h, rows, 0.6).collect()}
+    index, got = history_index(h, 0.6), set()
     for n in (1, 2, 3):
-        batch = rows.where(F.col("batch") == n)
-        index.append(batch)
-        got |= {(r.a, r.b) for r in index.probe(batch).collect()}
+        got |= {tuple(r) for r in deliver(index, rows.where(F.col("batch_no") == n)).collect()}
     assert got == want and want
     index.drop()
-    whole.drop()
+
+
+OPENED = """
+import sys
+from pyspark.sql import SparkSession
+from tracemill.llm.arrivals import deliver
+from tracemill.llm.history import PrefixIndex
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.checkpoint.dir", "file://" + sys.argv[1] + "/other").config("spark.sql.warehouse.dir", sys.argv[1] + "/warehouse").getOrCreate()
+index = PrefixIndex.open(spark, sys.argv[1] + "/index")
+rows = spark.createDataFrame(eval(sys.argv[2]), "arrival_id bigint, batch_no int, source string")
+print("RESULT", sorted(tuple(r) for r in deliver(index, rows).collect()))
+"""
+
+
+def test_an_index_is_opened_by_another_process(spark, deliveries, tmp_path):
+    old, new = deliveries
+    h = spark.createDataFrame(old, "id bigint, source string")
+    rows = spark.createDataFrame(new, "arrival_id bigint, batch_no int, source string").where("batch_no is not null")
+    want = sorted(tuple(r) for r in repeats(h, rows, 0.6).collect())
+    index = history_index(h, 0.6, path=str(tmp_path / "index"))
+    first = [tuple(r) for r in deliver(index, rows.where("batch_no = 1")).collect()]
+    index.close()
+    later = [x for x in new if x[1] in (2, 3)]
+    out = subprocess.run([sys.executable, "-c", OPENED, str(tmp_path), repr(later)], capture_output=True, text=True, timeout=300)
+    got = next(eval(x[7:]) for x in out.stdout.splitlines() if x.startswith("RESULT"))
+    assert sorted(first + got) == want
+
+
+def test_a_batch_reads_the_texts_of_its_shards_only(spark, tmp_path):
+    rng = random.Random(8)
+    h = spark.createDataFrame([(i, text(rng, 60)) for i in range(200)], "id bigint, source string")
+    index = history_index(h, 0.6, path=str(tmp_path / "index"))
+    one = index.texts(spark.createDataFrame([(1,)], "shard int"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shard" in plan and "(shard#" in plan and "= 1)]" in plan
+    assert 0 < one.count() < 200 and {r.shard for r in one.collect()} == {1}
+    batch = spark.createDataFrame([(1, 1, h.where("id = 7").first().source + " more")], "arrival_id bigint, batch_no int, source string")
+    assert [tuple(r) for r in deliver(index, batch).collect()] == [(1, "near", 1)]
+    index.drop()

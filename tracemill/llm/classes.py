@@ -1,21 +1,56 @@
-"""Classes of equal texts: one representative stands for all copies."""
+"""Classes of equal texts, one representative for all copies, and the choice of the texts that few ids name."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-MOST_BROADCAST_IDS = 1_000_000
+FILTER_BITS = 1 << 27
+TASK_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 60
 
 
-def among(texts: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFrame:
-    """The rows of texts whose key is (or is not) among the distinct ids, a one-column table of the same name.
+def possible(rows: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key may be among the ids, a one-column table; callers join them with the ids, which is exact.
 
-    Up to MOST_BROADCAST_IDS ids (8 MB) are counted and then sent to the texts; beyond that both sides are shuffled.
+    A Bloom filter of a fixed size (16 MB for the default) is built from the ids by aggregation, three bits of one
+    word for each, and sent to the rows. Only its words reach the driver, at most bits / 64 of them whatever the
+    number of ids. The more ids, the more rows pass that the join drops again; no row of an id is ever lost.
+    """
+    words = bits >> 6
+    shift = 64 - int(math.log2(words))
+    h = F.xxhash64(ids.columns[0])
+    bit = lambda by: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    mask = bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))
+    found = ids.select(F.shiftrightunsigned(h, shift).cast("int").alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table = np.zeros(words, dtype=np.uint64)
+    table[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        x = hashes.to_numpy(dtype=np.int64).view(np.uint64)
+        word = shared.value[(x >> np.uint64(shift)).astype(np.int64)]
+        ok = np.ones(len(x), dtype=bool)
+        for by in (0, 6, 12):
+            ok &= (word >> ((x >> np.uint64(by)) & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(ok)
+
+    return rows.where(maybe(F.xxhash64(key)))
+
+
+def tasks_for(df: DataFrame, growth: float) -> int:
+    """Partitions for a shuffle of `growth` times the bytes that df is read from, so that a task holds about TASK_BYTES.
+
+    Where the size is not known (rows that come from no file), the session's number.
     """
-    few = ids.limit(MOST_BROADCAST_IDS + 1).count() <= MOST_BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, key, "left_semi" if keep else "left_anti")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(size * growth / TASK_BYTES)) if size < UNKNOWN_BYTES else least
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

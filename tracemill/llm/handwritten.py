@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classes import among
+from .classes import possible
 from .corpus import is_code
 
 HEAD_LINES = 12

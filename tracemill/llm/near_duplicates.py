@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .classes import among, expand_pairs
+from .classes import expand_pairs, possible
 from .hashing import mix, shingle_sets
 
 
@@ -112,7 +112,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, k: int, p: Sketch) -> Da
 
 
 def verified(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the pairs (a, b) whose exact similarity reaches the threshold; the texts are (id, text)."""
+    """(a, b, similarity) of the pairs (a, b) whose exact similarity reaches the threshold; the texts are (id, text).
+
+    Texts that surely are in no pair are left where they lie; the others are shuffled to their pairs.
+    """
 
     def run(batches):
         for batch in batches:
@@ -136,7 +139,7 @@ def verified(pairs: DataFrame, texts_a: DataFrame, texts_b: DataFrame, k: int, t
             yield pa.RecordBatch.from_arrays([pa.array([z[i] for i in keep], t) for z, t in ((a, pa.int64()), (b, pa.int64()), (out, pa.float64()))], names=["a", "b", "similarity"])
 
     pairs = materialise(pairs.select("a", "b"))
-    side = lambda texts, i: among(texts, "id", pairs.select(F.col(i).alias("id")).distinct()).select(F.col("id").alias(i), F.col("text").alias(f"text_{i}"))
+    side = lambda texts, i: possible(texts, "id", pairs.select(i)).select(F.col("id").alias(i), F.col("text").alias(f"text_{i}"))
     left, right = side(texts_a, "a"), side(texts_b, "b")
     wide = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return wide.mapInArrow(run, "a bigint, b bigint, similarity double")

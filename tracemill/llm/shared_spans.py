@@ -14,16 +14,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .classes import expand_pairs
+from .classes import expand_pairs, possible, tasks_for
 from .hashing import window_hashes
 
 HOT = 64
 LOW = np.uint64(0xFFFF)
-MOST_BROADCAST_ROWS = 100_000
+MOST_CLASHES = 1000
 
 
 def difference_cover(q: int) -> tuple[int, list[int]]:
@@ -176,33 +176,62 @@ def _whole_characters(a: np.ndarray, start: int, size: int) -> tuple[int, int, i
     return start + int(heads[0]), size - int(heads[0]), len(heads)
 
 
+def _names(texts: DataFrame) -> Column:
+    """A 64-bit name of the column text that differs between all different texts.
+
+    Names are hashes; where a second, independent one tells two texts of a name apart (two of 10**8 texts clash with
+    probability 3e-4), that name is replaced by the second hash, so texts are one only if 128 bits agree.
+    """
+    first, second = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    both = texts.groupBy(first.alias("name")).agg(F.min(second).alias("low"), F.max(second).alias("high"))
+    clashing = [r[0] for r in both.where("low <> high").select("name").limit(MOST_CLASHES + 1).collect()]
+    if len(clashing) > MOST_CLASHES:
+        raise ValueError(f"more than {MOST_CLASHES} names of 64 bits clash")
+    return F.when(first.isin(clashing), second).otherwise(first) if clashing else first
+
+
 @dataclass(frozen=True)
 class SharedSpans:
-    """spans: (a, b, start_a, start_b, bytes, chars) between distinct texts; members: (id, rep); texts: (id, text);
-    hot: (id, start), the windows of `length` characters around hot anchors that stand in other texts too.
+    """met and continued: (a, b, pos_a, pos_b), places where two distinct texts have an anchor or a hot window in common;
+    members: (id, rep); texts: (id, text), copies not removed; hot: (id, start), the windows of `length` characters
+    around hot anchors that stand in other texts too.
 
-    The ids of spans, texts and reps are 64-bit names of the texts, so copies need no join before the search.
-    Every pair has a span. The spans of a pair that only hot anchors join may lack some; hot holds their places.
+    The ids of places, texts and reps are 64-bit names of the texts, so copies need no join before the search. met has
+    at most HOT partners for an anchor of a text; with the places in hot it marks all that is shared. continued
+    adds the pairs of hot groups, a place for each.
     """
 
-    spans: DataFrame
+    met: DataFrame
+    continued: DataFrame
     members: DataFrame
     texts: DataFrame
     hot: DataFrame
     length: int
 
+    def spans(self, hot: bool = True) -> DataFrame:
+        """(a, b, start_a, start_b, bytes, chars) of the texts that share a span, without those of hot windows if asked.
+
+        Every pair has a span; the spans of a pair that only hot anchors join may lack some, whose places are in hot.
+        """
+        places = self.met.union(self.continued) if hot else self.met
+        candidates = materialise(places.groupBy("a", "b").agg(F.collect_set(F.pmod(F.col("pos_a") - F.col("pos_b"), F.lit(1 << 16))).alias("shifts")))
+        known = distinct_texts(self.texts, candidates.select(F.col("a").alias("id")).union(candidates.select("b")))
+        text = lambda i: known.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"))
+        wide = candidates.join(text("a"), "a").join(text("b"), "b").select("a", "b", "shifts", "ta", "tb")
+        length = self.length
+        return wide.mapInArrow(lambda batches: _extended(batches, length), "a bigint, b bigint, start_a bigint, start_b bigint, bytes bigint, chars bigint")
+
     def pairs(self) -> DataFrame:
         """(a, b), a < b: the records that share a span, copies included."""
-        return expand_pairs(self.spans.select("a", "b").distinct(), self.members)
+        return expand_pairs(self.spans().select("a", "b").distinct(), self.members)
 
     def coverage(self) -> DataFrame:
-        """(id, chars, shared_chars, share, partners): how much of each record stands in another one too.
+        """(id, chars, shared_chars, share): how much of each record stands in another one too.
 
-        A copy shares all of itself. Records shorter than the least length are not listed.
+        A copy shares all of itself. Records shorter than the least length are not listed. Hot groups are not paired.
         """
-        spans = materialise(self.spans)
-        marks = spans.select(F.col("a").alias("id"), F.col("start_a").alias("start"), "bytes", F.col("b").alias("other")).union(spans.select("b", "start_b", "bytes", "a"))
-        partners = marks.select("id", "other").distinct().groupBy("id").agg(F.count("*").alias("linked"))
+        spans = materialise(self.spans(hot=False))
+        marks = spans.select(F.col("a").alias("id"), F.col("start_a").alias("start"), "bytes").union(spans.select("b", "start_b", "bytes"))
         ranges = marks.groupBy("id", "start").agg(F.max("bytes").alias("bytes")).groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges"))
         windows = self.hot.groupBy("id").agg(F.collect_list("start").alias("windows"))
         length = self.length
@@ -226,11 +255,39 @@ class SharedSpans:
                     shared.append(int((is_head & (np.cumsum(edges[:-1]) > 0)).sum()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], names=["rep", "chars", "shared_chars"])
 
-        sizes = self.texts.join(ranges, "id", "left").join(windows, "id", "left").select("id", "text", "ranges", "windows").mapInArrow(run, "rep bigint, chars bigint, shared_chars bigint")
+        once = self.texts.groupBy("id").agg(F.first("text").alias("text"))
+        sizes = once.join(ranges, "id", "left").join(windows, "id", "left").select("id", "text", "ranges", "windows").mapInArrow(run, "rep bigint, chars bigint, shared_chars bigint")
         classes = self.members.groupBy("rep").agg(F.count("*").alias("copies"))
-        whole = self.members.join(sizes, "rep").join(classes, "rep").join(partners.withColumnRenamed("id", "rep"), "rep", "left")
+        whole = self.members.join(sizes, "rep").join(classes, "rep")
         shared = F.when(F.col("copies") > 1, F.col("chars")).otherwise(F.col("shared_chars"))
-        return whole.select("id", "chars", shared.alias("shared_chars"), (shared / F.col("chars")).alias("share"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("partners"))
+        return whole.select("id", "chars", shared.alias("shared_chars"), (shared / F.col("chars")).alias("share"))
+
+    def partners(self) -> DataFrame:
+        """(id, partners): the number of records that share a span with each record that shares one."""
+        pairs = self.pairs()
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("partners"))
+
+
+def distinct_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text), each id once, of at least the texts (id, text) that are among the ids."""
+    return possible(texts, "id", ids).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _extended(batches, length: int):
+    """The spans of at least `length` characters of pairs (a, b, shifts, text a, text b), along the given shifts."""
+    for batch in batches:
+        out: list[tuple] = []
+        last, codes_b = None, None
+        for a, b, shifts, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            codes_a = _bytes(ta.as_py())
+            if b != last:
+                last, codes_b = b, _bytes(tb.as_py())
+            for shift in (x for low in shifts for x in range(low - ((len(codes_b) + low) >> 16 << 16), len(codes_a), 1 << 16)):
+                for start, size in _runs(codes_a, codes_b, shift, length):
+                    s, n, chars = _whole_characters(codes_a, start, size)
+                    if chars >= length:
+                        out.append((a, b, s, s - shift, n, chars))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=["a", "b", "start_a", "start_b", "bytes", "chars"])
 
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -> SharedSpans:
@@ -239,12 +296,12 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
     Rows with a null id or text, and texts shorter than length, share nothing. Equal texts are searched once.
     """
     known = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where((F.length("text") >= length) & F.col("id").isNotNull())
-    named = known.select(F.xxhash64("text").alias("id"), "text")
-    members = known.select("id", F.xxhash64("text").alias("rep")).distinct()
-    reps = named.groupBy("id").agg(F.first("text").alias("text"))
+    name = _names(known)
+    named = known.select(name.alias("id"), "text")
+    members = known.select("id", name.alias("rep")).distinct()
     period, _, _ = cover_for(length)
 
-    hashed = anchors(named, length).repartition(F.shiftright("key", 16)).sortWithinPartitions("key", "id")
+    hashed = anchors(named, length).repartition(tasks_for(df, 4.0), F.shiftright("key", 16)).sortWithinPartitions("key", "id")
     met = materialise(hashed.mapInArrow(_meet, "a bigint, b bigint, pos_a int, pos_b int"))
     alone = met.where("b is null")
     hot = alone.groupBy(F.col("a").alias("id")).agg(F.collect_set("pos_a").alias("at"))
@@ -274,9 +331,7 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(leads))], names=["key", "id", "start", "lead"])
 
-    # few hot rows travel to the texts, many make the texts travel
-    beside = F.broadcast(hot) if alone.count() <= MOST_BROADCAST_ROWS else hot
-    keyed = named.join(beside, "id").select("id", "text", "at").mapInArrow(around, "key bigint, id bigint, start int, lead boolean")
+    keyed = distinct_texts(named, hot.select("id")).join(hot, "id").select("id", "text", "at").mapInArrow(around, "key bigint, id bigint, start int, lead boolean")
     keyed = materialise(keyed.distinct())
     # windows that stand in the same set of records tell the same pairs; one of them is enough, at its first place
     once = keyed.where("lead")
@@ -285,26 +340,5 @@ def shared_spans(df: DataFrame, id_col: str, text_col: str, length: int = 240) -
     side = lambda i: chosen.select("key", F.col("id").alias(i), F.col("start").alias(f"pos_{i}"))
     continued = side("a").join(side("b"), "key").where("a < b").select("a", "b", "pos_a", "pos_b")
 
-    shifts = met.where("b is not null").select("a", "b", "pos_a", "pos_b").union(continued)
-    candidates = shifts.groupBy("a", "b").agg(F.collect_set(F.pmod(F.col("pos_a") - F.col("pos_b"), F.lit(1 << 16))).alias("shifts"))
-
-    def extend(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            last, codes_b = None, None
-            for a, b, shifts, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
-                codes_a = _bytes(ta.as_py())
-                if b != last:
-                    last, codes_b = b, _bytes(tb.as_py())
-                for shift in (x for low in shifts for x in range(low - ((len(codes_b) + low) >> 16 << 16), len(codes_a), 1 << 16)):
-                    for start, size in _runs(codes_a, codes_b, shift, length):
-                        s, n, chars = _whole_characters(codes_a, start, size)
-                        if chars >= length:
-                            out.append((a, b, s, s - shift, n, chars))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(6)], names=["a", "b", "start_a", "start_b", "bytes", "chars"])
-
-    text = lambda i: reps.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"))
-    wide = candidates.join(text("a"), "a").join(text("b"), "b").select("a", "b", "shifts", "ta", "tb")
-    spans = wide.mapInArrow(extend, "a bigint, b bigint, start_a bigint, start_b bigint, bytes bigint, chars bigint")
     everywhere = keyed.join(sets.select("key"), "key", "left_semi").select("id", "start")
-    return SharedSpans(spans, members, reps, everywhere, length)
+    return SharedSpans(met.where("b is not null").select("a", "b", "pos_a", "pos_b"), continued, members, named, everywhere, length)
