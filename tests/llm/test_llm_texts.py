@@ -405,3 +405,53 @@ def test_limits_stand_out_and_cuts_are_flagged(spark):
     assert got[5000] == "transfer" and got[5001] is None and got[5002] is None
     assert {i for i, c in got.items() if c == "limit"} == {i for i, s, t in rows if s == "a" and t.endswith("w")}
     assert truncated(df.where("false"), "id", "text", "source").count() == 0
+
+
+def _holders(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice("alpha beta gamma delta rho tau".split()) for _ in range(6))
+    common = ["}", "return x", "x = 1"]
+    texts = {}
+    for i in range(40):
+        body = [line() for _ in range(rng.randrange(1, 30))] + rng.sample(common, 2)
+        if i >= 20:
+            source = texts[rng.randrange(20)].split("\n")
+            body = [x if rng.random() > 0.15 else line() for x in source] + [line() for _ in range(rng.randrange(3))]
+        texts[i] = "\n".join(body)
+    texts[40], texts[41], texts[42] = "}", "", "}\r\n  }\t\r\n"
+    held = {(i, rng.randrange(7)) for i in texts} | {(i, rng.randrange(7)) for i in texts}
+    return texts, held
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_containment_equals_brute_force(spark, least):
+    texts, held = _holders(spark)
+    lines = {i: {x.replace("\t", " ").strip(" ") for x in re.split("\r\n|\r|\n", t)} - {""} for i, t in texts.items()}
+    of = defaultdict(set)
+    for i, p in held:
+        of[p] |= lines[i]
+    want = {(i, p) for i in texts for p in of if lines[i] and len(lines[i] & of[p]) >= least * len(lines[i]) - 1e-9} | held
+    df = spark.createDataFrame([*texts.items(), (None, "x"), (99, "unheld")], "id bigint, source string")
+    got = handwritten.contained(df, spark.createDataFrame(list(held), "blob_id bigint, project bigint"), least).collect()
+    assert {(r.blob_id, r.project) for r in got} == want and len(got) == len(want)
+    assert handwritten.contained(df.where("false"), spark.createDataFrame(list(held)[:0], "blob_id bigint, project bigint"), least).count() == 0
+
+
+def test_the_index_finds_vendored_copies_without_markers(spark, monkeypatch):
+    monkeypatch.setattr(handwritten, "VENDOR_DIRECTORIES", "no-such-directory")
+    monkeypatch.setattr(handwritten, "GENERATED_PATH", "^$")
+    body = "\n".join(f"value_{i} = compute_{i}(argument)" for i in range(30))
+    blobs = spark.createDataFrame([(1, "python", body), (2, "python", body.replace("compute_3(", "changed(")), (3, "python", "other = 1\nmore = f(2)")], "id bigint, language string, source string")
+    files = spark.createDataFrame([(10, 1, 1, "src/a.py"), (11, 2, 2, "third_party/left-pad/a.py"), (12, 2, 2, "lib/plain/a.py"), (13, 2, 3, "third_party/left-pad/b.py"), (14, 2, 1, "src/a.py"), (15, None, 2, "x/left-pad/y.py")], "id bigint, release_id bigint, blob_id bigint, path string")
+    releases = spark.createDataFrame([(1, 100), (2, 200)], "id bigint, project_id bigint")
+    projects = spark.createDataFrame([(100, "@scope/left_pad"), (200, "own"), (None, "nothing"), (300, None)], "id bigint, name string")
+    got = {r.file_id: r.reasons for r in handwritten.not_handwritten(blobs, files, releases, projects).collect()}
+    assert got == {10: [], 11: ["third-party"], 12: [], 13: [], 14: [], 15: ["third-party"]}
+
+
+def test_markers_far_down_and_small_data():
+    license_block = "/*\n" + "\n".join(f" * line {i} of a licence" for i in range(40)) + "\n * @generated by somegen 1.2\n */\ncode()\n"
+    assert any(handwritten.MARKED.search(x) for x in handwritten.heading(license_block))
+    assert handwritten.composition("id;name;weight\n1;a b;3\n2;c;4\n")[1] and not handwritten.composition("f(a);\ng(b);\nh(c);\n")[1]
+    assert not handwritten.composition('"""Only a docstring."""\n')[1] and not handwritten.composition("a = b\nc = d\n")[1]
+    assert handwritten.composition("X = [" + ", ".join(hex(i * 7919) for i in range(12)) + "]\n")[1]

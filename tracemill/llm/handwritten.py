@@ -1,9 +1,11 @@
 """Generated, minified, data and third-party files among the code files of releases.
 
-What a file is made of is judged on its content: markers that tools leave in the heading or behind the code, the composition of its
-tokens (names, literals, white space, repeated line shapes). Where it comes from is judged by place and heading: a
-directory for foreign packages, a heading that names another package and version, or a directory named like another
-project whose own files hold the file's lines; for the last, an index of line hashes gives the exact containment.
+Copies are found through an inverted index of line hashes over all files: a file whose lines stand to a share of `least`
+in the files of another project shares with it one of its rarest lines, so only these are looked up, and the exact share
+is counted for what they meet. Such a file is third-party where its place or its heading names that project; a
+directory for foreign packages or a heading with another package and version also tell. What a file is made of is
+judged on its content: markers that tools leave in the heading or behind the code, and the composition of its tokens
+(names, literals, white space, repeated line shapes, rows of equal fields).
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classes import possible
+from ..session import materialise
 from .corpus import is_code
 
-HEAD_LINES = 12
+LEAST_SHARE = 0.8
 # fixed values: wording of tool headings, directories and names by convention
 MARKED = re.compile(
     r"@generated\b|<auto-?generated|\bauto-?generated\b\s*(:|by|from|file|code|with|using)|\bdo not (edit|modify|change)\b|"
@@ -30,16 +32,22 @@ NAMED = re.compile(r"^\W*(?:part of|copied from|vendored from|taken from|bundled
 NOT_PACKAGES = frozenset("apache gpl lgpl agpl mpl bsd mit isc asl epl cc cddl license licence licenses version v mozilla gnu python node nodejs typescript javascript ecmascript es since copyright revision release".split())
 VENDOR_DIRECTORIES = "node_modules|bower_components|jspm_packages|third_party|third-party|thirdparty|3rdparty|vendor|vendors|vendored|_vendor|_vendored|extern|external|externals|deps"
 GENERATED_PATH = r"(^|/)(gen|generated|__generated__|_generated|autogen|codegen_out)/|(\.generated|\.gen|\.g|\.pb|_pb2|_pb2_grpc|_pb)\.[A-Za-z]+$"
-_TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?|[^\W\d]\w*|\s+|[^\w\s]")
+_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+_NUMBER = re.compile(r"\b(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)")
+_NAME = re.compile(r"\b[^\W\d]\w*")
+_MARK = re.compile(r"[^\w\s\[\]{}(),:;=\-\"'`]")
+_CONSTANTS = ("true", "false", "null", "None", "True", "False")
+_DOCSTRING = re.compile(r"\A\s*(?:[rRuU]?\"\"\"[\s\S]*?\"\"\"|[rRuU]?\'\'\'[\s\S]*?\'\'\')")
+_FIELDS = re.compile(r"[;,|\t]")
 _COMMENT = re.compile(r"^\s*(//|#|/?\*|<!--|\"\"\"|''')")
-_ACCESSOR = re.compile(r"\b(get|set|has|clear)_?[A-Za-z]\w*\s*\(|\b(this|self)\._\w+\s*(=|$)|\breturn (this|self)(\._\w+)?\b|\bprivate _\w+")
+_ACCESSOR = re.compile(r"\b(get|set|has|clear)_?[A-Za-z]\w*\s*\(|\b(this|self)\._\w+\s*(=|$)|\breturn (this|self)(\._\w+)?\b|\bprivate _\w+", re.M)
 _LONG_COMMENTS = re.compile(r"/\*[\s\S]*?\*/|(?m:^\s*(?://|#)[^\n]*$)")
 
 
-def heading(source: str, most: int | None = HEAD_LINES) -> list[str]:
-    """The comment lines at the head of a source (or of its first lines), docstrings and shebang included, blank lines skipped."""
+def heading(source: str) -> list[str]:
+    """The comment lines at the head of a source, docstrings and shebang included, blank lines skipped."""
     out, block = [], ""
-    for line in source.split("\n", most + 1)[: most + 1] if most else source.split("\n"):
+    for line in source.split("\n"):
         s = line.strip()
         if not s:
             continue
@@ -82,39 +90,45 @@ def closing(source: str) -> list[str]:
     return out
 
 
+def rows_of_fields(lines: list[str]) -> bool:
+    """Whether all lines are rows of one table: as many fields in each, split by one separator, and nothing that makes code."""
+    if len(lines) < 3:
+        return False
+    found = _FIELDS.search(lines[0])
+    if not found or any(c in x for x in lines for c in "(){}[]=<>"):
+        return False
+    by = found.group()
+    fields = lines[0].count(by)
+    return all(x.count(by) == fields and x.rstrip()[-1:] != by for x in lines)
+
+
 def composition(source: str) -> tuple[bool, bool, bool]:
-    """(minified, data, repetitive) by the tokens of a source without its comments.
+    """(minified, data, repetitive) by the tokens of a source without its comments and opening docstring.
 
     minified: lines that are long throughout, hardly any white space and short names. data: nothing but literals,
-    separators and a name to hold them, or one literal that is nearly all of the text. repetitive: accessors of fields make
-    up most of the lines and repeat a few shapes, as a tool writes them. Sources of under 200 characters are none of these.
+    separators and a name to hold them, or one literal that is nearly all of the text, or rows of equally many fields.
+    repetitive: accessors of fields make up most of the lines and repeat a few shapes, as a tool writes them.
     """
-    body = _LONG_COMMENTS.sub("", source).strip()
-    if len(body) < 200:
+    body = _DOCSTRING.sub("", _LONG_COMMENTS.sub("", source)).strip()
+    if not body:
         return False, False, False
     lines = [x for x in body.split("\n") if x.strip()]
-    names = literal = names_chars = marks = space = literal_chars = short = 0
-    for t in _TOKEN.findall(body):
-        c = t[0]
-        if c.isspace():
-            space += len(t)
-        elif c in "\"'`" or c.isdigit() or t in ("true", "false", "null", "None", "True", "False"):
-            literal += 1
-            literal_chars += len(t)
-        elif c.isalpha() or c == "_":
-            names += 1
-            names_chars += len(t)
-            short += len(t) <= 2
-        elif c in "[]{}(),:;=-":
-            pass
-        else:
-            marks += 1
-    wide = len(body) / len(lines)
-    minified = wide > 120 and space < 0.09 * len(body) and short > 0.2 * max(1, names)
-    data = literal >= 8 and names + marks <= 0.06 * (names + marks + literal) + 3 or literal_chars > 0.85 * len(body)
-    shapes = {re.sub(r"\w+", "w", x) for x in lines}
-    accessors = sum(1 for x in lines if _ACCESSOR.search(x))
-    repetitive = len(lines) >= 12 and accessors >= 0.5 * len(lines) and len(shapes) <= 0.4 * len(lines)
+    strings = _STRING.findall(body)
+    plain = _STRING.sub(" ", body)
+    names = _NAME.findall(plain)
+    numbers = _NUMBER.findall(plain)
+    constants = sum(map(names.count, _CONSTANTS))
+    literal, literal_chars = len(strings) + len(numbers) + constants, sum(map(len, strings)) + sum(map(len, numbers))
+    words, marks = len(names) - constants, len(_MARK.findall(plain))
+    minified = False
+    if len(body) > 120 * len(lines):
+        space = len(plain) - len("".join(plain.split())) - len(strings)
+        minified = space < 0.09 * len(body) and sum(len(x) <= 2 for x in names) > 0.2 * max(1, words)
+    data = literal >= 8 and words + marks <= 0.06 * (words + marks + literal) + 3 or literal_chars > 0.85 * len(body) or rows_of_fields(lines)
+    repetitive = False
+    if len(_ACCESSOR.findall(body)) >= 0.5 * len(lines):
+        accessors = sum(1 for x in lines if _ACCESSOR.search(x))
+        repetitive = accessors >= 0.5 * len(lines) and len({re.sub(r"\w+", "w", x) for x in lines}) <= 0.4 * len(lines)
     return minified, data, repetitive
 
 
@@ -126,7 +140,7 @@ def features(blobs: DataFrame) -> DataFrame:
             rows = []
             for i, source in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = source.as_py()
-                head = heading(text, None)
+                head = heading(text)
                 claims = [m.group(1) for m in map(NAMED.match, head) if m and m.group(1).lower() not in NOT_PACKAGES]
                 rows.append((i, any(MARKED.search(x) for x in head + closing(text)), *composition(text), claims))
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -141,28 +155,63 @@ def package_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(c, "^@[^/]*/", "")), r"[-@_]v?\d+\.\d.*$", ""), "[_.]", "-")
 
 
-def line_hashes(blobs: DataFrame) -> DataFrame:
-    """(blob_id, n, line): the distinct lines of eight characters or more, hashed, and their number."""
-    lines = F.filter(F.transform(F.split("source", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
-    each = blobs.select(F.col("id").alias("blob_id"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines"))
-    return each.select("blob_id", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+def line_sets(blobs: DataFrame) -> DataFrame:
+    """(blob_id, lines): the hashes of the different lines of each source, without the blanks around them; empty lines do not count."""
+    lines = F.filter(F.transform(F.split("source", r"\r\n|\r|\n"), lambda x: F.trim(F.translate(x, "\t", " "))), lambda x: x != "")
+    return blobs.select(F.col("id").alias("blob_id"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")).where("size(lines) > 0")
+
+
+def contained(blobs: DataFrame, held: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """(blob_id, project, share): the projects whose files hold a share of at least `least` of the lines of a blob (id, source).
+
+    held has (blob_id, project), which project's releases hold which blob. The index lists for each line the projects
+    that hold it. A blob that lacks more lines elsewhere than the share allows is dropped; for the others, as many of the
+    rarest lines are looked up as there must be one among them that the project holds. Shares are exact. Blobs
+    that a project holds itself have a share of 1 and are not looked up.
+    """
+    held = held.select("blob_id", "project").distinct()
+    sets = line_sets(blobs)
+    each = sets.select("blob_id", F.explode("lines").alias("line"))
+    index = materialise(each.join(held, "blob_id").groupBy("line", "project").agg(F.lit(1).alias("one")).select("line", "project"))
+    spread = index.groupBy("line").agg(F.count("*").alias("projects")).where("projects > 1")
+    shared = each.join(spread, "line").groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("projects", "line"))).alias("shared"))
+    n, lacking = F.size("lines"), F.size("lines") - F.size("shared")
+    # of the n - ceil(least n) + 1 rarest lines those that no second project holds come first
+    look = n - F.ceil(n * least - 1e-9) + 1 - lacking
+    able = materialise(sets.select("blob_id", "lines").join(shared, "blob_id").where(look > 0).select("blob_id", n.alias("n"), F.col("shared.line").alias("lines"), F.slice("shared.line", F.lit(1), look.cast("int")).alias("rare")))
+    met = able.select("blob_id", F.explode("rare").alias("line")).join(index, "line").select("blob_id", "project").distinct()
+    new = met.join(held, ["blob_id", "project"], "left_anti")
+    counted = new.join(able.select("blob_id", "n", F.explode("lines").alias("line")), "blob_id").join(index, ["line", "project"]).groupBy("blob_id", "project").agg((F.count("*") / F.first("n")).alias("share"))
+    return held.select("blob_id", "project", F.lit(1.0).alias("share")).union(counted.where(F.col("share") >= least - 1e-9))
+
+
+def code_files(blobs: DataFrame, files: DataFrame, releases: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Code files as (file_id, blob_id, path, own, project), the known code as (id, source), and projects as (project, name).
+
+    A project is named by the least id among those of one package name; own and project are null where the release is unknown.
+    """
+    code = blobs.where(is_code(F.col("language")) & F.col("id").isNotNull())
+    named = projects.where("id is not null and name is not null").select(F.col("id").alias("project_id"), package_name(F.col("name")).alias("own"))
+    keys = named.groupBy("own").agg(F.min("project_id").alias("project"))
+    of = releases.select(F.col("id").alias("release_id"), "project_id").join(named.join(keys, "own"), "project_id").select("release_id", "own", "project")
+    path = F.regexp_replace(F.col("path"), r"^(\./)+", "")
+    rows = files.select(F.col("id").alias("file_id"), "release_id", "blob_id", path.alias("path")).join(of, "release_id", "left").join(code.select(F.col("id").alias("blob_id")), "blob_id", "left_semi")
+    return rows.select("file_id", "blob_id", "path", "own", "project"), code.where("source is not null").select("id", "source"), keys.select("project", F.col("own").alias("name"))
 
 
-def foreign(suspects: DataFrame, blobs: DataFrame, held: DataFrame, least: float = 0.8) -> DataFrame:
-    """(file_id) of suspects (file_id, blob_id, path, other) whose lines stand to a share of least in files of the project `other`.
+def copies(rows: DataFrame, known: DataFrame, names: DataFrame, claims: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """(file_id) of the code files that another project holds, where a directory of the path or a heading (blob_id, claim) names it.
 
-    held has (blob_id, path, name): which project's releases hold which blob where. Files that lie at the same path
-    do not count: they tell of a fork of the whole project. The lines of the suspects are sent to the index, or
-    shuffled with it where they are many.
+    Files that lie at the same path there do not count: they tell of a fork of the whole project.
     """
-    pairs = suspects.select("blob_id", "path", "other").distinct()
-    probe = line_hashes(among(blobs.withColumnRenamed("id", "blob_id"), "blob_id", pairs.select("blob_id").distinct()).withColumnRenamed("blob_id", "id"))
-    index = among(line_hashes(blobs), "line", probe.select("line").distinct()).select("line", F.col("blob_id").alias("in"))
-    where = index.join(held.select(F.col("blob_id").alias("in"), "name").distinct(), "in").select("line", F.col("name").alias("other")).distinct()
-    same = held.select("path", F.col("name").alias("other")).distinct()
-    shares = probe.join(pairs.join(same, ["path", "other"], "left_anti").select("blob_id", "other").distinct(), "blob_id").join(where, ["line", "other"])
-    shares = shares.groupBy("blob_id", "other").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= least)
-    return suspects.join(same, ["path", "other"], "left_anti").join(shares, ["blob_id", "other"]).select("file_id").distinct()
+    held = rows.where("project is not null").select("blob_id", "project", "path")
+    directories = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    placed = rows.select("file_id", "blob_id", "path", "own", F.explode(directories).alias("sign"))
+    headed = rows.select("file_id", "blob_id", "path", "own").join(claims.withColumnRenamed("claim", "sign"), "blob_id").select("file_id", "blob_id", "path", "own", "sign")
+    signs = placed.union(headed).withColumn("name", package_name(F.col("sign"))).where(F.col("name") != F.coalesce("own", F.lit("")))
+    told = signs.join(names, "name").select("file_id", "blob_id", "path", "project").distinct()
+    forked = held.select("path", "project").distinct()
+    return told.join(contained(known, held, least), ["blob_id", "project"]).join(forked, ["path", "project"], "left_anti").select("file_id").distinct()
 
 
 def not_handwritten(blobs: DataFrame, files: DataFrame, releases: DataFrame, projects: DataFrame) -> DataFrame:
@@ -171,24 +220,15 @@ def not_handwritten(blobs: DataFrame, files: DataFrame, releases: DataFrame, pro
     Files of null or unknown releases have no package of their own, so any named package is foreign to them. Null
     paths give no sign by place, null sources none by content. Repeated ingestions count each.
     """
-    code = blobs.where(is_code(F.col("language")) & F.col("id").isNotNull())
-    known = code.where("source is not null").select("id", "source")
-    names = releases.select(F.col("id").alias("release_id"), "project_id").join(projects.select(F.col("id").alias("project_id"), package_name(F.col("name")).alias("own")), "project_id", "left").select("release_id", "own")
-    path = F.regexp_replace(F.col("path"), r"^(\./)+", "")
-    rows = files.select(F.col("id").alias("file_id"), "release_id", "blob_id", path.alias("path")).join(names, "release_id", "left").join(code.select(F.col("id").alias("blob_id")), "blob_id", "left_semi")
-
+    rows, known, names = code_files(blobs, files, releases, projects)
     place = F.regexp_extract("path", rf"(?i)(?:^|/)(?:{VENDOR_DIRECTORIES})/((?:@[^/]+/)?[^/]+)(?:/|$)", 1)
     direct = F.col("path").rlike(rf"(?i)(?:^|/)(?:{VENDOR_DIRECTORIES})/[^/]+$")
     own = F.coalesce("own", F.lit(""))
     placed = F.coalesce((place != "") & (direct | (package_name(place) != own)), F.lit(False))
+    told = materialise(features(known))
+    copied = copies(rows, known, names, told.select("blob_id", F.explode("claims").alias("claim"))).withColumn("copied", F.lit(True))
 
-    segments = F.filter(F.transform(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), package_name), lambda s: s != own)
-    listed = projects.select(package_name(F.col("name")).alias("other")).distinct()
-    suspects = rows.where(~placed).select("file_id", "blob_id", "path", F.explode(segments).alias("other")).join(listed, "other").distinct()
-    held = rows.select("blob_id", "path", F.col("own").alias("name")).where("name is not null").distinct()
-    copied = foreign(suspects, known, held).withColumn("copied", F.lit(True))
-
-    joined = rows.withColumn("placed", placed).join(features(known), "blob_id", "left").join(copied, "file_id", "left")
+    joined = rows.withColumn("placed", placed).join(told, "blob_id", "left").join(copied, "file_id", "left")
     claimed = F.coalesce(F.exists("claims", lambda c: package_name(c) != own), F.lit(False))
     # a heading of the own package says that the tool-free file is its own; other packages' headings show a copy
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -167,7 +167,7 @@ _ASSIGNED = re.compile(r"^__licen[sc]e__\s*=\s*[\"']+([^\"'\n]*)", re.M)
 
 def statement_of_source(source: str) -> list[tuple[str, float, list[str]]]:
     """The licences given at the head of a source: in its first comments or docstring, or as __license__."""
-    found = stated("\n".join(heading(source, None)))
+    found = stated("\n".join(heading(source)))
     seen = {f[0] for f in found}
     for m in _ASSIGNED.finditer(source):
         found += [f for f in stated(m.group(1), field=True) if f[0] not in seen]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .arrivals import repeats
 from .corpus import code_blobs
-from .handwritten import not_handwritten
+from .handwritten import code_files, contained, not_handwritten
 from .leakage import leaks
 from .licenses import findings, licenses
 from .near_duplicates import near_duplicates
@@ -107,6 +107,13 @@ def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return _not_handwritten(spark, folder).groupBy(F.concat_ws("+", "reasons").alias("reasons")).agg(F.count("*").alias("files"))
 
 
+def p7_contained(spark: SparkSession, folder: str) -> DataFrame:
+    """The projects that hold four fifths of the lines of a code blob, or the blob itself."""
+    rows, known, names = code_files(*(table(spark, folder, name) for name in ("blobs", "scan_files", "releases", "projects")))
+    found = contained(known, rows.where("project is not null").select("blob_id", "project"))
+    return found.join(names, "project").select("blob_id", F.col("name").alias("project"), F.round("share", 6).alias("share"))
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document assigned to a container of each capacity."""
     sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
@@ -168,6 +175,7 @@ QUERIES = {
     "p6_groups": p6_groups,
     "p7_found": p7_found,
     "p7_kinds": p7_kinds,
+    "p7_contained": p7_contained,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
@@ -240,6 +248,18 @@ ORACLES: dict = {
         WHERE x.batch >= 0 AND (y.batch, y.id) < (x.batch, x.id) AND x.id NOT IN (SELECT id FROM exact))
       SELECT (id - 1) // 2 AS arrival_id, 'exact' AS kind FROM exact UNION ALL SELECT (id - 1) // 2, 'near' FROM near""",
     "p6_found": "WITH " + _CODE + ", texts AS (SELECT * FROM code), " + _SHINGLES + "SELECT a AS blob_id_a, b AS blob_id_b FROM alike",
+    "p7_contained": "WITH "
+    + _CODE
+    + r""", names AS (
+        SELECT r.id AS release_id, regexp_replace(regexp_replace(lower(regexp_replace(p.name, '^@[^/]*/', '')), '[-@_]v?\d+\.\d.*$', ''), '[_.]', '-', 'g') AS project
+        FROM releases r JOIN projects p ON p.id = r.project_id WHERE p.name IS NOT NULL),
+      held AS (SELECT DISTINCT f.blob_id, n.project FROM scan_files f JOIN names n USING (release_id) JOIN blobs b ON b.id = f.blob_id WHERE coalesce(lower(trim(b.language)) <> 'text', true)),
+      lines AS (SELECT DISTINCT id AS blob_id, trim(replace(l, chr(9), ' ')) AS line FROM code, unnest(regexp_split_to_array(source, '\r\n|\r|\n')) AS u(l) WHERE trim(replace(l, chr(9), ' ')) <> ''),
+      sizes AS (SELECT blob_id, count(*) AS n FROM lines GROUP BY 1),
+      places AS (SELECT DISTINCT line, project FROM lines JOIN held USING (blob_id)),
+      counted AS (SELECT blob_id, project, count(*) / any_value(n) AS share FROM lines JOIN places USING (line) JOIN sizes USING (blob_id) GROUP BY 1, 2)
+      SELECT blob_id, project, round(share, 6) AS share FROM counted WHERE share >= 0.8 - 1e-9
+      UNION SELECT blob_id, project, 1.0 FROM held""",
     "p9_found": _P9,
     "p1_found": _P1 + "SELECT shape_hash, origin_project_id, top_project_id FROM merged WHERE origin_at IS NOT NULL",
     "p1_merged": _P1
