@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import grammars, handwritten, licenses, queries
 from tracemill.llm.derivatives import Grammar
+from tracemill.llm.license_texts import BODIES
 from tracemill.llm.leakage import Items, leaks, words
 from tracemill.llm.packing import best_fit, pack, token_counts
 from tracemill.llm.survivorship import Attribute, instant, shape_origins, survivors
@@ -455,3 +456,43 @@ def test_markers_far_down_and_small_data():
     assert handwritten.composition("id;name;weight\n1;a b;3\n2;c;4\n")[1] and not handwritten.composition("f(a);\ng(b);\nh(c);\n")[1]
     assert not handwritten.composition('"""Only a docstring."""\n')[1] and not handwritten.composition("a = b\nc = d\n")[1]
     assert handwritten.composition("X = [" + ", ".join(hex(i * 7919) for i in range(12)) + "]\n")[1]
+
+
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (GNU_NOTICE.format(3), "GPL-3.0-or-later"),
+        (GNU_NOTICE.format(2), "GPL-2.0-or-later"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation.", "LGPL-2.1-only"),
+        *[(body, spdx) for spdx, body in BODIES.items()],
+        *[("Copyright (c) 2020 A. Body\n\n" + body.upper() + "\n\nmore words of another kind", spdx) for spdx, body in BODIES.items()],
+        ("This file is not licensed under the MIT license", None),
+        ("compatible with the GPL, version 2", None),
+        ("It was never released under the terms of the Apache License 2.0.", None),
+        ("No longer released under the Apache License 2.0 but under the MIT license.", "MIT"),
+        ("Licensed under the GPL version 2 (and no later version); see LICENSE.", "GPL-2.0-only"),
+    ],
+)
+def test_labelled_statements(text, want):
+    assert [(x[0], x[1]) for x in licenses.stated(text)] == ([(want, 1.0)] if want else [])
+
+
+def test_altered_clauses_are_reported():
+    changed = BODIES["MIT"].replace("without restriction, including without limitation the rights to use", "for private study only, excluding the rights to use")
+    (spdx, coverage, altered), = licenses.stated(changed)
+    assert spdx == "MIT" and 0.9 < coverage < 1 and {"-restriction", "+private", "+study"} <= set(altered)
+    opening = BODIES["MIT"].split("(the")[0] + "to look at it on sundays. " + "the keeper of the well decides all that concerns the garden. " * 12
+    (spdx, coverage, altered), = licenses.stated(opening)
+    assert spdx == "MIT" and coverage < 0.4 and "-warranties" in altered
+
+
+def test_coverage_and_alterations_of_files(spark):
+    blobs = spark.createDataFrame([(1, "python", "# MIT License\nx = 1\n"), (2, "python", "x = 1\n"), (3, "text", BODIES["ISC"])], "id bigint, language string, source string")
+    files = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (12, 1, 3)], "id bigint, release_id bigint, blob_id bigint")
+    releases = spark.createDataFrame([(1, "MIT", None)], "id bigint, license_spdx string, license_raw string")
+    found, per_file = licenses.licenses(blobs, files, releases)
+    assert [(r.metadata, r.documents, r.finding) for r in found.collect()] == [(["MIT"], ["ISC"], "conflict")]
+    assert {(r.id, tuple(r.own), r.coverage, tuple(r.release), r.finding) for r in per_file.collect()} == {(10, ("MIT",), 1.0, ("MIT", "ISC"), None), (11, (), None, ("MIT", "ISC"), None)}

@@ -1,12 +1,14 @@
 """Licence of each code file and release.
 
-Statements are matched against templates of licence names and openings. A template is a candidate where its rarest
-token shingle (rare among the templates) occurs; it is confirmed by aligning its tokens with the text around, which
-gives its coverage and the tokens that were altered. Longer templates win over shorter ones that they overlap.
+Statements are matched against templates: names of licences, whole permission texts and notices. An inverted index of the
+templates' rare token shingles finds the candidates; each is confirmed by aligning its tokens with the text around, which
+gives its coverage and the tokens that were altered. Where templates overlap, the one that explains most counts.
+A statement that is denied ("not licensed under", "compatible with") is none.
 """
 
 from __future__ import annotations
 
+import difflib
 import functools
 import re
 from collections import Counter, defaultdict
@@ -17,8 +19,13 @@ from pyspark.sql import functions as F
 
 from .corpus import is_code
 from .handwritten import heading
+from .license_texts import BODIES, GNU_LATER, GNU_ONLY
 
 LEAST_COVERAGE = 0.85
+# a text that begins like a licence and goes on for at least half of its length is that licence down to this coverage
+LEAST_ALTERED = 0.6
+SHINGLE = 5
+LONG = 20
 
 # fixed values: names of licences by SPDX identifier; numbers are written without trailing zeros
 NAMES = {
@@ -71,9 +78,19 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+# fixed values: words that deny the statement behind them, and those that may stand in between
+DENYING = frozenset("not never no neither nor without unlike formerly previously instead rather compatible incompatible similar from except".split())
+CARRYING = frozenset("license licensed licensing distributed released covered governed available offered published provided made used is are be been longer under by of with to than terms subject conditions any either".split())
+
+
 @functools.lru_cache(maxsize=1)
 def templates() -> tuple[list[tuple[str, tuple[str, ...]]], dict[tuple[str, ...], list[tuple[int, int]]]]:
-    """All templates, and the inverted index of the rarest shingle of one or two tokens of each, with its place."""
+    """All templates, and the inverted index of their shingles: (template, place) for each.
+
+    Of a short template the rarest shingle of one or two tokens is indexed, which must stand as it is; of one of LONG
+    tokens or more every shingle of SHINGLE tokens that is rare among the templates, and as each altered token spoils five
+    shingles, one is left intact wherever the coverage is high enough.
+    """
     rows = [(spdx, tuple(name.split())) for spdx, names in NAMES.items() for name in names]
     for family, (names, versions) in GNU.items():
         for name in names:
@@ -82,17 +99,61 @@ def templates() -> tuple[list[tuple[str, tuple[str, ...]]], dict[tuple[str, ...]
                 base = (*name.split(), v)
                 rows.append((f"{spdx}-only", base))
                 rows += [(f"{spdx}-or-later", (*base, *more.split())) for more in LATER]
+                if name.startswith("gnu ") and name.endswith("license"):
+                    rows.append((f"{spdx}-or-later", tuple(tokens(GNU_LATER.format(name=name, number=v)))))
+                    rows += [(f"{spdx}-only", tuple(tokens(t.format(name=name, number=v)))) for t in GNU_ONLY]
+    rows += [(spdx, tuple(tokens(body))) for spdx, body in BODIES.items()]
     df: Counter = Counter()
     for _, t in rows:
         df.update({t[i : i + k] for k in (1, 2) for i in range(len(t) - k + 1)})
     index = defaultdict(list)
     for n, (_, t) in enumerate(rows):
-        k = min(2, len(t))
-        at = min(range(len(t) - k + 1), key=lambda i: (df[t[i : i + k]], i))
-        index[t[at : at + k]].append((n, at))
+        if len(t) >= LONG:
+            for at in range(len(t) - SHINGLE + 1):
+                index[t[at : at + SHINGLE]].append((n, at))
+        else:
+            k = min(2, len(t))
+            at = min(range(len(t) - k + 1), key=lambda i: (df[t[i : i + k]], i))
+            index[t[at : at + k]].append((n, at))
     return rows, dict(index)
 
 
+@functools.lru_cache(maxsize=1)
+def openings() -> dict[int, int]:
+    """For each template that begins a longer one of the same licence, the longer one."""
+    rows, _ = templates()
+    whole = {spdx: n for n, (spdx, t) in enumerate(rows) if len(t) >= LONG}
+    return {n: whole[spdx] for n, (spdx, t) in enumerate(rows) if spdx in whole and 8 <= len(t) < len(rows[whole[spdx]][1]) and rows[whole[spdx]][1][: len(t)] == t}
+
+
+def align_long(template: tuple[str, ...], text: list[str], start: int) -> tuple[float, int, int, list[str]]:
+    """As align(), for whole texts: the longest common runs are matched first, then those on either side of them."""
+    m = len(template)
+    slack = max(8, m // 4)
+    low, high = max(0, start - slack), min(len(text), start + m + slack)
+    window = tuple(text[low:high])
+    codes = difflib.SequenceMatcher(None, template, window, autojunk=False).get_opcodes()
+    while codes and codes[0][0] == "insert":
+        codes.pop(0)
+    while codes and codes[-1][0] == "insert":
+        codes.pop()
+    same, added, altered, begin, end = 0, 0, [], None, 0
+    for kind, a, b, c, d in codes:
+        if kind == "equal":
+            same += b - a
+            begin = c if begin is None else begin
+            end = d
+            continue
+        # what is left out or replaced at the very ends is not part of the text, so only the template's side counts there
+        inner = begin is not None and (b, d) != (codes[-1][2], codes[-1][4])
+        altered += [f"-{x}" for x in template[a:b]]
+        if inner:
+            altered += [f"+{x}" for x in window[c:d]]
+            added += max(0, (d - c) - (b - a))
+    kept = not any(re.match(r"-\d", x) for x in altered)
+    return (same / (m + added) if kept else 0.0), low + (begin or 0), low + end, altered
+
+
 def align(template: tuple[str, ...], text: list[str], start: int) -> tuple[float, int, int, list[str]]:
     """Coverage, begin, end and altered tokens of a template in a stretch of text that its first token should begin.
 
@@ -129,36 +190,62 @@ def align(template: tuple[str, ...], text: list[str], start: int) -> tuple[float
     return coverage, low + j, low + end, altered[::-1]
 
 
+def denied(words: list[str], begin: int) -> bool:
+    """Whether the words before a statement deny it."""
+    i = begin - 1
+    while i >= 0 and words[i] in CARRYING and begin - i < 8:
+        i -= 1
+    return i >= 0 and words[i] in DENYING
+
+
 def stated(text: str | None, field: bool = False) -> list[tuple[str, float, list[str]]]:
     """(licence, coverage, altered tokens) of the licences a text states, each once.
 
     field: the text is a metadata value; a name may then stand alone. In prose a name of one word counts only next
-    to words that make it a statement.
+    to words that make it a statement, and none counts that is denied. A text that begins like a licence and then goes
+    on in its own way is that licence only as far as it is covered.
     """
     if not text:
         return []
     words = tokens(text)
     rows, index = templates()
-    hits = []
+    places: dict[tuple[int, int], int] = {}
     for i in range(len(words)):
-        for k in (1, 2):
+        for k in (1, 2, SHINGLE):
             for n, at in index.get(tuple(words[i : i + k]), ()) if i + k <= len(words) else ():
-                spdx, t = rows[n]
-                coverage, begin, end, altered = align(t, words, i - at)
-                if coverage < LEAST_COVERAGE:
-                    continue
-                if end - begin <= 1 and not field:
-                    before, after = words[begin - 1] if begin else "", words[end] if end < len(words) else ""
-                    if before not in BEFORE_NAME and after != "license" and t[0] not in UNMISTAKABLE and words[max(0, begin - 2) : begin] != ["terms", "of"]:
-                        continue
-                hits.append((len(t), coverage, begin, end, spdx, altered))
-    hits.sort(key=lambda h: (-h[0] * h[1], h[2]))
+                # shingles of one copy of a template point at about the same start
+                step = 1 if k < SHINGLE else max(8, len(rows[n][1]) // 4)
+                places.setdefault((n, (i - at) // step), i - at)
+    hits = []
+    for (n, _), start in places.items():
+        spdx, t = rows[n]
+        coverage, begin, end, altered = (align_long if len(t) >= LONG else align)(t, words, start)
+        whole = len(t) >= LONG and end - begin >= 0.5 * len(t)
+        if coverage < (LEAST_ALTERED if whole else LEAST_COVERAGE):
+            if whole:
+                hits.append((len(t) * coverage - len(altered), coverage, begin, end, None, altered))
+            continue
+        if not field:
+            before, after = words[begin - 1] if begin else "", words[end] if end < len(words) else ""
+            if end - begin <= 1 and before not in BEFORE_NAME and after != "license" and t[0] not in UNMISTAKABLE and words[max(0, begin - 2) : begin] != ["terms", "of"]:
+                continue
+            if denied(words, begin):
+                hits.append((len(t) * coverage - len(altered), coverage, begin, end, None, altered))
+                continue
+        score = len(t) * coverage - len(altered)
+        body = openings().get(n)
+        if body is not None and len(words) - begin >= 0.5 * len(rows[body][1]):
+            # more follows than the opening: how much of the whole licence that is
+            coverage, _, _, altered = align_long(rows[body][1], words, begin)
+        hits.append((score, coverage, begin, end, spdx, altered))
+    hits.sort(key=lambda h: (-h[0], h[2], h[4] or ""))
     taken = [False] * len(words)
     out: dict[str, tuple[str, float, list[str]]] = {}
     for _, coverage, begin, end, spdx, altered in hits:
         if not any(taken[begin:end]):
             taken[begin:end] = [True] * (end - begin)
-            out.setdefault(spdx, (spdx, coverage, altered))
+            if spdx:
+                out.setdefault(spdx, (spdx, coverage, altered))
     return list(out.values())
 
 
@@ -207,7 +294,10 @@ def named_licenses(spdx: str, raw: str) -> Column:
 
 
 def licenses(blobs: DataFrame, files: DataFrame, releases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Releases as (id, metadata, documents, finding) and code files as (id, own, release, alterations, finding).
+    """Releases as (id, metadata, documents, finding) and code files as (id, own, coverage, release, alterations, finding).
+
+    coverage is the least among a file's own statements, alterations are the tokens they leave out or add.
+
 
     All sets are sorted arrays of SPDX identifiers, empty where nothing is named. finding is conflict, unknown or
     null. A file of an unknown release has what it states itself only; a null source states nothing.
@@ -215,7 +305,7 @@ def licenses(blobs: DataFrame, files: DataFrame, releases: DataFrame) -> tuple[D
     none = F.array().cast("array<string>")
     found = blob_licenses(blobs)
     names = F.array_sort(F.transform("found", lambda x: x.license))
-    held = files.select(F.col("id").alias("file_id"), "release_id", "blob_id").join(found.select("blob_id", "text", names.alias("own"), F.flatten(F.transform("found", lambda x: x.altered)).alias("alterations")), "blob_id")
+    held = files.select(F.col("id").alias("file_id"), "release_id", "blob_id").join(found.select("blob_id", "text", names.alias("own"), F.array_min(F.transform("found", lambda x: x.coverage)).alias("coverage"), F.flatten(F.transform("found", lambda x: x.altered)).alias("alterations")), "blob_id")
     documents = held.where("text").select("release_id", F.explode("own").alias("l")).distinct().groupBy("release_id").agg(F.array_sort(F.collect_set("l")).alias("documents"))
     metadata = releases.where("id is not null").select("id", named_licenses("license_spdx", "license_raw").alias("metadata"))
     per_release = metadata.join(documents.withColumnRenamed("release_id", "id"), "id", "left").select("id", F.coalesce("metadata", none).alias("metadata"), F.coalesce("documents", none).alias("documents"))
@@ -227,7 +317,7 @@ def licenses(blobs: DataFrame, files: DataFrame, releases: DataFrame) -> tuple[D
     code = held.where("not text").join(terms, "release_id", "left").withColumn("release", F.coalesce("release", none))
     o, r = F.col("own"), F.col("release")
     clash = (F.size(o) > 0) & (F.size(r) > 0) & ~F.arrays_overlap(o, r)
-    per_file = code.select(F.col("file_id").alias("id"), "own", "release", "alterations", F.when(clash, "conflict").when((F.size(o) == 0) & (F.size(r) == 0), "unknown").alias("finding"))
+    per_file = code.select(F.col("file_id").alias("id"), "own", "coverage", "release", "alterations", F.when(clash, "conflict").when((F.size(o) == 0) & (F.size(r) == 0), "unknown").alias("finding"))
     return out, per_file
 
 

@@ -31,10 +31,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The licences of every code file: its own, or else those of its release."""
+    """The licences of every code file: its own, with their coverage and altered tokens, or else those of its release."""
     own, release = F.col("own"), F.col("release")
     applies = F.when(F.size(own) > 0, own).otherwise(release)
-    return _licenses(spark, folder)[1].select("id", F.array_join(applies, " OR ").alias("licenses"), (F.size(own) > 0).alias("own_statement"), "finding")
+    return _licenses(spark, folder)[1].select("id", F.array_join(applies, " OR ").alias("licenses"), (F.size(own) > 0).alias("own_statement"), "coverage", F.array_join("alterations", " ").alias("altered"), "finding")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
