@@ -18,21 +18,24 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GROUP = 4096
 NEARLY = 0.985
 LEAST_GAIN = 0.02
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """(id, tokens) of every row with an id, by the byte-pair vocabulary at the given path; a null text has none."""
+def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str = PATTERN) -> DataFrame:
+    """(id, tokens) of every row with an id, by a byte-pair vocabulary; a null text has none.
+
+    vocabulary is the path of its file (a few MB) on the driver, which sends it to the workers.
+    """
+    with open(vocabulary, "rb") as file:
+        shared = df.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches):
         import tiktoken
 
-        with open(vocabulary, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t.as_py() or "")) for t in batch.column(1)]
@@ -81,14 +84,16 @@ def _round(items: DataFrame, number: int, groups: int) -> DataFrame:
     return spread.groupBy("container", "part").applyInPandas(pack, "container string, capacity bigint, item bigint, bin bigint, fill bigint")
 
 
-def pack(sizes: DataFrame, containers: list[tuple[str, int]], group: int = GROUP, nearly: float = NEARLY) -> DataFrame:
-    """(container, capacity, id, piece, tokens, bin): every item (id, tokens) assigned for each container of positive capacity.
+def pack(sizes: DataFrame, containers: DataFrame, group: int = GROUP, nearly: float = NEARLY) -> DataFrame:
+    """(container, capacity, id, piece, tokens, bin): every item (id, tokens) assigned for each container (container, capacity).
 
+    Containers without a positive capacity are left out, repeated rows of one count once.
     piece counts the parts of a split item from 0; the bin numbers of a container are distinct for all its bins and
     negative where a whole bin is a part of one item.
     """
-    kinds = F.array(*[F.struct(F.lit(n).alias("container"), F.lit(int(c)).cast("bigint").alias("capacity")) for n, c in containers if c and c > 0])
-    each = sizes.select("id", "tokens", F.explode(kinds).alias("k")).select("id", "tokens", "k.container", "k.capacity")
+    kinds = containers.where("capacity > 0").groupBy("container").agg(F.max(F.col("capacity").cast("bigint")).alias("capacity"))
+    listed = kinds.agg(F.collect_list(F.struct("container", "capacity")).alias("kinds"))  # one row
+    each = materialise(sizes.select("id", "tokens")).join(F.broadcast(listed), F.lit(True)).select("id", "tokens", F.explode("kinds").alias("k")).select("id", "tokens", "k.container", "k.capacity")
     whole = F.floor(F.col("tokens") / F.col("capacity"))
     cut = each.withColumn("whole", F.when(F.col("tokens") > F.col("capacity"), whole).otherwise(0).cast("bigint"))
     rest = F.col("tokens") - F.col("whole") * F.col("capacity")
@@ -114,9 +119,11 @@ def pack(sizes: DataFrame, containers: list[tuple[str, int]], group: int = GROUP
             break
         groups = max(1, -(-most // group))
         number += 1
-    out = items.withColumn("at", F.col("item"))
-    for i, step in enumerate(maps):
-        step = step.withColumnRenamed(f"from_{i}", "at")
-        out = out.join(step, ["container", "at"], "left").withColumn("at", F.coalesce(f"to_{i}", "at")).drop(f"to_{i}")
+    # each round's bins are far fewer than those before, so the maps are put together from the last one back
+    whole_way = maps[-1].select("container", F.col(f"from_{number}").alias("bin"), F.col(f"to_{number}").alias("at")) if maps else None
+    for i in range(len(maps) - 2, -1, -1):
+        step = maps[i].select("container", F.col(f"from_{i}").alias("item"), F.col(f"to_{i}").alias("bin"))
+        whole_way = step.join(whole_way, ["container", "bin"], "left").select("container", F.col("item").alias("bin"), F.coalesce("at", "bin").alias("at"))
+    out = items.join(whole_way.withColumnRenamed("bin", "item"), ["container", "item"])
     packed = out.select("container", "capacity", F.col("item").alias("id"), F.col("whole").alias("piece"), F.col("size").alias("tokens"), F.col("at").alias("bin"))
     return packed.union(split)

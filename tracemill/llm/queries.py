@@ -16,10 +16,10 @@ from .packing import pack, token_counts
 from .shared_spans import shared_spans
 from .survivorship import shape_origins_of
 from .syntax import rates, verdicts, with_language
-from .truncation import truncated
+from .truncation import source_rates, truncated
 
 CODE_SIMILARITY = 0.6
-MOST_CONTAINERS = 1000
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _licenses(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +66,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_shared(spark: SparkSession, folder: str) -> DataFrame:
     """How much of each code blob stands in another one too."""
-    return shared_spans(code_blobs(spark, folder), "id", "source", 240).coverage().withColumnRenamed("id", "blob_id")
+    found = shared_spans(code_blobs(spark, folder), "id", "source", 240).coverage()
+    return found.select(F.col("id").alias("blob_id"), "chars", "shared_chars", F.round("share", 6).alias("share"))
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,13 +117,20 @@ def p7_contained(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document assigned to a container of each capacity."""
-    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text")
-    containers = [(r[0], r[1]) for r in table(spark, folder, "containers").select("container", "capacity_tokens").limit(MOST_CONTAINERS + 1).collect()]
-    if len(containers) > MOST_CONTAINERS:
-        raise ValueError(f"more than {MOST_CONTAINERS} containers")
+    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text", VOCABULARY)
+    containers = table(spark, folder, "containers").select("container", F.col("capacity_tokens").alias("capacity"))
     return pack(sizes, containers).withColumnRenamed("id", "doc_id")
 
 
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the assignment: all documents placed, none split that fits, no container too full."""
+    rows = p8_packed(spark, folder)
+    bins = rows.groupBy("container", "bin").agg(F.sum("tokens").alias("n"), F.first("capacity").alias("capacity")).groupBy("container").agg(F.count_if(F.col("n") > F.col("capacity")).alias("overfull"))
+    each = rows.groupBy("container", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("n"), F.first("capacity").alias("capacity"))
+    split = each.groupBy("container", "capacity").agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity")))).alias("wrongly_split"))
+    return split.join(bins, "container").select("container", "capacity", "documents", "wrongly_split", "overfull")
+
+
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used and the share of their capacity that is filled."""
     bins = p8_packed(spark, folder).groupBy("container", "capacity", "bin").agg(F.sum("tokens").alias("tokens"))
@@ -139,10 +147,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
-    """For each item the documents it leaked into and the greatest share of it that one of them covers."""
-    found = _leaks(spark, folder).groupBy("item_id").agg(F.count_distinct("id").alias("documents"), F.max(F.col("words") / F.col("item_words")).alias("coverage"))
+    """For each item the number of documents it leaked into."""
+    found = p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
     items = table(spark, folder, "eval_items").select("item_id", "task")
-    return items.join(found, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return items.join(found, "item_id", "left").select("item_id", "task", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"))
+
+
+def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each leaked item each document covers, and whether the parts were reordered."""
+    share = F.round(F.col("words") / F.col("item_words"), 6)
+    return _leaks(spark, folder).select(F.col("id").alias("doc_id"), "item_id", "tiles", "words", share.alias("coverage"), "covered", "reordered")
 
 
 def _truncated(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,10 +168,8 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each source truncates, by cause."""
-    rows = _truncated(spark, folder).groupBy("source")
-    rates = rows.agg(F.count("*").alias("documents"), F.count_if(F.col("cause") == "limit").alias("at_limit"), F.count_if(F.col("cause") == "transfer").alias("in_transfer"))
-    return rates.withColumn("rate", (F.col("at_limit") + F.col("in_transfer")) / F.col("documents"))
+    """How often each source truncates, by cause, and how its rate of open endings compares with the other sources'."""
+    return source_rates(_truncated(spark, folder))
 
 
 QUERIES = {
@@ -177,9 +189,11 @@ QUERIES = {
     "p7_kinds": p7_kinds,
     "p7_contained": p7_contained,
     "p8_packed": p8_packed,
+    "p8_check": p8_check,
     "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_items": p9_items,
+    "p9_coverage": p9_coverage,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
@@ -228,13 +242,8 @@ ds AS (SELECT DISTINCT doc_id, hash(w[k:k + 12]) AS h FROM d, unnest(range(1, le
 si AS (SELECT DISTINCT item_id, hash(w[k:k + 12]) AS h FROM i, unnest(range(1, len(w) - 11)) AS u(k) WHERE len(w) >= 13)
 SELECT DISTINCT doc_id, item_id FROM ds JOIN si USING (h)
 """
-ORACLES: dict = {
-    "p2_found": "WITH "
-    + _CODE
-    + """, w AS (SELECT DISTINCT id, hash(substr(source, k, 240)) AS h FROM code, unnest(range(1, length(source) - 238)) AS u(k) WHERE length(source) >= 240),
-      many AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)
-      SELECT DISTINCT a.id AS blob_id_a, b.id AS blob_id_b FROM w a JOIN many USING (h) JOIN w b ON a.h = b.h AND a.id < b.id""",
-    "p4_found": "WITH "
+_P4 = (
+    "WITH "
     + _CODE
     + r""", old AS (SELECT id * 2 AS id, -1 AS batch, source FROM code),
       fresh AS (SELECT arrival_id * 2 + 1 AS id, coalesce(batch_no, 2147483647) AS batch, source FROM arrivals WHERE source IS NOT NULL),
@@ -245,8 +254,40 @@ ORACLES: dict = {
     + _SHINGLES
     + """, near AS (
         SELECT DISTINCT x.id FROM (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike) s JOIN texts x ON x.id = s.a JOIN texts y ON y.id = s.b
-        WHERE x.batch >= 0 AND (y.batch, y.id) < (x.batch, x.id) AND x.id NOT IN (SELECT id FROM exact))
-      SELECT (id - 1) // 2 AS arrival_id, 'exact' AS kind FROM exact UNION ALL SELECT (id - 1) // 2, 'near' FROM near""",
+        WHERE x.batch >= 0 AND (y.batch, y.id) < (x.batch, x.id) AND x.id NOT IN (SELECT id FROM exact)),
+      repeated AS (SELECT (id - 1) // 2 AS arrival_id, 'exact' AS kind FROM exact UNION ALL SELECT (id - 1) // 2, 'near' FROM near)
+    """
+)
+ORACLES: dict = {
+    "p2_found": "WITH "
+    + _CODE
+    + """, w AS (SELECT DISTINCT id, hash(substr(source, k, 240)) AS h FROM code, unnest(range(1, length(source) - 238)) AS u(k) WHERE length(source) >= 240),
+      many AS (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1)
+      SELECT DISTINCT a.id AS blob_id_a, b.id AS blob_id_b FROM w a JOIN many USING (h) JOIN w b ON a.h = b.h AND a.id < b.id""",
+    "p2_shared": "WITH "
+    + _CODE
+    + """, w AS (SELECT id, k, hash(substr(source, k, 240)) AS h FROM code, unnest(range(1, length(source) - 238)) AS u(k) WHERE length(source) >= 240),
+      many AS (SELECT h FROM w GROUP BY 1 HAVING count(DISTINCT id) > 1),
+      marked AS (SELECT id, k, lead(k) OVER (PARTITION BY id ORDER BY k) AS following FROM w JOIN many USING (h)),
+      shared AS (SELECT id, sum(least(240, coalesce(following - k, 240))) AS n FROM marked GROUP BY 1)
+      SELECT c.id AS blob_id, length(c.source) AS chars, coalesce(s.n, 0)::BIGINT AS shared_chars, round(coalesce(s.n, 0) / length(c.source), 6) AS share
+      FROM code c LEFT JOIN shared s USING (id) WHERE length(c.source) >= 240""",
+    "p4_found": _P4 + "SELECT * FROM repeated",
+    "p4_batches": _P4
+    + """SELECT a.batch_no, count(*) AS files, count_if(r.kind = 'exact')::BIGINT AS exact, count_if(r.kind = 'near')::BIGINT AS near
+      FROM arrivals a LEFT JOIN repeated r USING (arrival_id) GROUP BY 1""",
+    "p6_groups": "WITH RECURSIVE "
+    + _CODE
+    + ", texts AS (SELECT * FROM code), "
+    + _SHINGLES
+    + """, named AS (SELECT id, list_sort(list(h)) AS name FROM sets GROUP BY 1),
+      reps AS (SELECT id, min(id) OVER (PARTITION BY name) AS rep FROM named),
+      links AS (SELECT a, b FROM alike WHERE a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps)),
+      both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+      reached AS (SELECT rep AS id, rep AS other FROM (SELECT DISTINCT rep FROM reps) UNION SELECT r.id, l.b FROM reached r JOIN both_ways l ON l.a = r.other),
+      classes AS (SELECT id AS rep, min(other) AS class_id FROM reached GROUP BY 1),
+      degree AS (SELECT a AS rep, count(*) AS links FROM both_ways GROUP BY 1)
+      SELECT r.id AS blob_id, c.class_id, coalesce(d.links, 0) AS links FROM reps r JOIN classes c USING (rep) LEFT JOIN degree d USING (rep)""",
     "p6_found": "WITH " + _CODE + ", texts AS (SELECT * FROM code), " + _SHINGLES + "SELECT a AS blob_id_a, b AS blob_id_b FROM alike",
     "p7_contained": "WITH "
     + _CODE
@@ -260,7 +301,10 @@ ORACLES: dict = {
       counted AS (SELECT blob_id, project, count(*) / any_value(n) AS share FROM lines JOIN places USING (line) JOIN sizes USING (blob_id) GROUP BY 1, 2)
       SELECT blob_id, project, round(share, 6) AS share FROM counted WHERE share >= 0.8 - 1e-9
       UNION SELECT blob_id, project, 1.0 FROM held""",
+    "p8_check": """SELECT container, capacity_tokens::BIGINT AS capacity, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS wrongly_split, 0::BIGINT AS overfull
+      FROM containers WHERE capacity_tokens > 0""",
     "p9_found": _P9,
+    "p9_items": "WITH found AS (" + _P9 + ") SELECT i.item_id, i.task, count(f.doc_id) AS documents FROM eval_items i LEFT JOIN found f USING (item_id) GROUP BY 1, 2",
     "p1_found": _P1 + "SELECT shape_hash, origin_project_id, top_project_id FROM merged WHERE origin_at IS NOT NULL",
     "p1_merged": _P1
     + """SELECT shape_hash, projects, CASE WHEN origin_at IS NOT NULL THEN origin_project_id END AS origin_project_id,
