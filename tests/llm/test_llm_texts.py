@@ -410,10 +410,12 @@ def test_limits_stand_out_and_cuts_are_flagged(spark):
     rows = []
     for i in range(3000):
         n = rng.randrange(40, 500)
-        text = ("word " * 120)[: n - 1] + "."
+        # every text is another one: equal texts count once
+        words_ = f"n{i:05} " + "word " * 120
+        text = words_[: n - 1] + "."
         if i % 2 and n > 200:
-            text = ("word " * 120)[:199] + "w"
-        rows.append((i, "a" if i % 3 else "b", text if i % 3 else ("word " * 120)[: n - 1] + "."))
+            text = words_[:199] + "w"
+        rows.append((i, "a" if i % 3 else "b", text if i % 3 else words_[: n - 1] + "."))
     rows += [(5000, "b", "cut in the midd"), (5001, None, None), (5002, "b", "")]
     df = spark.createDataFrame(rows, "id bigint, source string, text string").withColumn("cause", F.lit(1))
     lengths = df.where("text is not null").select("source", F.lit("chars").alias("measure"), F.length("text").alias("length"))

@@ -74,7 +74,8 @@ def limits(lengths: DataFrame, q: float = 0.001, reach: float = 0.1, alone: bool
 
     lengths has (source, measure, length), one row per different text. Neighbours are the lengths within `reach` of the
     length, at least 20 on each side; their hazard is the number of texts that end there over the number of times a
-    text reached one of these lengths. expected is the number of texts that would end at the length with that hazard.
+    text reached one of these lengths. expected is the number of texts that would end at the length with that hazard, or
+    the mean number at the neighbours where that is greater: hazards rise by nature where the longest texts end.
     The counts per length are aggregated first, so windows run over distinct lengths and not over texts. alone: a
     length must also stand four standard errors above the three on either side.
     """
@@ -89,7 +90,8 @@ def limits(lengths: DataFrame, q: float = 0.001, reach: float = 0.1, alone: bool
     near = Window.partitionBy("source", "measure").orderBy("axis").rangeBetween(-int(reach * 1_000_000), int(reach * 1_000_000))
     around = risk.withColumn("others", F.sum("n").over(near) - F.col("n")).withColumn("reached", F.sum("exposed").over(near) - F.col("at_risk"))
     usual = (F.col("others") + 0.5) / F.greatest(F.col("reached"), F.lit(1))
-    expected = F.greatest(F.col("at_risk") * F.least(usual, F.lit(1.0)), F.lit(1e-3))
+    mean = (F.col("others") + 0.5) / F.floor((F.col("length") + 200) * 2 * math.sinh(reach))
+    expected = F.greatest(F.col("at_risk") * F.least(usual, F.lit(1.0)), mean, F.lit(1e-3))
 
     @F.pandas_udf("double")
     def tail(c, rate):
