@@ -451,9 +451,9 @@ def test_containment_equals_brute_force(spark, least):
         of[p] |= lines[i]
     want = {(i, p) for i in texts for p in of if lines[i] and len(lines[i] & of[p]) >= least * len(lines[i]) - 1e-9} | held
     df = spark.createDataFrame([*texts.items(), (None, "x"), (99, "unheld")], "id bigint, source string")
-    got = handwritten.contained(df, spark.createDataFrame(list(held), "blob_id bigint, project bigint"), least).collect()
+    got = handwritten.contained(handwritten.line_sets(df), spark.createDataFrame(list(held), "blob_id bigint, project bigint"), least).collect()
     assert {(r.blob_id, r.project) for r in got} == want and len(got) == len(want)
-    assert handwritten.contained(df.where("false"), spark.createDataFrame(list(held)[:0], "blob_id bigint, project bigint"), least).count() == 0
+    assert handwritten.contained(handwritten.line_sets(df.where("false")), spark.createDataFrame(list(held)[:0], "blob_id bigint, project bigint"), least).count() == 0
 
 
 def test_the_index_finds_vendored_copies_without_markers(spark, monkeypatch):
@@ -520,10 +520,10 @@ def test_limits_are_hazards_not_counts(spark):
     rng = random.Random(4)
     # falling counts: few texts reach 900, and most of those that do end there
     rows = [(int(rng.expovariate(1 / 150)) + 1,) for _ in range(6000)]
-    rows = [(n,) for (n,) in rows if n != 900] + [(900,)] * 4
+    rows = [(n,) for (n,) in rows if n != 900] + [(900,)] * 8
     df = spark.createDataFrame(rows, "length int").select(F.lit("s").alias("source"), F.lit("chars").alias("measure"), "length")
     got = {r.length: r for r in limits(df).collect()}
-    assert set(got) == {900} and got[900].n == 4 and got[900].expected < 0.2
+    assert set(got) == {900} and got[900].n == 8 and got[900].expected < 0.2
 
 
 def test_a_limit_before_the_mark_of_the_cut(spark):

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +134,30 @@ def composition(source: str) -> tuple[bool, bool, bool]:
     return minified, data, repetitive
 
 
+def line_hashes(source: str) -> np.ndarray:
+    """The hashes of the different lines of a source, without the blanks around them; empty lines do not count."""
+    lines = {x.strip(" ") for x in source.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ").split("\n")}
+    lines.discard("")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(x.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines)).view(np.int64)
+
+
+def line_sets(blobs: DataFrame) -> DataFrame:
+    """(blob_id, lines): the line hashes of blobs (id, source)."""
+
+    def run(batches):
+        for batch in batches:
+            lines = [line_hashes(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.int64()))], names=["blob_id", "lines"])
+
+    return blobs.where("id is not null and source is not null").select("id", "source").mapInArrow(run, "blob_id bigint, lines array<bigint>")
+
+
 def features(blobs: DataFrame) -> DataFrame:
-    """(blob_id, marked, minified, data, repetitive, claims): what the contents of code blobs say; claims are the packages named in the heading."""
+    """(blob_id, marked, minified, data, repetitive, claims, lines): what the contents of code blobs say, in one reading.
+
+    claims are the packages named in the heading, lines the hashes of the lines.
+    """
 
     def run(batches):
         for batch in batches:
@@ -142,12 +166,12 @@ def features(blobs: DataFrame) -> DataFrame:
                 text = source.as_py()
                 head = heading(text)
                 claims = [m.group(1) for m in map(NAMED.match, head) if m and m.group(1).lower() not in NOT_PACKAGES]
-                rows.append((i, any(MARKED.search(x) for x in head + closing(text)), *composition(text), claims))
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["blob_id", "marked", "minified", "data", "repetitive", "claims"])
+                rows.append((i, any(MARKED.search(x) for x in head + closing(text)), *composition(text), claims, line_hashes(text)))
+            columns = list(zip(*rows)) if rows else [[]] * 7
+            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["blob_id", "marked", "minified", "data", "repetitive", "claims", "lines"])
 
-    return blobs.select("id", "source").mapInArrow(run, "blob_id bigint, marked boolean, minified boolean, data boolean, repetitive boolean, claims array<string>")
+    return blobs.select("id", "source").mapInArrow(run, "blob_id bigint, marked boolean, minified boolean, data boolean, repetitive boolean, claims array<string>, lines array<bigint>")
 
 
 def package_name(c: Column) -> Column:
@@ -155,14 +179,8 @@ def package_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(c, "^@[^/]*/", "")), r"[-@_]v?\d+\.\d.*$", ""), "[_.]", "-")
 
 
-def line_sets(blobs: DataFrame) -> DataFrame:
-    """(blob_id, lines): the hashes of the different lines of each source, without the blanks around them; empty lines do not count."""
-    lines = F.filter(F.transform(F.split("source", r"\r\n|\r|\n"), lambda x: F.trim(F.translate(x, "\t", " "))), lambda x: x != "")
-    return blobs.select(F.col("id").alias("blob_id"), F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))).alias("lines")).where("size(lines) > 0")
-
-
-def contained(blobs: DataFrame, held: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """(blob_id, project, share): the projects whose files hold a share of at least `least` of the lines of a blob (id, source).
+def contained(sets: DataFrame, held: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+    """(blob_id, project, share): the projects whose files hold a share of at least `least` of the lines of a blob (blob_id, lines).
 
     held has (blob_id, project), which project's releases hold which blob. The index lists for each line the projects
     that hold it. A blob that lacks more lines elsewhere than the share allows is dropped; for the others, as many of the
@@ -170,7 +188,7 @@ def contained(blobs: DataFrame, held: DataFrame, least: float = LEAST_SHARE) ->
     that a project holds itself have a share of 1 and are not looked up.
     """
     held = held.select("blob_id", "project").distinct()
-    sets = line_sets(blobs)
+    sets = sets.select("blob_id", "lines").where("size(lines) > 0")
     each = sets.select("blob_id", F.explode("lines").alias("line"))
     index = materialise(each.join(held, "blob_id").groupBy("line", "project").agg(F.lit(1).alias("one")).select("line", "project"))
     spread = index.groupBy("line").agg(F.count("*").alias("projects")).where("projects > 1")
@@ -199,7 +217,7 @@ def code_files(blobs: DataFrame, files: DataFrame, releases: DataFrame, projects
     return rows.select("file_id", "blob_id", "path", "own", "project"), code.where("source is not null").select("id", "source"), keys.select("project", F.col("own").alias("name"))
 
 
-def copies(rows: DataFrame, known: DataFrame, names: DataFrame, claims: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
+def copies(rows: DataFrame, sets: DataFrame, names: DataFrame, claims: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """(file_id) of the code files that another project holds, where a directory of the path or a heading (blob_id, claim) names it.
 
     Files that lie at the same path there do not count: they tell of a fork of the whole project.
@@ -211,7 +229,7 @@ def copies(rows: DataFrame, known: DataFrame, names: DataFrame, claims: DataFram
     signs = placed.union(headed).withColumn("name", package_name(F.col("sign"))).where(F.col("name") != F.coalesce("own", F.lit("")))
     told = signs.join(names, "name").select("file_id", "blob_id", "path", "project").distinct()
     forked = held.select("path", "project").distinct()
-    return told.join(contained(known, held, least), ["blob_id", "project"]).join(forked, ["path", "project"], "left_anti").select("file_id").distinct()
+    return told.join(contained(sets, held, least), ["blob_id", "project"]).join(forked, ["path", "project"], "left_anti").select("file_id").distinct()
 
 
 def not_handwritten(blobs: DataFrame, files: DataFrame, releases: DataFrame, projects: DataFrame) -> DataFrame:
@@ -226,9 +244,9 @@ def not_handwritten(blobs: DataFrame, files: DataFrame, releases: DataFrame, pro
     own = F.coalesce("own", F.lit(""))
     placed = F.coalesce((place != "") & (direct | (package_name(place) != own)), F.lit(False))
     told = materialise(features(known))
-    copied = copies(rows, known, names, told.select("blob_id", F.explode("claims").alias("claim"))).withColumn("copied", F.lit(True))
+    copied = copies(rows, told, names, told.select("blob_id", F.explode("claims").alias("claim"))).withColumn("copied", F.lit(True))
 
-    joined = rows.withColumn("placed", placed).join(told, "blob_id", "left").join(copied, "file_id", "left")
+    joined = rows.withColumn("placed", placed).join(told.drop("lines"), "blob_id", "left").join(copied, "file_id", "left")
     claimed = F.coalesce(F.exists("claims", lambda c: package_name(c) != own), F.lit(False))
     # a heading of the own package says that the tool-free file is its own; other packages' headings show a copy
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .arrivals import repeats
 from .corpus import code_blobs
-from .handwritten import code_files, contained, not_handwritten
+from .handwritten import code_files, contained, line_sets, not_handwritten
 from .leakage import leaks
 from .licenses import findings, licenses
 from .near_duplicates import near_duplicates
@@ -111,7 +111,7 @@ def p7_kinds(spark: SparkSession, folder: str) -> DataFrame:
 def p7_contained(spark: SparkSession, folder: str) -> DataFrame:
     """The projects that hold four fifths of the lines of a code blob, or the blob itself."""
     rows, known, names = code_files(*(table(spark, folder, name) for name in ("blobs", "scan_files", "releases", "projects")))
-    found = contained(known, rows.where("project is not null").select("blob_id", "project"))
+    found = contained(line_sets(known), rows.where("project is not null").select("blob_id", "project"))
     return found.join(names, "project").select("blob_id", F.col("name").alias("project"), F.round("share", 6).alias("share"))
 
 
