@@ -23,6 +23,10 @@ AUXILIARY_PATH = r"(?i)(^|/)(tests?|__tests__|spec|specs|e2e|bench(mark)?s?|exam
 AUXILIARY_SCAN_PATH = r"(?i)(^|/)(tests?|__tests__|spec|specs|e2e|bench(mark)?s?|examples?|demos?|docs?|scripts?|tools?|\.github)(/|$)|\.(test|spec|bench)\.[a-z]+$|(^|/)(test_[^/]*|[^/]*_test)\.py$|(^|/)(tests?|bench(mark)?s?|examples?)\.[a-z]+$|\.config\.[a-z]+$|(^|/)(setup|conftest)\.py$"
 DERIVED_PATH = r"(?i)(^|/)(dist|build|umd|cjs|esm|lib-cov|out|bundle|compiled)(/|$)"
 EXCLUDED_SEGMENTS = "node_modules vendor vendors dist build coverage .next .nuxt .venv venv __pycache__ generated fixtures snapshots".split()
+# fixed values: directories, suffixes of texts and of code as the hosted scan takes them (case-sensitive directories)
+IGNORED_SEGMENTS = "node_modules dist build vendor .git .next target out coverage .venv venv __pycache__ .cache".split()
+TEXT_SUFFIXES = ".js .jsx .mjs .cjs .ts .tsx .py .go .rs .rb .java .c .h .cpp .cc .cs .php .json .md .txt .toml .yaml .yml .lock".split()
+CODE_SUFFIXES = ".js .jsx .mjs .cjs .ts .tsx .mts .cts .py .go .rs .rb .java .c .h .cpp .cc .cs .php .swift .kt".split()
 GENERATED_HEAD = r"(?m)^\s*// *@generated|^\s*# *(generated|auto-generated)|DO NOT EDIT"
 
 # fixed values: ranking weights

@@ -201,3 +201,90 @@ def purl(ecosystem, name, version) -> Column:
 
 def month_start(ts) -> Column:
     return F.date_trunc("month", col(ts))
+
+
+# --- intake
+
+
+def intake_reason(path, size, source, rules: list[str], most_bytes: int) -> Column:
+    """Why an uploaded file is left out, the first reason that holds; null for files that are taken."""
+    p, s = col(path), col(source)
+    outside = F.coalesce(in_excluded_directory(p), F.lit(False)) | p.rlike(r"(^|/)\.(git|svn|hg)(/|$)") | p.rlike(r"(?i)\.(min|generated)\.[^.]+$")
+    return (
+        F.when(excluded_by(p, rules), "user_excluded")
+        .when(outside, "excluded_directory")
+        .when(p.rlike(r"(?i)\.(zip|tar|gz|tgz|bz2|xz|7z|rar)$"), "nested_archive")
+        .when(language(p) == "unknown", "unsupported_type")
+        .when(col(size) > most_bytes, "file_too_large")
+        .when(s.rlike(r"[\x00-\x08\x0e-\x1f]") | s.startswith("PK\x03\x04"), "binary")
+    )
+
+
+def tree_reason(path, size, rules: list[str], most_bytes: int) -> Column:
+    """Why an entry of a repository tree is left out; the order differs from that of uploads."""
+    p = col(path)
+    return (
+        F.when(language(p) == "unknown", "unsupported_type")
+        .when(excluded_by(p, rules), "user_excluded")
+        .when(F.coalesce(in_excluded_directory(p), F.lit(False)), "excluded_directory")
+        .when(F.coalesce(col(size), F.lit(0)) > most_bytes, "file_too_large")
+    )
+
+
+def incomplete(reason) -> Column:
+    """Reasons after which a scan did not see all that it should have."""
+    return F.coalesce(col(reason).isin("file_too_large", "binary"), F.lit(False))
+
+
+def last_suffix(path) -> Column:
+    """From the last dot of the whole path on, in small letters; empty without one."""
+    return F.lower(F.regexp_extract(col(path), r"(\.[^.]*)$", 1))
+
+
+def ignored_segment(path) -> Column:
+    return F.arrays_overlap(F.split(col(path), "/"), F.array(*[F.lit(s) for s in C.IGNORED_SEGMENTS]))
+
+
+def is_text_file(path) -> Column:
+    return last_suffix(path).isin([*C.TEXT_SUFFIXES, ""])
+
+
+def is_code_file(path) -> Column:
+    return last_suffix(path).isin(C.CODE_SUFFIXES)
+
+
+def exclusion_rules(rules) -> tuple[Column, Column]:
+    """Sorted distinct exclusion rules of an array of paths, and whether the array is valid: at most 100, plain and without globs."""
+    r = F.transform(col(rules), lambda x: F.regexp_replace(x, "/$", ""))
+    sound = F.forall(col(rules), lambda x: F.coalesce(~x.rlike(r"[*?\[\]{}]"), F.lit(False))) & F.forall(r, safe_path)
+    valid = F.coalesce((F.size(col(rules)) <= 100) & sound, F.lit(False))
+    return F.when(valid, F.array_sort(F.array_distinct(r))), valid
+
+
+def selection_root(paths) -> Column:
+    """The one first directory that all nested paths of an array lie in, null where there are several or none."""
+    roots = F.array_distinct(F.transform(F.filter(col(paths), lambda p: F.contains(p, F.lit("/"))), lambda p: F.substring_index(p, "/", 1)))
+    return F.when(F.size(roots) == 1, F.element_at(roots, 1))
+
+
+def repository_input(text) -> Column:
+    """A pasted repository address with its scheme and host put in where they were left out."""
+    t = F.regexp_replace(F.trim(col(text)), "/+$", "")
+    return F.when(t.rlike("(?i)^https?://"), t).when(t.rlike(r"(?i)^github\.com/"), F.concat(F.lit("https://"), t)).when(t.rlike(r"^[\w.-]+/[\w.-]+$"), F.concat(F.lit("https://github.com/"), t)).otherwise(t)
+
+
+def commit_state(status, message) -> Column:
+    """empty_repository for the one answer that says so; anything else stays unknown (null)."""
+    return F.when((col(status) == 409) & (col(message) == "Git Repository is empty."), "empty_repository")
+
+
+def is_private_upload(source_type) -> Column:
+    return F.coalesce(col(source_type).isin("zip", "files"), F.lit(False))
+
+
+def nothing_to_scan(fetched, source_type, empty) -> Column:
+    return (col(fetched) == 0) | (is_private_upload(source_type) & F.coalesce(col(empty), F.lit(False)))
+
+
+def retryable(code) -> Column:
+    return F.coalesce(col(code).isin("PROCESSING_TIMEOUT", "SCAN_BUSY"), F.lit(False))

@@ -41,6 +41,42 @@ def composition(signals: DataFrame, column: str = "signal") -> DataFrame:
     return all_of.join(signals.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("events"))
 
 
+def source_type(shape) -> Column:
+    """Who an edit of that shape is put down to: ai, human, imported or unknown."""
+    return F.when(shape.isin("ai_assisted_signal", "bulk_insert_signal"), "ai").when(shape.isin("human_signal", "human_modified_ai"), "human").when(shape == "imported", "imported").otherwise("unknown")
+
+
+def actor_type(shape) -> Column:
+    return F.when(shape == "imported", "external").otherwise("developer")
+
+
+def folded_edit(changes) -> Column:
+    """struct<chars, lines, removed, replacement> of an event's changes, an array of struct<text, removed>."""
+    c = F.col(changes) if isinstance(changes, str) else changes
+    total = lambda of: F.aggregate(F.transform(c, of), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    size = lambda x: F.coalesce(F.length(x["text"]), F.lit(0)).cast("bigint")
+    gone = lambda x: F.coalesce(x["removed"], F.lit(0)).cast("bigint")
+    breaks = lambda x: (size(x) - F.coalesce(F.length(F.replace(x["text"], F.lit("\n"), F.lit(""))), F.lit(0))).cast("bigint")
+    return F.struct(total(size).alias("chars"), total(breaks).alias("lines"), total(gone).alias("removed"), F.exists(c, lambda x: (gone(x) > 0) & (size(x) > 0)).alias("replacement"))
+
+
+# fixed values: the fields of an event that are hashed, in order of their names
+EVENT_FIELDS = "actorType commitSha contentHash diffHash eventTimestamp filePath metadata ownerId parentEventId previousEventHash provider repositoryId sourceType tool".split()
+
+
+def canonical_record(event: dict[str, Column], previous: Column) -> Column:
+    """Canonical JSON of the whole event: all fields in order, null where they are missing, metadata {} and with sorted keys.
+
+    eventTimestamp is a timestamp and is written as an instant with milliseconds and Z, however it was spelled.
+    """
+    at = event["eventTimestamp"].cast("timestamp")
+    stamp = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    empty = F.create_map().cast("map<string,string>")
+    meta = F.map_from_entries(F.array_sort(F.map_entries(F.coalesce(event.get("metadata", F.lit(None)).cast("map<string,string>"), empty))))
+    value = lambda name: stamp if name == "eventTimestamp" else meta if name == "metadata" else previous if name == "previousEventHash" else event.get(name, F.lit(None)).cast("string")
+    return F.to_json(F.struct(*[value(n).alias(n) for n in EVENT_FIELDS]), {"ignoreNullFields": "false"})
+
+
 def canonical_event(fields: dict[str, Column], previous: Column) -> Column:
     """Canonical JSON of an event: keys sorted, nulls kept, the timestamp with milliseconds and Z."""
     named = fields | {"previousEventHash": previous}

@@ -320,23 +320,28 @@ def license_names(spark, folder):
     return table(spark, folder, "releases").select("id", license.plain_license("license_spdx").alias("plain"), full["spdx"].alias("spdx"), full["family"].alias("family"))
 
 
-_MANIFEST = "concat('{\"dependencies\":{\"', name, '\":\"^', version, '\"}}')"
-
-
-@query("""
-SELECT project_id AS scan_id, concat('pkg:npm/', replace(name, '@', '%40'), '@^', max_by(version, (coalesce(version_published, TIMESTAMP '1970-01-01'), r.id))) AS purl
-FROM releases r JOIN projects p ON p.id = r.project_id GROUP BY project_id, name
+@query(r"""
+WITH l AS (SELECT project_id, name, max_by(version, (coalesce(version_published, TIMESTAMP '1970-01-01'), r.id)) AS version FROM releases r JOIN projects p ON p.id = r.project_id GROUP BY project_id, name)
+SELECT project_id AS scan_id, concat('pkg:npm/', replace(name, '@', '%40'), '@^', version) AS purl FROM l
+UNION ALL SELECT project_id, concat('pkg:npm/', replace(name, '@', '%40'), '-dev@1.0.0') FROM l
+UNION ALL SELECT project_id, concat('pkg:pypi/', regexp_extract(name, '^[A-Za-z0-9._-]+'), CASE WHEN regexp_matches(version, '^[A-Za-z0-9.]') THEN concat('@', regexp_extract(version, '^[A-Za-z0-9.]+')) ELSE '' END) FROM l WHERE regexp_matches(name, '^[A-Za-z0-9._-]')
 """)
 def manifest_dependencies(spark, folder):
-    """Package addresses of a manifest that names each project's latest release."""
+    """Package addresses of manifests that name each project's latest release, some of them twice."""
     releases, projects = _tables(spark, folder, "releases", "projects")
     latest = corpus.latest_versions(releases.select("project_id", "version", "version_published", "id"), ["project_id"], [F.coalesce("version_published", F.lit("1970-01-01").cast("timestamp_ntz")), F.col("id")])
     named = latest.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id")
-    manifests = named.select(F.col("project_id").alias("scan_id"), F.lit("package.json").alias("path"), F.to_json(F.struct(F.create_map("name", F.concat(F.lit("^"), "version")).alias("dependencies"))).alias("content"))
+    # the same name again, as a development dependency and on a later line: the first counts
+    package = F.to_json(F.struct(F.create_map("name", F.concat(F.lit("^"), "version")).alias("dependencies"), F.create_map(F.col("name"), F.lit("0.0.0"), F.concat("name", F.lit("-dev")), F.lit("1.0.0")).alias("devDependencies")))
+    lines = F.concat(F.lit("# needs\n"), "name", F.lit("=="), "version", F.lit("\n"), "name", F.lit(">=9 # again\n"))
+    manifests = named.select(F.col("project_id").alias("scan_id"), F.explode(F.array(F.struct(F.lit("package.json").alias("path"), package.alias("content")), F.struct(F.lit("requirements.txt").alias("path"), lines.alias("content")))).alias("m")).select("scan_id", "m.*")
     return license.dependencies(manifests).select("scan_id", X.purl("ecosystem", "name", "version").alias("purl"))
 
 
-@query()
+@query("""
+SELECT project_id AS scan_id, concat('{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"components":[', string_agg(concat('{"type":"library","name":', to_json(name), ',"version":', to_json(version),
+  ',"purl":"pkg:', ecosystem, '/', replace(name, '@', '%40'), '@', version, '"}'), ',' ORDER BY r.id), ']}') AS sbom FROM releases r JOIN projects p ON p.id = r.project_id GROUP BY 1
+""")
 def bill_of_materials(spark, folder):
     """A bill of materials of each project's releases taken as dependencies."""
     releases, projects = _tables(spark, folder, "releases", "projects")
@@ -390,7 +395,7 @@ def text_fingerprints(spark, folder):
 _CONTAINED = """
 WITH f AS (
   SELECT DISTINCT g.blob_id, x.hash FROM fingerprints g, unnest(g.fp_preserving) AS u(x)
-), d AS (SELECT hash FROM f GROUP BY 1 HAVING count(*) <= 30),
+),
 size AS (SELECT blob_id, count(*) AS n FROM f GROUP BY 1)
 """
 
@@ -400,15 +405,12 @@ size AS (SELECT blob_id, count(*) AS n FROM f GROUP BY 1)
     + """
 SELECT a.blob_id AS probe_id, b.blob_id AS doc_id, count(*) AS shared, round(count(*) / any_value(s.n)::DOUBLE, 6) AS containment,
   CASE WHEN count(*) / any_value(s.n)::DOUBLE >= 0.85 THEN 'strong_match' ELSE 'review_suggested' END AS band
-FROM f a JOIN f b ON a.hash = b.hash AND a.blob_id <> b.blob_id JOIN d ON d.hash = a.hash JOIN size s ON s.blob_id = b.blob_id
+FROM f a JOIN f b ON a.hash = b.hash AND a.blob_id <> b.blob_id JOIN size s ON s.blob_id = b.blob_id
 GROUP BY 1, 2 HAVING count(*) / any_value(s.n)::DOUBLE >= 0.55
 """
 )
 def blob_containment(spark, folder):
-    """Blobs whose fingerprints another blob holds to 0.55 or more, over all fingerprints.
-
-    The SQL above still leaves out hashes of more than 30 blobs, so it lacks pairs and counts that this query has.
-    """
+    """Blobs whose fingerprints another blob holds to 0.55 or more, over all fingerprints."""
     prints = table(spark, folder, "fingerprints").groupBy(F.col("blob_id").alias("id")).agg(F.flatten(F.collect_list("fp_preserving.hash")).alias("hashes"))
     found = similarity.contained(prints, 0.55)
     return found.select("probe_id", "doc_id", "shared", F.round("containment", 6).alias("containment"), similarity.band(F.col("containment"), F.lit(False), F.lit("CLEAR")).alias("band"))
@@ -506,17 +508,53 @@ def hash_chains(spark, folder):
     return _chain(spark, folder)[0].select("user_id", "seq", "event_id", "previous_hash", "event_hash")
 
 
-@query("SELECT user_id, count(*) AS events, true AS intact FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+_CHAIN = r"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type, sha256(coalesce(props, '')) AS digest, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events WHERE user_id IS NOT NULL
+), c AS (
+  SELECT user_id, seq, event_id, NULL::VARCHAR AS previous_hash,
+    sha256(concat('{"contentHash":"', digest, '","previousEventHash":null,"repositoryId":"', user_id, '","sourceType":"', event_type, '"}')) AS event_hash FROM e WHERE seq = 0
+  UNION ALL
+  SELECT e.user_id, e.seq, e.event_id, c.event_hash,
+    sha256(concat('{"contentHash":"', e.digest, '","previousEventHash":"', c.event_hash, '","repositoryId":"', e.user_id, '","sourceType":"', e.event_type, '"}')) FROM c JOIN e ON e.user_id = c.user_id AND e.seq = c.seq + 1
+)
+"""
+
+
+@query(
+    _CHAIN
+    + r""", d AS (
+  SELECT c.user_id, c.event_id, CASE WHEN c.user_id % 5 = 0 AND c.seq IN (1, 2) THEN 3 - c.seq ELSE c.seq END AS seq,
+    CASE WHEN c.event_id % 97 = 0 THEN sha256('forged') ELSE e.digest END AS digest, e.event_type,
+    CASE WHEN c.event_id % 89 = 0 THEN sha256('elsewhere') ELSE c.previous_hash END AS previous_hash, c.event_hash
+  FROM c JOIN e USING (event_id)
+), r AS (
+  SELECT user_id, seq, previous_hash IS NOT DISTINCT FROM lag(event_hash) OVER (PARTITION BY user_id ORDER BY seq) AND event_hash =
+    sha256(concat('{"contentHash":"', digest, '","previousEventHash":', CASE WHEN previous_hash IS NULL THEN 'null' ELSE concat('"', previous_hash, '"') END, ',"repositoryId":"', user_id, '","sourceType":"', event_type, '"}')) AS ok FROM d
+)
+SELECT user_id, count(*) AS events, bool_and(ok) AS intact, min(CASE WHEN NOT ok THEN seq END) AS first_break FROM r GROUP BY 1
+"""
+)
 def chain_checks(spark, folder):
-    """Whether every chain recomputes, link by link."""
+    """Whether every chain recomputes, link by link, after some contents were forged, some links bent and some events swapped."""
     chain, events = _chain(spark, folder)
+    forged = F.when(F.col("event_id") % 97 == 0, F.sha2(F.lit("forged"), 256)).otherwise(F.col("digest"))
+    full = chain.join(events.select("event_id", "user", forged.alias("digest"), "event_type"), "event_id")
+    full = full.withColumn("previous_hash", F.when(F.col("event_id") % 89 == 0, F.sha2(F.lit("elsewhere"), 256)).otherwise(F.col("previous_hash")))
+    full = full.withColumn("seq", F.when((F.col("user_id") % 5 == 0) & F.col("seq").isin(1, 2), 3 - F.col("seq")).otherwise(F.col("seq")))
     body = {"repositoryId": F.col("user"), "contentHash": F.col("digest"), "sourceType": F.col("event_type")}
-    full = chain.join(events.select("event_id", "user", "digest", "event_type"), "event_id")
     recomputed = F.sha2(provenance.canonical_event(body, F.col("previous_hash")), 256)
-    return provenance.verify_chains(full, "user_id", ["at", "event_id"], recomputed).select("user_id", "events", "intact")
+    found = provenance.verify_chains(full, "user_id", ["seq"], recomputed)
+    return found.select("user_id", "events", "intact", F.col("first_break.seq").alias("first_break"))
 
 
-@query()
+@query(
+    _CHAIN
+    + """
+SELECT user_id, concat('{"_type":"https://in-toto.io/Statement/v1","subject":[{"name":"', user_id, '","digest":{"sha256":"', max_by(event_hash, seq), '"}}],"predicateType":"https://tracemill.example/provenance/v1","predicate":{"eventCount":',
+  count(*), ',"firstEventHash":"', min_by(event_hash, seq), '","lastEventHash":"', max_by(event_hash, seq), '"}}') AS statement FROM c GROUP BY 1
+"""
+)
 def attestations(spark, folder):
     """A statement around the ends of every chain."""
     return provenance.attestation(_chain(spark, folder)[0], "user_id", ["at", "event_id"])
@@ -534,19 +572,19 @@ b AS (SELECT v.release_id, p.path FROM v JOIN p ON p.release_id = v.next_id)
 @query(
     _STEPS
     + """
-SELECT release_id, count_if(a IS NULL) AS detected, count_if(a IS NOT NULL AND b IS NOT NULL) AS still_detected, count_if(b IS NULL) AS resolved, 0::BIGINT AS unverified
+SELECT release_id, count_if(a IS NULL) AS detected, count_if(a IS NOT NULL AND b IS NOT NULL) AS still_detected, count_if(b IS NULL AND NOT starts_with(a, 'docs/')) AS resolved, count_if(b IS NULL AND starts_with(a, 'docs/')) AS unverified
 FROM (SELECT coalesce(a.release_id, b.release_id) AS release_id, a.path AS a, b.path AS b FROM a FULL JOIN b ON a.release_id = b.release_id AND a.path = b.path) GROUP BY 1
 """
 )
 def release_changes(spark, folder):
-    """Paths that each release's successor adds, keeps and drops."""
+    """Paths that each release's successor adds, keeps and drops; documents were not checked again, so their loss is not proven."""
     releases, files = _tables(spark, folder, "releases", "scan_files")
     order = Window.partitionBy("project_id").orderBy(F.coalesce("version_published", F.lit("1970-01-01").cast("timestamp_ntz")), "id")
     steps = releases.select(F.col("id").alias("release_id"), F.lead("id").over(order).alias("next_id")).where("next_id is not null")
     paths = files.where("path is not null").select("release_id", F.regexp_replace("path", r"^(\./)+", "").alias("path")).distinct()
     before = steps.join(paths, "release_id").select("release_id", "path")
     after = steps.join(paths.withColumnRenamed("release_id", "next_id"), "next_id").select("release_id", "path")
-    return history.action_counts(history.reconcile(before, after, ["release_id", "path"]), ["release_id"])
+    return history.action_counts(history.reconcile(before, after, ["release_id", "path"], ~F.col("path").startswith("docs/")), ["release_id"])
 
 
 @query("SELECT release_id, path, id FROM (SELECT *, row_number() OVER (PARTITION BY release_id, path ORDER BY ingested_at NULLS FIRST, id) AS n FROM scan_files) WHERE n = 1")
@@ -603,12 +641,19 @@ def content_digests(spark, folder):
     return rows.select("user_id", "n", F.md5(F.array_join("ids", "\n")).alias("digest"))
 
 
-@query()
+@query("""
+WITH r AS (SELECT DISTINCT f.blob_id, x.position // 6 + 1 AS a, (x.position + 4) // 6 + 1 AS b FROM fingerprints f, unnest(f.fp_preserving) AS u(x)),
+m AS (SELECT *, max(b) OVER (PARTITION BY blob_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY blob_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m),
+i AS (SELECT blob_id, island, min(a) AS a, max(b) AS b FROM g GROUP BY 1, 2)
+SELECT blob_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE concat(a, '–', b) END, ', ' ORDER BY a) AS ranges FROM i GROUP BY 1
+""")
 def merged_ranges(spark, folder):
-    """Line ranges of the orders' items, merged with a gap of one."""
-    r = F.struct(F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + (F.col("l_partkey") % 2)).cast("int").alias("end"))
-    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(r).alias("r"))
-    return rows.select("l_orderkey", X.format_ranges(X.merge_ranges("r", 1)).alias("ranges"))
+    """The lines that a blob's fingerprints cover, at six tokens a line, merged with a gap of one."""
+    at = F.col("p.position")
+    r = F.struct((F.floor(at / 6) + 1).cast("int").alias("start"), (F.floor((at + 4) / 6) + 1).cast("int").alias("end"))
+    rows = table(spark, folder, "fingerprints").select("blob_id", F.explode("fp_preserving").alias("p")).groupBy("blob_id").agg(F.collect_set(r).alias("r"))
+    return rows.select("blob_id", X.format_ranges(X.merge_ranges("r", 1)).alias("ranges"))
 
 
 # --- streams
@@ -616,9 +661,10 @@ def merged_ranges(spark, folder):
 
 @query("SELECT event_id FROM events")
 def stream_once(spark, folder):
-    """Events of a stream, each once."""
+    """Events of a stream that delivers every third of them again, a while later; each comes out once."""
     rows = stream.table_stream(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return stream.drain(spark, stream.once(rows, "event_id", "ts", "3650 days"), "once").select("event_id")
+    again = stream.table_stream(spark, folder, "events").where("event_id % 3 = 0").select("event_id", (F.col("ts").cast("timestamp") + F.expr("interval 5 minutes")).alias("ts"))
+    return stream.drain(spark, stream.once(rows.unionByName(again), "event_id", "ts", "1 day"), "once").select("event_id")
 
 
 @query(_EDITS + "SELECT event_id, ms AS elapsed_ms, signal FROM s")
