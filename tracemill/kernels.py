@@ -57,6 +57,11 @@ def lex(source: str, language: str | None, engine: str = "search", normalised: b
     return kinds, at
 
 
+def normal_kinds(kinds: list[str]) -> list[str]:
+    """The normalised form of spelled kinds: identifiers and literals without their text."""
+    return ["ID" if k[:3] == "id:" else "LIT" if k[:4] == "lit:" else k for k in kinds]
+
+
 def fnv1a(text: str, start: int = 2166136261) -> int:
     """32-bit FNV-1a over UTF-16 code units."""
     h = start

@@ -10,7 +10,14 @@ from .. import kernels as K
 from ..constants import SOURCE_SEARCH, Profile, SearchSettings
 from ..functions.columns import language_family
 
-_PRINTS = "array<bigint>"
+_CHUNK = 128
+
+
+def _chunks(frames):
+    """Frames of few files each, so that what is kept of a frame stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), _CHUNK):
+            yield frame.iloc[at : at + _CHUNK]
 
 
 def regions(files: DataFrame, profile: Profile = SOURCE_SEARCH, s: SearchSettings = SearchSettings()) -> DataFrame:
@@ -21,13 +28,13 @@ def regions(files: DataFrame, profile: Profile = SOURCE_SEARCH, s: SearchSetting
     schema = "file_id bigint, language string, region int, token_start int, token_end int, line_start int, line_end int, preserving array<string>, normalized array<string>, hashes_preserving array<struct<hash:bigint,position:int>>, hashes_normalized array<struct<hash:bigint,position:int>>, lines array<int>"
 
     def run(frames):
-        for frame in frames:
+        for frame in _chunks(frames):
             out = []
             for i, language, source in zip(frame["file_id"], frame["language"], frame["source"]):
                 if source is None:
                     continue
                 kept, lines = K.lex(source, language, lines=True)
-                plain, _ = K.lex(source, language, normalised=True)
+                plain = K.normal_kinds(kept)
                 if not kept:
                     continue
                 for n, a in enumerate(K.region_starts(len(kept), s.region, s.stride)):
@@ -44,13 +51,13 @@ def documents(files: DataFrame, profile: Profile = SOURCE_SEARCH) -> DataFrame:
     schema = "doc_id bigint, language string, preserving array<string>, normalized array<string>, lines array<int>, hashes_preserving array<struct<hash:bigint,position:int>>, hashes_normalized array<struct<hash:bigint,position:int>>"
 
     def run(frames):
-        for frame in frames:
+        for frame in _chunks(frames):
             out = []
             for i, language, source in zip(frame["file_id"], frame["language"], frame["source"]):
                 if source is None:
                     continue
                 kept, lines = K.lex(source, language, lines=True)
-                plain, _ = K.lex(source, language, normalised=True)
+                plain = K.normal_kinds(kept)
                 prints = [[{"hash": h, "position": p} for h, p in K.fingerprints(k, profile)] for k in (kept, plain)]
                 out.append((i, language, kept, plain, lines, *prints))
             yield pd.DataFrame(out, columns="doc_id language preserving normalized lines hashes_preserving hashes_normalized".split())
@@ -102,10 +109,18 @@ def retrieve(query: DataFrame, index: DataFrame, docs: DataFrame, s: SearchSetti
 
 
 def judge(q_kept: list, q_plain: list, d_kept: list, d_plain: list, rare: int, common_ratio: float, q_lines: list, d_lines: list, s: SearchSettings) -> tuple:
-    """Evidence and class of one region against one stretch of a document."""
-    matched = K.lcs_length(q_plain, d_plain)
+    """Evidence and class of one region against one stretch of a document.
+
+    What is too weak for the lesser class is told so as soon as that is known; the strong one asks for more of the same.
+    """
+    nothing = ("insufficient_evidence", 0, 0, 0, 0, 0.0, None, None, None, None)
     run, a, b = K.longest_run(q_plain, d_plain)
+    if run < s.possible_run:
+        return nothing
+    matched = K.lcs_length(q_plain, d_plain)
     coverage = matched / max(1, min(len(q_plain), len(d_plain)))
+    if matched < s.possible_matched or coverage < s.possible_coverage:
+        return nothing
     specific = lambda kinds: [x for x in kinds if x[:3] == "id:" or x[:4] == "lit:"]
     sq, sd = specific(q_kept), specific(d_kept)
     kept = K.lcs_length(sq, sd)
@@ -120,8 +135,7 @@ def judge(q_kept: list, q_plain: list, d_kept: list, d_plain: list, rare: int, c
         chosen = lambda kinds, at, line: {k for k, n in zip(kinds, at) if n == line and ((k[:3] == "id:" and len(k[3:].lstrip("#")) >= 3) or (k[:4] == "lit:" and k[4:5] in "\"'`" and len(k) >= 10))}
         distinct = len(chosen(q_kept, q_lines, lines[0]) & chosen(d_kept, d_lines, lines[2])) >= 2
     strong = structural and (spelled or renamed) and common_ratio < s.strong_common_ratio and distinct
-    possible = matched >= s.possible_matched and run >= s.possible_run and coverage >= s.possible_coverage
-    label = "strong_match" if strong else "possible_common_pattern" if possible else "insufficient_evidence"
+    label = "strong_match" if strong else "possible_common_pattern"
     return label, matched, run, kept, kept_run, coverage, *lines
 
 
