@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import constants as C
+from . import kernels as K
 from .constants import PIPELINE, SOURCE_SEARCH
 from .functions import arrow as A
 from .functions import columns as X
@@ -313,7 +314,34 @@ def license_policy(spark, folder):
     return texts.groupBy("release_id").agg(license.worst_policy("status").alias("policy"))
 
 
-@query()
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+_ONE_PLAIN = f"""coalesce({_map(license.PLAIN)}[regexp_replace(regexp_replace(lower(trim(regexp_replace(trim(x), '^\\(+|\\)+$', '', 'g'))), '-(only|or-later)$', ''), '\\+$', '')], 'Unknown')"""
+_BARE = "trim(CASE WHEN regexp_full_match(trim(x), '\\(.*\\)') THEN trim(x)[2:-2] ELSE trim(x) END)"
+_ONE_NAME = f"""coalesce({_map({a: i for i, names in license.REGISTRY.items() for a in names})}[lower({_BARE})], CASE WHEN regexp_full_match({_BARE}, '[A-Za-z0-9.+-]{{1,40}}') THEN {_BARE} END)"""
+
+
+@query(rf"""
+WITH c AS (SELECT id, license_spdx, license_raw, regexp_replace(trim(license_spdx), '^\((.*)\)$', '\1') AS c FROM releases),
+p AS (SELECT *, list_transform(regexp_split_to_array(c, '(?i)\sOR\s'), lambda x: {_ONE_PLAIN}) AS options, list_transform(regexp_split_to_array(c, '(?i)\sAND\s'), lambda x: {_ONE_PLAIN}) AS parts FROM c),
+plain AS (SELECT id, CASE WHEN c IS NULL OR c = '' THEN 'Unknown'
+  WHEN regexp_matches(c, '(?i)\sOR\s') THEN coalesce(list_filter({license.PERMISSIVENESS}, lambda n: list_contains(options, n))[1], 'Unknown')
+  WHEN regexp_matches(c, '(?i)\sAND\s') THEN CASE WHEN list_contains(parts, 'Unknown') THEN 'Unknown' ELSE list_filter({license.PERMISSIVENESS}, lambda n: list_contains(parts, n))[-1] END
+  ELSE parts[1] END AS plain FROM p),
+v AS (SELECT id, n, v, regexp_replace(v, '^License :: (OSI Approved :: )?', '') AS text FROM (SELECT id, 1 AS n, license_spdx AS v FROM releases UNION ALL SELECT id, 2, license_raw FROM releases) WHERE length(v) > 0),
+i AS (SELECT id, n, v, text, regexp_replace(text, '^\((.*)\)$', '\1') AS inner_text FROM v),
+w AS (SELECT id, n, v, text, list_transform(regexp_split_to_array(inner_text, '\s+(?:OR|AND|WITH)\s+'), lambda x: {_ONE_NAME}) AS ids, regexp_extract_all(inner_text, '\s+(OR|AND|WITH)\s+', 1) AS words, {_ONE_NAME.replace("(x)", "(text)")} AS whole FROM i),
+e AS (SELECT id, n, CASE WHEN regexp_matches(v, '(?i)^see license in|^unlicensed$') OR regexp_full_match(text, '(?i)OSI Approved') THEN NULL
+  WHEN len(list_filter(ids, lambda x: x IS NULL)) > 0 THEN CASE WHEN length(text) <= 60 THEN whole END
+  ELSE array_to_string(list_transform(range(1, len(ids) + 1), lambda k: concat_ws(' ', ids[k], words[k])), ' ') END AS spdx FROM w),
+d AS (SELECT id, spdx, min(n) AS n FROM e WHERE spdx IS NOT NULL GROUP BY 1, 2),
+j AS (SELECT id, string_agg(spdx, ' OR ' ORDER BY n) AS spdx FROM d GROUP BY 1)
+SELECT r.id, r.plain, j.spdx, CASE WHEN j.spdx IS NULL THEN 'unknown'
+  WHEN len(list_filter(string_split(j.spdx, ' OR '), lambda alt: len(list_filter(regexp_split_to_array(alt, ' (AND|WITH) '), lambda x: regexp_matches(x, '{license.COPYLEFT}'))) = 0)) = 0 THEN 'copyleft' ELSE 'permissive' END AS family
+FROM plain r LEFT JOIN j USING (id)
+""")
 def license_names(spark, folder):
     """Both normal forms of every release's licence fields."""
     full = license.registry_license(F.array("license_spdx", "license_raw"))
@@ -352,7 +380,33 @@ def bill_of_materials(spark, folder):
 # --- tokens, fingerprints and search
 
 
-@query()
+_QUOTED = r"""\"(?:[^\"\\]|\\.)*\"|''(?:[^''\\]|\\.)*''"""
+_SCRIPT_TOKENS = _QUOTED + r"""|`(?:[^`\\]|\\.)*`|\b\d+(?:\.\d+)?\b|//[^\n]*|/\*[\s\S]*?\*/|#?[A-Za-z_$][A-Za-z0-9_$]*|=>|===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|\*\*|\.\.\.|[{}()\[\];,.:?=<>+\-*/%&|!^~]"""
+_PYTHON_TOKENS = r"""\"\"\"[\s\S]*?\"\"\"|''''''[\s\S]*?''''''|""" + _QUOTED + r"""|\b\d+(?:\.\d+)?\b|#[^\n]*|[A-Za-z_][A-Za-z0-9_]*|==|!=|<=|>=|\*\*|//|:=|\.\.\.|[{}()\[\];,.:?=<>+\-*/%&|!^~]"""
+_TOKENS = f"""
+WITH told AS (
+  SELECT blob_id, first(l ORDER BY n DESC, l) AS l FROM (SELECT blob_id, {_LANGUAGE} AS l, count(*) AS n FROM scan_files GROUP BY 1, 2) WHERE l <> 'unknown' GROUP BY 1
+), s AS (
+  SELECT b.id, b.source, CASE WHEN b.language IS NULL THEN coalesce(t.l, 'javascript') WHEN lower(trim(b.language)) IN ('py', 'python') THEN 'python' WHEN lower(trim(b.language)) IN ('ts', 'typescript') THEN 'typescript' ELSE 'javascript' END AS lang
+  FROM blobs b LEFT JOIN told t ON t.blob_id = b.id WHERE b.source IS NOT NULL AND coalesce(lower(trim(b.language)) <> 'text', true)
+), w AS (
+  SELECT id, lang, CASE WHEN lang = 'python' THEN list_filter(regexp_extract_all(source, '{_PYTHON_TOKENS}'), lambda x: x[1] <> '#')
+    ELSE list_filter(regexp_extract_all(source, '{_SCRIPT_TOKENS}'), lambda x: x[1:2] NOT IN ('//', '/*')) END AS t FROM s
+), k AS (
+  SELECT id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^["''`0-9]') THEN 'lit:' || x WHEN NOT regexp_matches(x, '^#?[A-Za-z_$]') THEN x
+    WHEN lang = 'python' AND list_contains({sorted(K.KEYWORDS["search"]["python"])}, x) OR lang = 'javascript' AND list_contains({sorted(K.KEYWORDS["search"]["javascript"])}, x)
+      OR lang = 'typescript' AND list_contains({sorted(K.KEYWORDS["search"]["typescript"])}, x) THEN 'kw:' || x ELSE 'id:' || x END) AS kept FROM w
+)
+"""
+
+
+@query(
+    _TOKENS
+    + """
+SELECT id AS file_id, len(kept) AS tokens, len(list_distinct(kept)) AS kinds, len(list_distinct(list_transform(kept, lambda x: CASE WHEN x[1:4] = 'lit:' THEN 'LIT' WHEN x[1:3] = 'id:' THEN 'ID' ELSE x END))) AS plain_kinds,
+  sha256(array_to_string(kept, chr(1))) AS shape FROM k
+"""
+)
 def token_counts(spark, folder):
     """Tokens and distinct kinds of every code blob in both representations."""
     rows = _sources(spark, folder)
@@ -361,7 +415,27 @@ def token_counts(spark, folder):
     return both.select("file_id", F.size("kept").alias("tokens"), F.size(F.array_distinct("kept")).alias("kinds"), F.size(F.array_distinct("plain")).alias("plain_kinds"), X.shape_hash("kept").alias("shape"))
 
 
-@query()
+_PIPELINE_TOKENS = _QUOTED + r"""|`(?:[^`\\]|\\.)*`|\b\d+(?:\.\d+)?\b|//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*|[A-Za-z_$][A-Za-z0-9_$]*|=>|===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|\.\.\.|[{}()\[\];,.:?=<>+\-*/%&|!^~]"""
+
+
+@query(
+    _TOKENS[: _TOKENS.index("), w AS")]
+    + f"""
+), w AS (
+  SELECT id, lang, list_filter(regexp_extract_all(source, '{_PIPELINE_TOKENS}'), lambda x: x[1] <> '#' AND x[1:2] NOT IN ('//', '/*')) AS t FROM s
+), k AS (
+  SELECT id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^["''`0-9]') THEN 'LIT' WHEN NOT regexp_matches(x, '^[A-Za-z_$]') THEN x
+    WHEN lang = 'python' AND list_contains({sorted(K.KEYWORDS["pipeline"]["python"])}, x) OR lang = 'javascript' AND list_contains({sorted(K.KEYWORDS["pipeline"]["javascript"])}, x)
+      OR lang = 'typescript' AND list_contains({sorted(K.KEYWORDS["pipeline"]["typescript"])}, x) THEN 'kw:' || x ELSE 'ID' END) AS kinds FROM w
+), g AS (
+  SELECT id, i, array_to_string(kinds[i:i + 4], chr(1)) || chr(1) AS gram FROM k, unnest(range(1, len(kinds) - 3)) AS u(i) WHERE len(kinds) >= 5
+), f AS (
+  SELECT gram, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(gram, ''), lambda x: unicode(x)::BIGINT)), lambda h, u: xor(h, u) * 16777619 % 4294967296) AS hash FROM (SELECT DISTINCT gram FROM g)
+), h AS (SELECT id, list(hash ORDER BY i) AS h FROM g JOIN f USING (gram) GROUP BY 1),
+x AS (SELECT id, h, s, h[s:s + 3] AS part FROM h, unnest(range(1, greatest(len(h) - 3, 1) + 1)) AS u(s))
+SELECT DISTINCT id AS file_id, list_min(part) AS hash, s + len(part) - list_position(list_reverse(part), list_min(part)) - 1 AS position FROM x
+"""
+)
 def pipeline_fingerprints(spark, folder):
     """Winnowed fingerprints of the one-lexer engine (five tokens, windows of four)."""
     kinds = A.kinds(F.col("source"), F.col("language"), "pipeline")
