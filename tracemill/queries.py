@@ -39,10 +39,15 @@ def _tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [table(spark, folder, n) for n in names]
 
 
+def _spelled(language: str):
+    """python, typescript or javascript; null for null."""
+    low = F.lower(F.trim(language))
+    return F.when(low.isin("py", "python"), "python").when(low.isin("ts", "typescript"), "typescript").when(low.isNotNull(), "javascript")
+
+
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, language, source) of the code blobs, the language in its usual spelling; where it is null, the extension of a path tells it."""
-    low = F.lower(F.trim("language"))
-    name = F.when(low.isin("py", "python"), "python").when(low.isin("ts", "typescript"), "typescript").when(low.isNotNull(), "javascript")
+    name = _spelled("language")
     code = table(spark, folder, "blobs").where(F.expr(IS_CODE) & F.col("source").isNotNull()).select(F.col("id").alias("file_id"), name.alias("language"), "source")
     unnamed = code.where("language is null").select("file_id")
     seen = table(spark, folder, "scan_files").select(F.col("blob_id").alias("file_id"), X.language("path").alias("told")).where("told <> 'unknown'").join(unnamed, "file_id", "left_semi")
@@ -492,8 +497,8 @@ def blob_containment(spark, folder):
 
 def _search(spark, folder):
     """Arrivals searched in the corpus of blobs."""
-    low = F.lower(F.trim("language"))
-    asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), low.alias("language"), "source", "path")
+    told = F.when(X.language("path") != "unknown", X.language("path"))
+    asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), F.coalesce(_spelled("language"), told, F.lit("javascript")).alias("language"), "source", "path")
     docs = materialise(search.documents(_sources(spark, folder), SOURCE_SEARCH))
     # copies of one shape count once, or they would put their own hashes on the stoplist
     shapes = search.postings(docs.withColumn("doc_id", X.shape_hash("preserving"))).select("representation", "hash", F.col("doc_id").alias("shape"))
@@ -503,10 +508,53 @@ def _search(spark, folder):
     return asked, regions, docs, search.retrieve(regions, index, docs)
 
 
-@query()
+_SHORTLISTS = (
+    _TOKENS.replace(
+        """), w AS""",
+        """), every AS (
+  SELECT 'd' AS side, id, source, lang FROM s UNION ALL
+  SELECT 'q', arrival_id, source, CASE WHEN language IS NULL THEN CASE WHEN LANGUAGE_OF_PATH <> 'unknown' THEN LANGUAGE_OF_PATH ELSE 'javascript' END WHEN lower(trim(language)) IN ('py', 'python') THEN 'python' WHEN lower(trim(language)) IN ('ts', 'typescript') THEN 'typescript' ELSE 'javascript' END
+  FROM arrivals WHERE source IS NOT NULL
+), w AS""".replace("LANGUAGE_OF_PATH", _LANGUAGE),
+    )
+    .replace("x[1:2] NOT IN ('//', '/*')) END AS t FROM s", "x[1:2] NOT IN ('//', '/*')) END AS t, side FROM every")
+    .replace("SELECT id, list_transform(t", "SELECT side, id, CASE lang WHEN 'python' THEN 'python' ELSE 'script' END AS family, list_transform(t")
+    + """, spelled AS (
+  SELECT side, id, family, 'preserving' AS representation, kept AS kinds FROM k UNION ALL
+  SELECT side, id, family, 'normalized', list_transform(kept, lambda x: CASE WHEN x[1:4] = 'lit:' THEN 'LIT' WHEN x[1:3] = 'id:' THEN 'ID' ELSE x END) FROM k
+), cut AS (
+  SELECT side, id, family, representation, 0 AS region, kinds FROM spelled WHERE side = 'd' UNION ALL
+  SELECT side, id, family, representation, n, kinds[begins + 1:begins + 120] FROM (
+    SELECT *, unnest(range(0, len(starts))) AS n, unnest(starts) AS begins FROM (
+      SELECT *, CASE WHEN len(kinds) <= 120 THEN [0::BIGINT] ELSE list_append(range(0, len(kinds) - 120, 60), len(kinds) - 120) END AS starts FROM spelled WHERE side = 'q' AND len(kinds) > 0))
+), g AS (
+  SELECT side, id, family, representation, region, i, array_to_string(kinds[i:i + 6], chr(1)) || chr(1) AS gram FROM cut, unnest(range(1, len(kinds) - 5)) AS u(i) WHERE len(kinds) >= 7
+), f AS (
+  SELECT gram, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(gram, ''), lambda x: unicode(x)::BIGINT)), lambda h, u: xor(h, u) * 16777619 % 4294967296) AS hash FROM (SELECT DISTINCT gram FROM g)
+), h AS (SELECT side, id, family, representation, region, list(hash ORDER BY i) AS h FROM g JOIN f USING (gram) GROUP BY ALL),
+x AS (SELECT *, h[s:s + 3] AS part FROM h, unnest(range(1, greatest(len(h) - 3, 1) + 1)) AS u(s)),
+prints AS (SELECT DISTINCT side, id, family, representation, region, list_min(part) AS hash FROM x),
+shapes AS (SELECT id, sha256(array_to_string(kept, chr(1))) AS shape FROM k WHERE side = 'd'),
+stop AS (
+  SELECT representation, hash FROM (SELECT DISTINCT representation, hash, shape FROM prints JOIN shapes USING (id) WHERE side = 'd')
+  GROUP BY 1, 2 HAVING count(*) >= CASE representation WHEN 'preserving' THEN 30 ELSE 8 END
+), held AS (SELECT representation, hash, family, id AS doc_id FROM prints WHERE side = 'd' AND NOT EXISTS (SELECT 1 FROM stop WHERE stop.representation = prints.representation AND stop.hash = prints.hash)),
+totals AS (SELECT family, count(*) AS total FROM k WHERE side = 'd' GROUP BY 1),
+weights AS (
+  SELECT representation, hash, family, df / total >= 0.6 AS common, (ln((total + 1.0) / (df + 1.0)) + 1.0) * CASE WHEN df / total >= 0.6 THEN 0.2 ELSE 1.0 END AS weight
+  FROM (SELECT representation, hash, family, count(*) AS df FROM held GROUP BY 1, 2, 3) JOIN totals USING (family)
+), scored AS (
+  SELECT q.id AS file_id, q.region, d.doc_id, round(sum(w.weight), 9) AS score, count(*) AS matched, count_if(w.common) AS common, count_if(q.representation = 'preserving' AND NOT w.common) AS rare
+  FROM prints q JOIN weights w USING (representation, hash, family) JOIN held d USING (representation, hash, family) WHERE q.side = 'q' GROUP BY 1, 2, 3
+), placed AS (SELECT *, row_number() OVER (PARTITION BY file_id, region ORDER BY score DESC, doc_id) AS nth FROM scored)
+"""
+)
+
+
+@query(_SHORTLISTS + "SELECT file_id, region, doc_id, round(score, 6) AS score, matched, common, rare, nth FROM placed WHERE nth <= 20")
 def search_shortlists(spark, folder):
     """The twenty best candidates of every region of the arrivals."""
-    return _search(spark, folder)[3].select("file_id", "region", "doc_id", "score", "matched", "common", "rare", "nth")
+    return _search(spark, folder)[3].select("file_id", "region", "doc_id", F.round("score", 6).alias("score"), "matched", "common", "rare", "nth")
 
 
 @query()
