@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .functions import columns as X
-from .operators import provenance, tracking
-from .queries import _EDITS, _signals, query
+from .operators import provenance, similarity, tracking
+from .plans import portable_scan
+from .queries import _EDITS, _PIPELINE_TOKENS, _TOKENS, _signals, pipeline_fingerprints, query
 from .session import table
 
 _KNOWN = r"regexp_matches(path, '(?i)\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py)$')"
@@ -238,3 +240,69 @@ def rescan_resolutions(spark, folder):
     checked = scans.select("repository_id", F.explode(F.array_compact("checked_paths")).alias("path"))
     found = tracking.rescan_resolution(previous, following, checked, tree, scans.where(F.col("repository_id") % 3 != 0), ["repository_id"])
     return found.groupBy("repository_id").agg(F.count_if(F.col("state") == "resolved").alias("resolved"), F.count_if(F.col("state") == "unverified").alias("unverified"))
+
+
+_PORTABLE = (
+    _TOKENS[: _TOKENS.index("), w AS")]
+    + f"""
+), every AS (
+  SELECT 'd' AS side, id, source, lang FROM s UNION ALL
+  SELECT 'q', arrival_id, source, {_COVERED} FROM arrivals WHERE source IS NOT NULL AND {_COVERED} <> 'unknown'
+), w AS (
+  SELECT side, id, lang, list_filter(regexp_extract_all(source, '{_PIPELINE_TOKENS}'), lambda x: x[1] <> '#' AND x[1:2] NOT IN ('//', '/*')) AS t FROM every
+), k AS (
+  SELECT side, id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^["''`0-9]') THEN 'LIT' WHEN NOT regexp_matches(x, '^[A-Za-z_$]') THEN x
+    WHEN lang = 'python' AND list_contains({sorted(K.KEYWORDS["pipeline"]["python"])}, x) OR lang = 'javascript' AND list_contains({sorted(K.KEYWORDS["pipeline"]["javascript"])}, x)
+      OR lang = 'typescript' AND list_contains({sorted(K.KEYWORDS["pipeline"]["typescript"])}, x) THEN 'kw:' || x ELSE 'ID' END) AS kinds FROM w
+), g AS (
+  SELECT side, id, i, array_to_string(kinds[i:i + 4], chr(1)) || chr(1) AS gram FROM k, unnest(range(1, len(kinds) - 3)) AS u(i) WHERE len(kinds) >= 5
+), f AS (
+  SELECT gram, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(gram, ''), lambda x: unicode(x)::BIGINT)), lambda h, u: xor(h, u) * 16777619 % 4294967296) AS hash FROM (SELECT DISTINCT gram FROM g)
+), h AS (SELECT side, id, list(hash ORDER BY i) AS h FROM g JOIN f USING (gram) GROUP BY 1, 2),
+prints AS (SELECT DISTINCT side, id, list_min(h[s:s + 3]) AS hash FROM h, unnest(range(1, greatest(len(h) - 3, 1) + 1)) AS u(s)),
+sizes AS (SELECT id, count(*) AS n FROM prints WHERE side = 'd' GROUP BY 1),
+shared AS (SELECT q.id AS probe_id, d.id AS doc_id, count(*) AS shared FROM prints q JOIN prints d USING (hash) WHERE q.side = 'q' AND d.side = 'd' GROUP BY 1, 2),
+scored AS (SELECT probe_id, doc_id, shared, shared / n AS containment, CASE doc_id % 3 WHEN 0 THEN 'CLEAR' WHEN 1 THEN 'BLOCKING' ELSE 'UNKNOWN' END AS policy FROM shared JOIN sizes ON id = doc_id WHERE shared / n >= 0.55),
+banded AS (SELECT *, CASE WHEN doc_id % 10 = 0 AND policy = 'CLEAR' THEN 'common_pattern' WHEN containment >= 0.85 THEN 'strong_match' ELSE 'review_suggested' END AS band FROM scored),
+matched AS (SELECT *, CASE WHEN band = 'common_pattern' THEN 'info' WHEN band = 'strong_match' AND policy = 'BLOCKING' THEN 'blocking' ELSE 'review' END AS severity FROM banded)
+"""
+)
+
+
+def _portable(spark, folder):
+    """The arrivals scanned against the blobs by the portable pipeline; a third of the blobs each is clear, blocking and of no licence."""
+    files = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), "path", F.col("source").alias("content"))
+    prints = pipeline_fingerprints(spark, folder).select(F.col("file_id").alias("doc_id"), "hash")
+    license = F.when(F.col("doc_id") % 3 == 0, "MIT").when(F.col("doc_id") % 3 == 1, "GPL-3.0")
+    entries = table(spark, folder, "blobs").select(F.col("id").alias("doc_id")).select("doc_id", F.concat(F.lit("blob "), "doc_id").alias("title"), license.alias("license"), (F.col("doc_id") % 10 == 0).alias("idiom"))
+    return portable_scan.run(files, prints, entries)
+
+
+@query(_PORTABLE + "SELECT probe_id, doc_id, shared, round(containment, 6) AS containment, band, severity FROM matched")
+def portable_matches(spark, folder):
+    """Matches of the arrivals among the blobs, with band and severity."""
+    return _portable(spark, folder).matches.select("probe_id", "doc_id", "shared", F.round("containment", 6).alias("containment"), "band", "severity")
+
+
+@query(
+    _PORTABLE
+    + """, top AS (SELECT probe_id, max(CASE band WHEN 'strong_match' THEN 3 WHEN 'review_suggested' THEN 2 ELSE 1 END) AS rank FROM matched GROUP BY 1)
+SELECT CASE rank WHEN 3 THEN 'strong_match' WHEN 2 THEN 'review_suggested' ELSE 'common_pattern' END AS band, count(*) AS files FROM top GROUP BY 1
+"""
+)
+def portable_bands(spark, folder):
+    """Files by their strongest band."""
+    return similarity.strongest_counts(_portable(spark, folder).matches)
+
+
+@query(
+    _PORTABLE
+    + """, ranked AS (
+  SELECT a.path, m.doc_id, m.severity, row_number() OVER (PARTITION BY m.severity = 'info' ORDER BY CASE m.severity WHEN 'blocking' THEN 0 WHEN 'review' THEN 1 ELSE 2 END, round(m.containment, 3) DESC, concat_ws(':', 'similarity', a.path, m.doc_id)) AS n
+  FROM matched m JOIN arrivals a ON a.arrival_id = m.probe_id)
+SELECT severity, count(*) AS findings FROM ranked WHERE n <= CASE WHEN severity = 'info' THEN 40 ELSE 200 END GROUP BY 1
+"""
+)
+def portable_severities(spark, folder):
+    """Findings of the report by severity, after the caps."""
+    return _portable(spark, folder).findings.groupBy("severity").agg(F.count("*").alias("findings"))
