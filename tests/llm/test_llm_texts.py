@@ -543,6 +543,8 @@ def test_a_limit_before_the_mark_of_the_cut(spark):
 
 
 def test_repeated_texts_make_no_limit(spark):
-    rows = [(i, "x" * (40 + i % 300) + ".") for i in range(600)] + [(1000 + i, "y" * 333 + "z") for i in range(50)]
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcde fgh ") for _ in range(n))
+    rows = [(i, text(40 + i % 300) + "x.") for i in range(600)] + [(1000 + i, "yes " * 83 + "z") for i in range(50)]
     df = spark.createDataFrame(rows, "id bigint, text string").withColumn("source", F.lit("s"))
     assert {r.cause for r in truncated(df, "id", "text", "source").where("id >= 1000").collect()} == {"transfer"}

@@ -18,9 +18,12 @@ from ..session import materialise
 
 CLOSERS = "\"'`»”’)\\]}"
 # endings that a system sets where it cuts
-_MARK = r"…|\[(more|truncated|cut|snip|continued|\.\.\.|…)\]|\((more|truncated|continued)\)|<(truncated|snip)>|\bread more"
-MARKERS = rf"(?i)({_MARK})$"
-CUT = rf"(?i)\s?(\.\.\.|{_MARK})\s*$"
+_WORDED = r"\[(more|truncated|cut|snip|continued|\.\.\.|…)\]|\((more|truncated|continued)\)|<(truncated|snip)>|\bread more"
+MARKERS = rf"(?i)(…|{_WORDED})$"
+CUT = rf"(?i)(\.\.\.|…|\s?({_WORDED}))$"
+BLANKS = " \t\r\n\f\x0b"
+# no mark with the blank before it is longer
+_LONGEST_MARK = 16
 
 
 def ending(text: Column) -> Column:
@@ -30,7 +33,7 @@ def ending(text: Column) -> Column:
     address, a status, a signature or a heading. doubtful: closing marks, an ellipsis, a quoted line without an end, a
     version number that may go on, or an open code block. A footnote or a smiley completes. open: everything else, and the marks that a system sets where it cuts.
     """
-    body = F.rtrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""))
+    body = F.rtrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     last = F.trim(F.substring_index(body, "\n", -1))
     inside = (F.size(F.split(body, r"(?m)^[ \t]*(```|~~~)")) - 1) % 2 == 1
     return (
@@ -147,17 +150,24 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str, q: flo
     Null texts count as empty, a null source is a source of its own. Repeated rows stay repeated.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    body = F.regexp_replace(text, CUT, "")
-    rows = df.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.array(
-            F.struct(F.lit("chars").alias("measure"), F.length(body).alias("length")),
-            F.struct(F.lit("bytes").alias("measure"), F.octet_length(body).alias("length")),
-            F.struct(F.lit("words").alias("measure"), F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")).alias("length")),
-        ).alias("sizes"),
-        F.xxhash64(text).alias("name"),
-        ending(F.col(text_col).cast("string")).alias("ending"),
+    kept = F.rtrim(text, F.lit(BLANKS))
+    mark = F.regexp_extract(F.right(kept, F.lit(_LONGEST_MARK)), CUT, 0)
+    # a mark goes with the blanks behind it; without one the text is measured as it is
+    base = F.when(mark != "", kept).otherwise(text)
+    inside = F.trim(kept, F.lit(BLANKS))
+    words = F.when(inside == "", 0).otherwise(F.size(F.split(inside, r"\s+"))) - F.when(mark.rlike(r"^\s"), 1).otherwise(0)
+    rows = materialise(
+        df.where(F.col(id_col).isNotNull()).select(
+            F.col(id_col).alias("id"),
+            F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+            F.array(
+                F.struct(F.lit("chars").alias("measure"), (F.length(base) - F.length(mark)).alias("length")),
+                F.struct(F.lit("bytes").alias("measure"), (F.octet_length(base) - F.octet_length(mark)).alias("length")),
+                F.struct(F.lit("words").alias("measure"), words.alias("length")),
+            ).alias("sizes"),
+            F.xxhash64(text).alias("name"),
+            ending(F.col(text_col).cast("string")).alias("ending"),
+        )
     )
     joined = _at_limit(rows.drop("name"), all_limits(rows, q))
     cause = F.when(F.col("limited") & (F.col("ending") != "complete"), "limit").when(F.col("ending") == "open", "transfer")
