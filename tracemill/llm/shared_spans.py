@@ -24,6 +24,8 @@ from .hashing import window_hashes
 HOT = 64
 LOW = np.uint64(0xFFFF)
 MOST_CLASHES = 1000
+# ids of texts that a task remembers at once
+MOST_SEEN = 1 << 20
 
 
 def difference_cover(q: int) -> tuple[int, list[int]]:
@@ -58,16 +60,22 @@ def _bytes(text: str) -> np.ndarray:
 def anchors(texts: DataFrame, length: int) -> DataFrame:
     """(key, id): the windows at cover positions of texts (id, text), 48 bits of hash over the low 16 bits of the position.
 
-    Packed, a row costs the shuffle little more than the hash. Positions of long texts are known up to a multiple
+    Packed, a row costs the shuffle little more than the hash. Copies that a task meets again add nothing. Positions of long texts are known up to a multiple
     of 2**16, which the extension resolves.
     """
     period, residues, width = cover_for(length)
     cover = np.array(residues)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             keys, ids = [], []
+            if len(seen) > MOST_SEEN:
+                seen.clear()
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i in seen:
+                    continue
+                seen.add(i)
                 codes = _bytes(t.as_py())
                 last = len(codes) - width
                 if last < 0:
