@@ -45,6 +45,7 @@ SOURCE_SEARCH = Profile(k=7, window=4)
 PIPELINE = Profile(k=5, window=4)
 
 
+# fixed values: thresholds of the source search
 @dataclass(frozen=True)
 class SearchSettings:
     """Retrieval and evidence thresholds of the source search."""
@@ -70,6 +71,7 @@ class SearchSettings:
     renamed_kinds: int = 14
 
 
+# fixed values: thresholds of the edit classifier
 @dataclass(frozen=True)
 class EditThresholds:
     """Shape thresholds of the edit classifier."""

@@ -47,6 +47,25 @@ def fingerprints(token_kinds, profile: Profile) -> Column:
     return run(token_kinds)
 
 
+def text_fingerprints(words, k: int, window: int) -> Column:
+    """array<struct<hash, position>>: the MD5 of runs of k words, of every window the least, the rightmost on ties."""
+    import hashlib
+
+    @F.pandas_udf("array<struct<hash:string,position:int>>")
+    def run(s: pd.Series) -> pd.Series:
+        out = []
+        for listed in s:
+            if listed is None:
+                out.append(None)
+                continue
+            grams = [hashlib.md5(" ".join(listed[i : i + k]).encode()).hexdigest() for i in range(len(listed) - k + 1)]
+            rank = {g: n for n, g in enumerate(sorted(set(grams)))}
+            out.append([{"hash": grams[p], "position": p} for _, p in K.winnow([rank[g] for g in grams], window)])
+        return pd.Series(out)
+
+    return run(words)
+
+
 def lcs_length(a, b) -> Column:
     @F.pandas_udf("bigint")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -117,20 +117,22 @@ def short_hash(c, n: int = 10) -> Column:
 
 
 def fnv1a32(c) -> Column:
-    """FNV-1a of a text over its characters of the basic plane."""
-    units = F.transform(F.split(col(c), ""), lambda x: F.ascii(x).cast("bigint"))
-    return F.aggregate(F.filter(units, lambda u: u > 0), F.lit(2166136261).cast("bigint"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    """FNV-1a of a text over its UTF-16 code units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(col(c), "UTF-16BE")), F.lit(".{4}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("bigint"))
+    return F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda h, u: (h.bitwiseXOR(u) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
 def winnow(hashes, window: int) -> Column:
-    """(hash, position) of the least hash of every window, rightmost on ties."""
+    """(hash, position) of the least hash of every window, rightmost on ties, of an array of hashes of any type.
+
+    For short arrays: the time grows with the square of their length.
+    """
     h = col(hashes)
     n = F.size(h)
     last = F.greatest(n - window, F.lit(0))
     pairs = F.transform(h, lambda x, i: F.struct(x.alias("hash"), (-i).alias("back")))
     least = F.transform(F.sequence(F.lit(0), last), lambda s: F.array_min(F.slice(pairs, s + 1, window)))
-    out = F.transform(F.array_distinct(least), lambda x: F.struct(x["hash"].alias("hash"), (-x["back"]).alias("position")))
-    return F.when(n > 0, out).otherwise(F.array().cast("array<struct<hash:bigint,position:int>>"))
+    return F.transform(F.when(n > 0, F.array_distinct(least)).otherwise(F.slice(pairs, 1, 0)), lambda x: F.struct(x["hash"].alias("hash"), (-x["back"]).alias("position")))
 
 
 def name_tokens(name) -> Column:

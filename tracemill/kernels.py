@@ -12,6 +12,7 @@ KEYWORDS = {
     "search": {"javascript": JAVASCRIPT, "typescript": JAVASCRIPT | set(C.TYPESCRIPT_ONLY) | set(C.TYPESCRIPT_SEARCH_ONLY), "python": frozenset(C.PYTHON_KEYWORDS)},
     "pipeline": {"javascript": JAVASCRIPT, "typescript": JAVASCRIPT | set(C.TYPESCRIPT_ONLY), "python": frozenset(C.PYTHON_KEYWORDS)},
 }
+# fixed values: what the lexers take as a token
 _OPERATORS = r"=>|===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/="
 _SINGLE = r"[{}()\[\];,.:?=<>+\-*/%&|!^~]"
 _STRINGS = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""

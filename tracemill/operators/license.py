@@ -22,6 +22,7 @@ SIGNATURES = [
     ("Unlicense", r"(?i)This is free and unencumbered software released into the public domain"),
     ("MIT", r"(?i)Permission is hereby granted, free of charge|\bMIT License\b"),
 ]
+# fixed values: names of licence files, policy by licence, licences from the most permissive on
 LICENSE_FILES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "COPYING", "NOTICE"]
 POLICY = {"CLEAR": ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Unlicense"], "REVIEW": ["MPL-2.0", "LGPL-2.1", "LGPL-3.0"], "BLOCKING": ["GPL-2.0", "GPL-3.0", "AGPL-3.0"]}
 PERMISSIVENESS = ["Unlicense", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0"]
@@ -65,6 +66,7 @@ REGISTRY = {
     "BSL-1.0": ["bsl-1.0"],
     "HPND": ["hpnd"],
 }
+# fixed value: identifiers of copyleft licences
 COPYLEFT = r"^(A?GPL|LGPL|MPL|EPL|CDDL|EUPL|OSL|SSPL)"
 
 

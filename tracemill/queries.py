@@ -238,11 +238,12 @@ def user_exclusions(spark, folder):
 @query(r"""
 SELECT id, length(path) > 0 AND length(path) <= 512 AND NOT regexp_matches(path, '[\\:%\x00-\x1f\x7f]') AND NOT starts_with(path, '/')
   AND len(list_filter(string_split(path, '/'), lambda s: s IN ('', '.', '..'))) = 0 AS safe,
-  regexp_replace(path, '^[^/]*/', '') AS inside FROM scan_files
+  regexp_replace(path, '^[^/]*/', '') AS inside, nfc_normalize(path) AS normal FROM (SELECT id, CASE WHEN id % 7 = 0 THEN concat('e', chr(769), '/', path) ELSE path END AS path FROM scan_files)
 """)
 def safe_paths(spark, folder):
-    """Which paths are plain and relative, and what they are inside their root."""
-    return table(spark, folder, "scan_files").select("id", X.safe_path("path").alias("safe"), X.strip_root("path").alias("inside"))
+    """Which paths are plain and relative, what they are inside their root, and their composed form; some get a decomposed directory."""
+    files = table(spark, folder, "scan_files").select("id", F.when(F.col("id") % 7 == 0, F.concat(F.lit("e\u0301/"), "path")).otherwise(F.col("path")).alias("path"))
+    return files.select("id", X.safe_path("path").alias("safe"), X.strip_root("path").alias("inside"), A.normal_form(F.col("path")).alias("normal"))
 
 
 _PRIORITY = f"CASE WHEN regexp_matches(path, '{C.AUXILIARY_SCAN_PATH}') THEN 100 ELSE 0 END + CASE WHEN regexp_matches(path, '(?i)^(src|lib|packages|app|pkg)/') THEN -1 ELSE 0 END + len(string_split(path, '/'))"
@@ -460,15 +461,11 @@ WITH w AS (
 SELECT DISTINCT doc_id, x.h AS hash, -x.back AS position FROM m WHERE position <= greatest(last - 3, 0)
 """)
 def text_fingerprints(spark, folder):
-    """Winnowed five-word shingles of the documents, in columns alone."""
+    """Winnowed five-word shingles of the documents, in one pass without a shuffle."""
     words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
     rows = table(spark, folder, "documents").select("doc_id", words.alias("t")).where(F.size("t") >= 5)
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - 4), lambda i: F.md5(F.array_join(F.slice("t", i, 5), " ")))
-    hashed = rows.select("doc_id", F.posexplode(grams).alias("position", "h"))
-    part = Window.partitionBy("doc_id")
-    least = F.min(F.struct("h", (-F.col("position")).alias("back"))).over(part.orderBy("position").rowsBetween(0, 3))
-    found = hashed.select("doc_id", least.alias("x"), "position", F.max("position").over(part).alias("last")).where(F.col("position") <= F.greatest(F.col("last") - 3, F.lit(0)))
-    return found.select("doc_id", F.col("x.h").alias("hash"), (-F.col("x.back")).alias("position")).distinct()
+    found = rows.select("doc_id", F.explode(A.text_fingerprints(F.col("t"), 5, 4)).alias("p"))
+    return found.select("doc_id", "p.hash", "p.position")
 
 
 _CONTAINED = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,12 @@ def session(app: str = "tracemill", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share. Read from the session; only a session that names none gets one of its own."""
+    """The folder all executors share, read from the session; a local session that names none gets one of its own."""
     named = spark.conf.get(SCRATCH_KEY, None) or spark.sparkContext.getConf().get(SCRATCH_KEY, None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{SCRATCH_KEY} must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tracemill-")
     spark.conf.set(SCRATCH_KEY, f"file://{folder}")
     return f"file://{folder}"

@@ -15,6 +15,8 @@ from ..session import scratch_path
 
 
 KEEP_MS = 7 * 86_400_000
+# a watermark begins at 1970, so hits are dated ahead to keep those of that time
+AHEAD_MS = 365 * 86_400_000
 
 
 def classified_edits(edits: DataFrame, watermark: str = "7 days") -> DataFrame:
@@ -49,7 +51,11 @@ def once(events: DataFrame, key: str, at: str, watermark: str = "1 day") -> Data
 
 
 def chained(events: DataFrame) -> DataFrame:
-    """(stream, seq, event_id, previous_hash, event_hash) of a stream (stream, event_id, body); state is the last link."""
+    """(stream, seq, event_id, previous_hash, event_hash) of a stream (stream, event_id, body).
+
+    State is the last link of each stream, which never goes: a later event must continue its chain. Events of one trigger are
+    taken in order of their ids, those of later triggers come after them.
+    """
 
     def step(key, frames, state: GroupState):
         rows = pd.concat(list(frames)).sort_values("event_id")
@@ -65,10 +71,17 @@ def chained(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandasWithState(step, "stream string, seq bigint, event_id bigint, previous_hash string, event_hash string", "last string, seq bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limited(hits: DataFrame, most: int = 10, window_ms: int = 600_000) -> DataFrame:
-    """(key, ms, hit_id, allowed) of a stream (key, ms, hit_id); state is the times allowed in the window, `most` at most."""
+def rate_limited(hits: DataFrame, most: int = 10, window_ms: int = 600_000, watermark: str = "1 day") -> DataFrame:
+    """(key, ms, hit_id, allowed) of a stream (key, ms, hit_id); state is the times allowed in the window, `most` at most.
+
+    The state of a key goes once the watermark has passed its last hit by the window; hits that come later than the
+    watermark are too late for any decision and are left out, as in every stream with a watermark.
+    """
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         allowed = list(state.get[0]) if state.exists else []
         out = []
         rows = pd.concat(list(frames)).sort_values(["ms", "hit_id"])
@@ -79,9 +92,11 @@ def rate_limited(hits: DataFrame, most: int = 10, window_ms: int = 600_000) -> D
                 allowed.append(int(ms))
             out.append((key[0], ms, hit, ok))
         state.update((allowed,))
+        state.setTimeoutTimestamp(max(int(rows["ms"].iloc[-1]) + AHEAD_MS, state.getCurrentWatermarkMs()) + window_ms + 1)
         yield pd.DataFrame(out, columns=["key", "ms", "hit_id", "allowed"])
 
-    return hits.groupBy("key").applyInPandasWithState(step, "key string, ms bigint, hit_id bigint, allowed boolean", "allowed array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    timed = hits.withColumn("at", F.timestamp_millis(F.col("ms") + AHEAD_MS)).withWatermark("at", watermark)
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, ms bigint, hit_id bigint, allowed boolean", "allowed array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
