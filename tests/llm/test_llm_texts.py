@@ -28,6 +28,13 @@ def test_survivors_choose_field_by_field(spark):
     assert survivors(df.where("false"), ["g"], [a]).count() == 0
 
 
+def test_a_trusted_source_ranks_before_a_later_one(spark):
+    rows = [("k", 1, "old", 2, 1), ("k", 2, "new", 1, 9), ("k", 3, None, 5, 10), ("k", 4, "unknown source", None, 20), ("m", 5, "b", 1, 1), ("m", 6, "a", 1, 1)]
+    df = spark.createDataFrame(rows, "g string, id bigint, name string, trust int, at int")
+    a = Attribute("best", F.col("name"), F.col("name").isNotNull(), (F.col("at"),), F.col("id"), priority=F.col("trust"))
+    assert {r.g: r.best for r in survivors(df, ["g"], [a]).collect()} == {"k": "old", "m": "b"}
+
+
 def test_instants(spark):
     cases = [("2020-01-02", 1577923200), ("2020-01-02T03:04:05.5Z", 1577934245), ("2020-01-02 03:04:05", 1577934245), ("2020-01-02T03:04:05+02:00", 1577927045), ("1577934245000", 1577934245), ("0000-00-00", None), ("unknown", None), ("", None), (None, None), ("2020-13-01", None)]
     df = spark.createDataFrame([(c[0],) for c in cases], "t string")

@@ -1,6 +1,6 @@
 """Best representative of each duplicate group, field by field.
 
-Every surviving attribute is the greatest composite (usable, rank, order..., value) of its group, so one
+Every surviving attribute is the greatest composite (usable, source priority, order..., value) of its group, so one
 aggregation chooses all attributes at once; it is done per (group, entity) first, then per group, and combines on the
 map side, so a group that holds a third of all rows costs no more than its distinct entities.
 """
@@ -20,7 +20,7 @@ from .corpus import is_code
 class Attribute:
     """A field to survive: whether a row's value is usable, what ranks it (greatest first), and the value itself.
 
-    Rows that are not usable rank below all that are; if `required`, a group without a usable row gets null.
+    priority is the trust in the row's source, which ranks before the order; without one all sources are alike. Rows that are not usable rank below all that are; if `required`, a group without a usable row gets null.
     Ties go to the smaller tie value.
     """
 
@@ -30,6 +30,7 @@ class Attribute:
     order: tuple[Column, ...]
     tie: Column
     required: bool = False
+    priority: Column | None = None
 
 
 def survivors(df: DataFrame, key: list[str], attributes: list[Attribute], *more: Column) -> DataFrame:
@@ -41,7 +42,8 @@ def survivors(df: DataFrame, key: list[str], attributes: list[Attribute], *more:
     for a in attributes:
         usable = F.coalesce(a.usable, F.lit(False))
         ranks = [F.when(usable, o).alias(f"o{i}") for i, o in enumerate(a.order)]
-        composites.append(F.max(F.struct(usable.alias("usable"), *ranks, (-a.tie).alias("tie"), a.value.alias("value"))).alias(a.name))
+        trusted = [F.coalesce(a.priority, F.lit(0)).alias("priority")] if a.priority is not None else []
+        composites.append(F.max(F.struct(usable.alias("usable"), *trusted, *ranks, (-a.tie).alias("tie"), a.value.alias("value"))).alias(a.name))
     out = df.groupBy(*key).agg(*composites, *more)
     kept = [c for c in out.columns if c not in {*key, *(a.name for a in attributes)}]
     value = lambda a: F.when(F.col(f"{a.name}.usable"), F.col(f"{a.name}.value")) if a.required else F.col(f"{a.name}.value")
