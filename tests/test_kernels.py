@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,3 +79,21 @@ def test_winnowing_density():
     prints = K.winnow([random.getrandbits(32) for _ in range(4000)], C.SOURCE_SEARCH.window)
     gaps = [b[1] - a[1] for a, b in zip(prints, prints[1:])]
     assert max(gaps) <= C.SOURCE_SEARCH.window
+
+
+@given(st.lists(st.tuples(st.sampled_from(["let a = 1; ", "f(x) ", "def g(y): ", "# c\n", "// c\n", "'s' ", "`t` ", "return 1 ", "/* c */", "\"open", "1a ", "$b ", "é "]), st.integers(1, 5)), max_size=12), st.sampled_from(["python", "javascript", "typescript", None]))
+@settings(max_examples=150, deadline=None)
+def test_hash_sets_of_many_texts_equal_those_of_one(parts, language):
+    text = "".join(p * n for p, n in parts)
+    texts = [text, None, "", text[: len(text) // 2], "a b c d e", text + text]
+    plain = [sorted({h for h, _ in K.fingerprints(K.lex(t or "", language, "pipeline")[0], C.PIPELINE)}) for t in texts]
+    sets = K.HashSets(C.PIPELINE)
+    assert [x.tolist() for x in sets(texts, [language] * len(texts))] == plain == [x.tolist() for x in sets(texts, [language] * len(texts))]
+
+
+def test_overlaps_equal_intersections():
+    rng = random.Random(3)
+    sets = [sorted(rng.sample(range(40), 12)) + sorted(rng.sample(range(100, 2000), rng.randrange(30))) for _ in range(200)] + [[]]
+    count = K.Overlaps([np.array(x, dtype=np.int64) for x in sets])
+    for asked in ([], [5], [*range(20), *range(500, 900)], [10**6], sets[3]):
+        assert count(np.array(asked, dtype=np.int64)).tolist() == [len(set(asked) & set(x)) for x in sets]

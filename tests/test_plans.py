@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from tracemill.operators import similarity
 from tracemill.plans import corpus_build, portable_scan, source_search
 
 BODY = "\n".join(f"export const value{i} = compute{i}(source, {i});" for i in range(14)) + "\n"
@@ -35,3 +38,34 @@ def test_portable_scan(spark):
     assert m.containment == 1.0 and m.band == "strong_match" and m.severity == "blocking"
     assert [r.severity for r in s.findings.collect()] == ["blocking", "blocking"]
     assert s.summary.first().risk == "blocking"
+
+
+def _sets(spark):
+    rng = random.Random(11)
+    probes = {i: frozenset(rng.sample(range(25), rng.randrange(1, 25))) for i in range(90)} | {200: frozenset(range(5)), 201: frozenset(range(5)), 202: frozenset()}
+    docs = {i: (frozenset(rng.sample(range(40), rng.randrange(1, 12))), i % 3) for i in range(120)} | {500: (frozenset(range(5)), 1), 501: (frozenset(range(5)), 1), 502: (frozenset(range(5)), 2)}
+    found = {(p, d): len(x & y) / len(y) for p, x in probes.items() for d, (y, _) in docs.items() if len(x & y) / len(y) >= 0.55}
+    p = similarity.classes(spark.createDataFrame([(i, sorted(x)) for i, x in probes.items()], "probe_id bigint, hashes array<bigint>"), "probe_id")
+    d = similarity.classes(spark.createDataFrame([(i, sorted(x), m) for i, (x, m) in docs.items()], "doc_id bigint, hashes array<bigint>, mark int"), "doc_id", "mark")
+    return docs, found, p, d
+
+
+def test_containing_equals_brute_force_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_PROBES", 20)
+    monkeypatch.setattr(similarity, "_DOCS", 9)
+    docs, want, p, d = _sets(spark)
+    got = similarity.containing(p, d, 0.55).collect()
+    assert len(got) == len(want) and {(r.probe_id, r.doc_id): r.containment for r in got} == want
+    assert all(r.shared / r.doc_size == r.containment and r.mark == docs[r.doc_id][1] for r in got)
+
+
+def test_portable_matches_make_no_row_for_a_common_hash(spark):
+    files = spark.createDataFrame([(i, f"{i}.js", BODY) for i in range(3)], "file_id bigint, path string, content string")
+    corpus = portable_scan.fingerprints(files).select(F.col("file_id").alias("doc_id"), "hash")
+    entries = spark.createDataFrame([(i, "lib", "MIT", i == 1) for i in range(3)], "doc_id bigint, title string, license string, idiom boolean")
+    s = portable_scan.run(files, corpus, entries)
+    plan = s.matches._jdf.queryExecution().toString()
+    assert not any("Join" in line and "hash#" in line for line in plan.splitlines())
+    # pairs of whole classes come from one place, where they have been counted
+    assert "CoGroups" in plan and s.matches.count() == 9
+    assert {(r.doc_id, r.band, r.severity) for r in s.matches.collect()} == {(0, "strong_match", "review"), (1, "common_pattern", "info"), (2, "strong_match", "review")}

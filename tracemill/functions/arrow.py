@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +49,22 @@ def fingerprints(token_kinds, profile: Profile) -> Column:
     return run(token_kinds)
 
 
+def hash_sets(source, language, profile: Profile) -> Column:
+    """Sorted distinct winnowed hashes of a source by the one-lexer engine; null for null."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        sets = K.HashSets(profile)
+        for s, lang in batches:
+            out = []
+            for at in range(0, len(s), 256):
+                texts = s.iloc[at : at + 256].tolist()
+                out += [None if t is None else x for t, x in zip(texts, sets(texts, lang.iloc[at : at + 256].tolist()))]
+            yield pd.Series(out, dtype=object)
+
+    return run(source, language)
+
+
 def text_fingerprints(words, k: int, window: int) -> Column:
     """array<struct<hash, position>>: the MD5 of runs of k words, of every window the least, the rightmost on ties."""
     import hashlib

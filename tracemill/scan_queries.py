@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .constants import PIPELINE
+from .functions import arrow as A
 from .functions import columns as X
 from .operators import provenance, similarity, tracking
 from .plans import portable_scan
-from .queries import _EDITS, _PIPELINE_TOKENS, _TOKENS, _signals, pipeline_fingerprints, query
+from .queries import _EDITS, _PIPELINE_TOKENS, _TOKENS, _signals, _sources, query
 from .session import table
 
 _KNOWN = r"regexp_matches(path, '(?i)\.(ts|tsx|mts|cts|js|jsx|mjs|cjs|py)$')"
@@ -272,7 +274,7 @@ matched AS (SELECT *, CASE WHEN band = 'common_pattern' THEN 'info' WHEN band =
 def _portable(spark, folder):
     """The arrivals scanned against the blobs by the portable pipeline; a third of the blobs each is clear, blocking and of no licence."""
     files = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), "path", F.col("source").alias("content"))
-    prints = pipeline_fingerprints(spark, folder).select(F.col("file_id").alias("doc_id"), "hash")
+    prints = _sources(spark, folder).select(F.col("file_id").alias("doc_id"), A.hash_sets(F.col("source"), F.col("language"), PIPELINE).alias("hashes"))
     license = F.when(F.col("doc_id") % 3 == 0, "MIT").when(F.col("doc_id") % 3 == 1, "GPL-3.0")
     entries = table(spark, folder, "blobs").select(F.col("id").alias("doc_id")).select("doc_id", F.concat(F.lit("blob "), "doc_id").alias("title"), license.alias("license"), (F.col("doc_id") % 10 == 0).alias("idiom"))
     return portable_scan.run(files, prints, entries)
