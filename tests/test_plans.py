@@ -69,3 +69,23 @@ def test_portable_matches_make_no_row_for_a_common_hash(spark):
     # pairs of whole classes come from one place, where they have been counted
     assert "CoGroups" in plan and s.matches.count() == 9
     assert {(r.doc_id, r.band, r.severity) for r in s.matches.collect()} == {(0, "strong_match", "review"), (1, "common_pattern", "info"), (2, "strong_match", "review")}
+
+
+def test_the_best_match_of_each_mark_tells_the_bands(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_PROBES", 20)
+    monkeypatch.setattr(similarity, "_DOCS", 9)
+    docs, want, p, d = _sets(spark)
+    most = {}
+    for (probe, doc), c in want.items():
+        most[probe, docs[doc][1]] = max(c, most.get((probe, docs[doc][1]), 0))
+    got = {}
+    for r in similarity.containing(p, d, 0.55, best=True).collect():
+        assert want[r.probe_id, r.doc_id] == r.containment
+        got[r.probe_id, r.mark] = max(r.containment, got.get((r.probe_id, r.mark), 0))
+    assert got == most
+    # one match of a file with copies, not one for each of them
+    files = spark.createDataFrame([(i, f"{i}.js", BODY) for i in range(30)], "file_id bigint, path string, content string")
+    corpus = portable_scan.fingerprints(files).select(F.col("file_id").alias("doc_id"), "hash")
+    entries = spark.createDataFrame([(i, "lib", "MIT", False) for i in range(30)], "doc_id bigint, title string, license string, idiom boolean")
+    s = portable_scan.run(files, corpus, entries)
+    assert s.best.count() == 30 and [tuple(r) for r in similarity.strongest_counts(s.best).collect()] == [("strong_match", 30)] == [tuple(r) for r in similarity.strongest_counts(s.matches).collect()]

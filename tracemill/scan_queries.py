@@ -294,7 +294,7 @@ SELECT CASE rank WHEN 3 THEN 'strong_match' WHEN 2 THEN 'review_suggested' ELSE
 )
 def portable_bands(spark, folder):
     """Files by their strongest band."""
-    return similarity.strongest_counts(_portable(spark, folder).matches)
+    return similarity.strongest_counts(_portable(spark, folder).best)
 
 
 @query(
