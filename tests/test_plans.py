@@ -89,3 +89,25 @@ def test_the_best_match_of_each_mark_tells_the_bands(spark, monkeypatch):
     entries = spark.createDataFrame([(i, "lib", "MIT", False) for i in range(30)], "doc_id bigint, title string, license string, idiom boolean")
     s = portable_scan.run(files, corpus, entries)
     assert s.best.count() == 30 and [tuple(r) for r in similarity.strongest_counts(s.best).collect()] == [("strong_match", 30)] == [tuple(r) for r in similarity.strongest_counts(s.matches).collect()]
+
+
+def test_findings_are_the_first_of_all_matches(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_PROBES", 20)
+    monkeypatch.setattr(similarity, "_DOCS", 9)
+    docs, want, p, d = _sets(spark)
+    rank = lambda mark, c: c + 2.0 * ((mark == 1) & (c >= 0.85))
+    order = sorted(((rank(docs[doc][1], c), probe, doc) for (probe, doc), c in want.items()), reverse=True)
+    for top in (1, 7, 40):
+        got = {(r.probe_id, r.doc_id) for r in similarity.containing(p, d, 0.55, top=top, rank=rank).collect()}
+        assert {(probe, doc) for score, probe, doc in order if score >= order[top - 1][0]} <= got <= set(want)
+        assert top > 1 or len(got) < len(want)
+    # caps over ties: the key decides, and a cap that cuts says so
+    files = spark.createDataFrame([(i, f"{i % 2}{i}.js", BODY) for i in range(6)] + [(9, "LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")], "file_id bigint, path string, content string")
+    corpus = portable_scan.fingerprints(files.where("file_id < 4")).select(F.col("file_id").alias("doc_id"), "hash")
+    entries = spark.createDataFrame([(0, "a", "GPL-3.0", False), (1, "b", "MIT", True), (2, "c", None, False), (3, "d", "MIT", False)], "doc_id bigint, title string, license string, idiom boolean")
+    found = portable_scan.run(files, corpus, entries, actionable=8, informational=2).findings.collect()
+    keys = lambda docs: sorted(f"similarity:{i % 2}{i}.js:{d}" for i in range(6) for d in docs)
+    assert sorted(r.finding_key for r in found if r.severity == "blocking") == sorted(["license:LICENSE", *keys([0])])
+    assert sorted(r.finding_key for r in found if r.severity == "review") == keys([2, 3])[:1]
+    assert {r.actionable: r.truncated for r in found} == {True: True, False: False}
+    assert sorted(r.finding_key for r in found if r.severity == "info") == keys([1])[:2]
