@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -97,3 +98,20 @@ def test_overlaps_equal_intersections():
     count = K.Overlaps([np.array(x, dtype=np.int64) for x in sets])
     for asked in ([], [5], [*range(20), *range(500, 900)], [10**6], sets[3]):
         assert count(np.array(asked, dtype=np.int64)).tolist() == [len(set(asked) & set(x)) for x in sets]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["let a = 1; ", "f(x) ", "def g(y): ", "# c\n", "#p = 2 ", "// c\n", "a // b ", "'s😀' ", "`t` ", "'''d\n''' ", "return 1 ", "/* c */", '"open', "1a ", "$b ", "é "]), st.integers(1, 9)), max_size=12), st.sampled_from(["python", "javascript", "typescript", None]))
+@settings(max_examples=120, deadline=None)
+def test_prints_of_many_sources_equal_those_of_one(parts, language):
+    text = "".join(p * n for p, n in parts)
+    texts = [text, "", text[: len(text) // 2], text + text]
+    for cuts in (lambda n: [(0, n)], lambda n: [(a, min(n, a + 20)) for a in K.region_starts(n, 20, 7)]):
+        for source, (shape, pieces, found) in zip(texts, K.SearchPrints(C.SOURCE_SEARCH)(texts, [language] * len(texts), cuts)):
+            kept, _ = K.lex(source, language)
+            assert shape == hashlib.sha256("\x01".join(kept).encode()).hexdigest() and list(pieces) == (cuts(len(kept)) if kept else [])
+            for (a, b), both in zip(pieces, found):
+                for kinds, columns in zip((kept, K.normal_kinds(kept)), both):
+                    want = {}
+                    for h, p in K.fingerprints(kinds[a:b], C.SOURCE_SEARCH):
+                        want.setdefault(h, [p, p])[1] = p
+                    assert {h: [f, e] for h, f, e in zip(*(c.tolist() for c in columns))} == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracemill import queries
 from tracemill.constants import SearchSettings
+from tracemill.functions.columns import language_family
 from tracemill.operators import corpus, history, license, provenance, search, similarity
 from tracemill.sources import archives, registries, tables
 from tracemill.streaming import events as stream
@@ -188,6 +189,26 @@ def test_search_finds_a_copy_and_not_a_shape(spark):
     assert SearchSettings().shortlist == 20
 
 
+def test_shortlists_of_hashes_alone_equal_those_of_whole_documents(spark):
+    rng = random.Random(5)
+    bodies = ["\n".join(f"let {rng.choice('abc')}{k % 9} = call{rng.randrange(4)}({k % 5}, '{rng.choice('xy')}');" for k in range(rng.randrange(1, 30))) for _ in range(14)]
+    files = spark.createDataFrame([(i, "python" if i % 5 == 4 else "javascript", b) for i, b in enumerate([*bodies, bodies[0], "", "// c"])], "file_id bigint, language string, source string")
+    asked = spark.createDataFrame([(100 + i, "typescript", b + bodies[i + 1]) for i, b in enumerate(bodies[:6])] + [(200, "javascript", None), (201, "python", "x")], "file_id bigint, language string, source string")
+    docs, whole = search.documents(files), search.regions(asked)
+    stop = corpus.stoplist(search.postings(docs).select("representation", "hash", "doc_id").distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters")), 9, 7)
+    assert stop.count() > 0
+    want = rows(search.retrieve(whole, search.postings(docs, stop), docs))
+    regions = search.prints(asked, regional=True)
+    met = search.seen(regions.select("representation", F.explode("hashes").alias("h")).select("representation", search.unsigned("h").alias("hash")))
+    held = search.prints(files, only=met)
+    # no token leaves a worker, and of the documents nothing that no region has
+    assert not {"preserving", "normalized", "lines"} & set(held.columns)
+    assert held.select(F.sum(F.size("hashes"))).first()[0] < search.prints(files).select(F.sum(F.size("hashes"))).first()[0]
+    sizes = held.where("representation = 'preserving'").groupBy(language_family("language").alias("family")).agg(F.count("*").alias("total"))
+    flat = search.flat(held, met).withColumnRenamed("file_id", "doc_id").drop("region").join(stop, ["representation", "hash"], "left_anti")
+    assert want and rows(search.ranked(search.flat(regions, met).drop("first", "last"), flat, sizes).select("file_id", "region", "doc_id", "score", "matched", "common", "rare", "first", "last", "nth")) == want
+
+
 def test_archives(tmp_path, spark):
     zipped = io.BytesIO()
     with zipfile.ZipFile(zipped, "w", zipfile.ZIP_DEFLATED) as z:

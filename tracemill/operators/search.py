@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kernels as K
@@ -65,6 +66,94 @@ def documents(files: DataFrame, profile: Profile = SOURCE_SEARCH) -> DataFrame:
     return files.select("file_id", "language", "source").mapInPandas(run, schema)
 
 
+_REPRESENTATIONS = ("preserving", "normalized")
+_SEEN_BITS = 1 << 27
+
+
+def seen(prints: DataFrame):
+    """A table of bits of a fixed size, 16 MB, in which each hash of (representation, hash) has one, as a broadcast.
+
+    Only its words reach the driver, 2 million at most. It lets through all hashes that are in it and few others.
+    """
+    at = F.shiftright("hash", 6) + F.when(F.col("representation") == "normalized", _SEEN_BITS >> 1).otherwise(0)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = prints.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(_SEEN_BITS >> 6, dtype=np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return prints.sparkSession.sparkContext.broadcast(table)
+
+
+def _among(table: np.ndarray, representation: int, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> 6) + representation * (_SEEN_BITS >> 1)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def prints(files: DataFrame, regional: bool = False, only=None, profile: Profile = SOURCE_SEARCH, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """(file_id, language, shape, region, representation, hashes, first, last): the distinct hashes of files or of their regions with their places.
+
+    Hashes are 32 bits with the sign of an int. Those that a table of seen() surely lacks are left out.
+    """
+    schema = "file_id bigint, language string, shape string, region int, representation string, hashes array<int>, first array<int>, last array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def cuts(n: int) -> list[tuple[int, int]]:
+        return [(a, min(n, a + s.region)) for a in K.region_starts(n, s.region, s.stride)] if regional else [(0, n)]
+
+    def run(frames):
+        kernel = K.SearchPrints(profile)
+        for frame in frames:
+            for at in range(0, len(frame), 2 * _CHUNK):
+                part = frame.iloc[at : at + 2 * _CHUNK]
+                part = part[part["source"].notna()]
+                if not len(part):
+                    continue
+                out = []
+                for i, language, (shape, pieces, found) in zip(part["file_id"], part["language"], kernel(part["source"].tolist(), part["language"].tolist(), cuts)):
+                    for n in range(len(pieces)):
+                        for r, (hashes, first, last) in enumerate(found[n]):
+                            if only is not None:
+                                kept = _among(only.value, r, hashes)
+                                hashes, first, last = hashes[kept], first[kept], last[kept]
+                            out.append((i, language, shape, n, _REPRESENTATIONS[r], hashes.astype(np.uint32).view(np.int32), first.astype(np.int32), last.astype(np.int32)))
+                    if not pieces and not regional:
+                        none = np.zeros(0, dtype=np.int32)
+                        out += [(i, language, shape, 0, r, none, none, none) for r in _REPRESENTATIONS]
+                yield pd.DataFrame(out, columns=names)
+
+    return files.select("file_id", "language", "source").mapInPandas(run, schema)
+
+
+def unsigned(hash) -> Column:
+    return F.col(hash).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def flat(found: DataFrame, only) -> DataFrame:
+    """(file_id, region, family, representation, hash, first, last) of prints() whose hash may be in a table of seen()."""
+    schema = "file_id bigint, region int, language string, representation string, hash bigint, first int, last int"
+
+    def run(frames):
+        for frame in frames:
+            for r, name in enumerate(_REPRESENTATIONS):
+                part = frame[frame["representation"] == name]
+                if not len(part):
+                    continue
+                row = np.repeat(np.arange(len(part)), [len(x) for x in part["hashes"]])
+                columns = [np.concatenate([np.asarray(x) for x in part[c]]) for c in ("hashes", "first", "last")]
+                columns[0] = columns[0].astype(np.int64) & 0xFFFFFFFF
+                kept = _among(only.value, r, columns[0])
+                of = part[["file_id", "region", "language", "representation"]].iloc[row[kept]].reset_index(drop=True)
+                yield of.assign(hash=columns[0][kept], first=columns[1][kept], last=columns[2][kept])
+
+    rows = found.select("file_id", "region", "language", "representation", "hashes", "first", "last").mapInPandas(run, schema)
+    return rows.select("file_id", "region", language_family("language").alias("family"), "representation", "hash", "first", "last")
+
+
+def shape_frequency(found: DataFrame) -> DataFrame:
+    """(representation, hash, clusters): copies of one shape have equal hashes and count once."""
+    one = found.groupBy("shape", "representation").agg(F.first("hashes").alias("hashes")).select("representation", F.explode("hashes").alias("h"))
+    return one.groupBy("representation", "h").agg(F.count("*").alias("clusters")).select("representation", unsigned("h").alias("hash"), "clusters")
+
+
 def _exploded(df: DataFrame, *keys: str) -> DataFrame:
 
     def named(r: str):
@@ -90,12 +179,19 @@ def retrieve(query: DataFrame, index: DataFrame, docs: DataFrame, s: SearchSetti
     once = _exploded(query, "file_id", "region").groupBy("file_id", "region", "family", "representation", "hash").agg(F.min("position").alias("query_position"))
     sizes = docs.groupBy(language_family("language").alias("family")).agg(F.count("*").alias("total"))
     held = index.groupBy("representation", "hash", "family", "doc_id").agg(F.min("position").alias("first"), F.max("position").alias("last"))
-    df = held.groupBy("representation", "hash", "family").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "family")
+    return ranked(once, held, sizes, s)
+
+
+def ranked(once: DataFrame, held: DataFrame, sizes: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """The shortlist of each region from its hashes (file_id, region, family, representation, hash), those of the
+    documents (representation, hash, family, doc_id, first, last) and the documents of each family (family, total)."""
+    keys = ["representation", "hash", "family"]
     total = F.greatest("total", F.lit(1))
     common = F.col("df") / total >= s.common_df
     idf = F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0
-    weights = df.select("representation", "hash", "family", (F.when(common, s.common_weight).otherwise(1.0) * idf).alias("weight"), common.alias("common"))
-    met = once.join(weights, ["representation", "hash", "family"]).join(held, ["representation", "hash", "family"])
+    known = held.withColumn("df", F.count("*").over(Window.partitionBy(*keys))).join(F.broadcast(sizes), "family")
+    known = known.select(*keys, "doc_id", "first", "last", (F.when(common, s.common_weight).otherwise(1.0) * idf).alias("weight"), common.alias("common"))
+    met = once.join(known, keys)
     scored = met.groupBy("file_id", "region", "doc_id").agg(
         F.round(F.sum("weight"), 9).alias("score"),
         F.count("*").alias("matched"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from . import kernels as K
-from .constants import PIPELINE, SOURCE_SEARCH
+from .constants import PIPELINE
 from .functions import arrow as A
 from .functions import columns as X
 from .operators import corpus, history, license, provenance, search, similarity
@@ -493,16 +493,22 @@ def blob_containment(spark, folder):
 
 
 def _search(spark, folder):
-    """Arrivals searched in the corpus of blobs."""
+    """Arrivals searched in the corpus of blobs: arrivals, sources and the shortlists.
+
+    Of the blobs only hashes that a region has are kept; whatever is on the stoplist is left out before anything is moved.
+    """
     told = F.when(X.language("path") != "unknown", X.language("path"))
     asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), F.coalesce(_spelled("language"), told, F.lit("javascript")).alias("language"), "source", "path")
-    docs = materialise(search.documents(_sources(spark, folder), SOURCE_SEARCH))
-    # copies of one shape count once, or they would put their own hashes on the stoplist
-    shapes = search.postings(docs.withColumn("doc_id", X.shape_hash("preserving"))).select("representation", "hash", F.col("doc_id").alias("shape"))
-    frequency = shapes.distinct().groupBy("representation", "hash").agg(F.count("*").alias("clusters"))
-    index = search.postings(docs, corpus.stoplist(frequency))
-    regions = materialise(search.regions(asked, SOURCE_SEARCH))
-    return asked, regions, docs, search.retrieve(regions, index, docs)
+    sources = _sources(spark, folder)
+    regions = materialise(search.prints(asked, regional=True))
+    met = search.seen(regions.select("representation", F.explode("hashes").alias("h")).select("representation", search.unsigned("h").alias("hash")))
+    docs = materialise(search.prints(sources, only=met))
+    frequency = materialise(search.shape_frequency(docs))
+    kept = frequency.join(corpus.stoplist(frequency), ["representation", "hash"], "left_anti").select("representation", "hash")
+    told_apart = search.seen(kept)
+    held = search.flat(docs, told_apart).withColumnRenamed("file_id", "doc_id").join(kept, ["representation", "hash"], "left_semi")
+    sizes = docs.where("representation = 'preserving'").groupBy(X.language_family("language").alias("family")).agg(F.count("*").alias("total"))
+    return asked, sources, search.ranked(search.flat(regions, told_apart).drop("first", "last"), held.drop("region"), sizes)
 
 
 _SHORTLISTS = (
@@ -551,13 +557,17 @@ weights AS (
 @query(_SHORTLISTS + "SELECT file_id, region, doc_id, round(score, 6) AS score, matched, common, rare, nth FROM placed WHERE nth <= 20")
 def search_shortlists(spark, folder):
     """The twenty best candidates of every region of the arrivals."""
-    return _search(spark, folder)[3].select("file_id", "region", "doc_id", F.round("score", 6).alias("score"), "matched", "common", "rare", "nth")
+    return _search(spark, folder)[2].select("file_id", "region", "doc_id", F.round("score", 6).alias("score"), "matched", "common", "rare", "nth")
 
 
 @query()
 def search_findings(spark, folder):
     """Verified findings of the arrivals, folded per source and cut for the report."""
-    asked, regions, docs, shortlist = _search(spark, folder)
+    asked, sources, found = _search(spark, folder)
+    shortlist = materialise(found)
+    # only what is on a shortlist is lexed for the comparison
+    docs = materialise(search.documents(sources.join(shortlist.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_semi")))
+    regions = materialise(search.regions(asked.join(shortlist.select("file_id").distinct(), "file_id", "left_semi")))
     return search.report(search.best_per_source(search.verify(shortlist, regions, docs)), asked)
 
 
