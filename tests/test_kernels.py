@@ -115,3 +115,23 @@ def test_prints_of_many_sources_equal_those_of_one(parts, language):
                     for h, p in K.fingerprints(kinds[a:b], C.SOURCE_SEARCH):
                         want.setdefault(h, [p, p])[1] = p
                     assert {h: [f, e] for h, f, e in zip(*(c.tolist() for c in columns))} == want
+
+
+def test_many_pairs_are_compared_at_once():
+    rng = random.Random(8)
+    some = lambda n: bytes(rng.randrange(rng.choice((2, 9, 40))) for _ in range(n))
+    left = [some(rng.choice((0, 1, 63, 64, 65, 120))) for _ in range(300)]
+    right = [some(rng.choice((0, 7, 127, 127, 400))) for _ in range(300)]
+    right = [y[:50] + x[10:100] + y[50:] if i % 4 == 0 else y for i, (x, y) in enumerate(zip(left, right))]
+    runs, matched = K.common_many(left, right)
+    assert runs.tolist() == [K.longest_run(list(x), list(y))[0] for x, y in zip(left, right)]
+    assert matched.tolist() == [K.lcs_length(list(x), list(y)) for x, y in zip(left, right)]
+
+
+def test_every_normalised_kind_has_its_byte():
+    text = "async function $a(b, c = 1) { return `x` === '\\u1234' && b?.#d !== c ** 2 ... || c++ - --b; } /* z */ // y\n# q\nx := y // 2\n\"s\" @ é <= ~z >= [1.5] += 1 -= 2 *= 3 /= 4 => ^!%|&:"
+    for language in ("javascript", "typescript", "python", None):
+        prints = K.SearchPrints(C.SOURCE_SEARCH)
+        prints([text, ""], [language, language])
+        kinds = list(K.PLAIN)
+        assert [kinds[b] for b in prints.plain[0]] == K.lex(text, language, normalised=True)[0] and prints.plain[1] == b""

@@ -267,3 +267,22 @@ def test_streams(spark, tmp_path):
     assert chained.where("previous_hash is null").count() == 2
     timed = source().withColumn("at", F.timestamp_millis(F.col("ms") + 86_400_000))
     assert stream.drain(spark, stream.once(timed, "hit_id", "at"), "t3").count() == 8
+
+
+def test_the_report_equals_that_of_all_places_compared_as_spelled(spark):
+    rng = random.Random(12)
+    body = lambda k, n: "\n".join(rng.choice((f"const v{k}x{i} = call{k * i}(source{k}, '{i}');", f"if (a{i} > {i}) {{ b{k}.push(c{i}[{i}]); }}", f"for (const e{i} of list{k}) {{ total{k} += e{i} * {i}; }}")) for i in range(n))
+    texts = [body(k, 40) for k in range(24)]
+    rename = lambda t: t.replace("v", "w").replace("source", "origin").replace("call", "make")
+    docs = [(100 + k, "javascript", t) for k, t in enumerate(texts)] + [(200, "javascript", ""), (201, "python", texts[0])]
+    asked = [(k, "test/a.js" if k == 3 else f"src/{k}.js", "javascript", f"{body(60 + k, 8)}\n{(rename(t) if k % 2 else t)[: 400 + 90 * k]}\n// end\n{texts[k - 1][:300]}") for k, t in enumerate(texts[:14])]
+    asked += [(50 + k, f"lib/{k}.js", "javascript", body(90 + k, 25)) for k in range(12)] + [(90, "e.js", "javascript", "// nothing")]
+    files = spark.createDataFrame(asked, "file_id bigint, path string, language string, source string")
+    documents = spark.createDataFrame(docs, "file_id bigint, language string, source string")
+    whole, regions = search.documents(documents), search.regions(files)
+    shortlist = search.retrieve(regions, search.postings(whole), whole)
+    want = search.report(search.best_per_source(search.verify(shortlist, regions, whole)), files, 9).collect()
+    found = search.reported(shortlist, search.prints(files, regional=True, plain=True), search.prints(documents, plain=True), files, documents, 9)
+    assert {r.classification: r.rank for r in want} == {"strong_match": 2, "possible_common_pattern": 1} and found.collect() == want
+    # a place that moves has no spelled tokens
+    assert {t for _, t in search.outline(shortlist, search.prints(files, regional=True, plain=True), search.prints(documents, plain=True)).dtypes} == {"bigint", "int", "double"}

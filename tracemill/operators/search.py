@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import kernels as K
 from ..constants import SOURCE_SEARCH, Profile, SearchSettings
 from ..functions.columns import language_family
+from ..session import materialise, release
 
 _CHUNK = 128
 
@@ -88,12 +89,13 @@ def _among(table: np.ndarray, representation: int, hashes: np.ndarray) -> np.nda
     return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def prints(files: DataFrame, regional: bool = False, only=None, profile: Profile = SOURCE_SEARCH, s: SearchSettings = SearchSettings()) -> DataFrame:
+def prints(files: DataFrame, regional: bool = False, only=None, plain: bool = False, profile: Profile = SOURCE_SEARCH, s: SearchSettings = SearchSettings()) -> DataFrame:
     """(file_id, language, shape, region, representation, hashes, first, last): the distinct hashes of files or of their regions with their places.
 
-    Hashes are 32 bits with the sign of an int. Those that a table of seen() surely lacks are left out.
+    Hashes are 32 bits with the sign of an int. Those that a table of seen() surely lacks are left out. With `plain`, the
+    rows of spelled tokens also have the normalised tokens, a byte each.
     """
-    schema = "file_id bigint, language string, shape string, region int, representation string, hashes array<int>, first array<int>, last array<int>"
+    schema = "file_id bigint, language string, shape string, region int, representation string, hashes array<int>, first array<int>, last array<int>" + ", plain binary" * plain
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cuts(n: int) -> list[tuple[int, int]]:
@@ -107,17 +109,17 @@ def prints(files: DataFrame, regional: bool = False, only=None, profile: Profile
                 part = part[part["source"].notna()]
                 if not len(part):
                     continue
-                out = []
-                for i, language, (shape, pieces, found) in zip(part["file_id"], part["language"], kernel(part["source"].tolist(), part["language"].tolist(), cuts)):
+                out, told = [], kernel(part["source"].tolist(), part["language"].tolist(), cuts)
+                for i, language, (shape, pieces, found), tokens in zip(part["file_id"], part["language"], told, kernel.plain):
                     for n in range(len(pieces)):
                         for r, (hashes, first, last) in enumerate(found[n]):
                             if only is not None:
                                 kept = _among(only.value, r, hashes)
                                 hashes, first, last = hashes[kept], first[kept], last[kept]
-                            out.append((i, language, shape, n, _REPRESENTATIONS[r], hashes.astype(np.uint32).view(np.int32), first.astype(np.int32), last.astype(np.int32)))
+                            out.append((i, language, shape, n, _REPRESENTATIONS[r], hashes.astype(np.uint32).view(np.int32), first.astype(np.int32), last.astype(np.int32), *[None if r else tokens[slice(*pieces[n])]] * plain))
                     if not pieces and not regional:
                         none = np.zeros(0, dtype=np.int32)
-                        out += [(i, language, shape, 0, r, none, none, none) for r in _REPRESENTATIONS]
+                        out += [(i, language, shape, 0, r, none, none, none, *[b""] * plain) for r in _REPRESENTATIONS]
                 yield pd.DataFrame(out, columns=names)
 
     return files.select("file_id", "language", "source").mapInPandas(run, schema)
@@ -258,6 +260,97 @@ def verify(shortlist: DataFrame, query: DataFrame, docs: DataFrame, s: SearchSet
     return rows.repartition(parts, "file_id", "region", "doc_id").mapInPandas(run, schema)
 
 
+def outline(shortlist: DataFrame, regions: DataFrame, docs: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """Of every place of a shortlist that reaches the lesser class: (file_id, region, doc_id, nth, score, rare, common, matched, first, last, run, tokens, coverage).
+
+    regions and docs are prints() with `plain`: the three last hang on normalised tokens only, so a place moves a byte for a token. Which places are strong, verify_few() tells.
+    """
+    told = lambda df, *columns: df.where("representation = 'preserving'").select(*columns)
+    asked = shortlist.join(told(regions, "file_id", "region", F.col("plain").alias("q")), ["file_id", "region"])
+    both = asked.join(told(docs, F.col("file_id").alias("doc_id"), F.col("plain").alias("d")), "doc_id")
+    low, high = F.greatest(F.col("first") - s.padding, F.lit(0)), F.least(F.col("last") + SOURCE_SEARCH.k + s.padding, F.octet_length("d"))
+    keys = ["file_id", "region", "doc_id", "nth", "score", "rare", "common", "matched", "first", "last"]
+    schema = "file_id bigint, region int, doc_id bigint, nth int, score double, rare bigint, common bigint, matched bigint, first int, last int, run int, tokens int, coverage double"
+
+    def run(frames):
+        for frame in frames:
+            q, d = frame["q"].tolist(), frame["d"].tolist()
+            longest, tokens = K.common_many(q, d)
+            coverage = tokens / np.maximum(1, np.minimum([len(x) for x in q], [len(x) for x in d]))
+            kept = (longest >= s.possible_run) & (tokens >= s.possible_matched) & (coverage >= s.possible_coverage)
+            yield frame[keys].assign(run=longest, tokens=tokens, coverage=coverage)[kept]
+
+    return both.select(*keys, "q", F.substring("d", low + 1, high - low).alias("d")).mapInPandas(run, schema)
+
+
+_EVIDENCE = "file_id bigint, region int, doc_id bigint, score double, nth int, classification string, matched_tokens int, contiguous_tokens int, preserving_matched int, preserving_run int, smaller_coverage double, line_start int, line_end int, source_line_start int, source_line_end int"
+
+
+def folded(places: DataFrame, files: DataFrame, documents: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """best_per_source() of verify() for pairs with few places (file_id, doc_id, places) of outline(), those with `strong` told apart.
+
+    The sources of a pair meet once and are lexed there, so no tokens are moved. A place is compared as spelled only when the fold asks for its class.
+    """
+    pairs = places.join(files.select("file_id", F.col("language").alias("q_language"), F.col("source").alias("q")), "file_id")
+    pairs = pairs.join(documents.select(F.col("file_id").alias("doc_id"), F.col("language").alias("d_language"), F.col("source").alias("d")), "doc_id")
+    names = [c.split()[0] for c in _EVIDENCE.split(", ")]
+
+    def run(frames):
+        lexed: dict[tuple[str, int], tuple] = {}
+
+        def tokens(side: str, i: int, source: str, language: str | None) -> tuple:
+            if (side, i) not in lexed:
+                if len(lexed) >= 64:
+                    lexed.pop(next(iter(lexed)))
+                kept, lines = K.lex(source, language, lines=True)
+                lexed[side, i] = kept, K.normal_kinds(kept), lines
+            return lexed[side, i]
+
+        for frame in frames:
+            out = []
+            for f in frame.itertuples(index=False):
+                kept, plain, lines = tokens("q", f.file_id, f.q, f.q_language)
+                d_kept, d_plain, d_lines = tokens("d", f.doc_id, f.d, f.d_language)
+                starts, known = K.region_starts(len(kept), s.region, s.stride), {}
+
+                def evidence(r) -> tuple:
+                    if r["region"] not in known:
+                        a = starts[r["region"]]
+                        b, low, high = a + s.region, max(r["first"] - s.padding, 0), r["last"] + SOURCE_SEARCH.k + s.padding
+                        known[r["region"]] = judge(kept[a:b], plain[a:b], d_kept[low:high], d_plain[low:high], r["rare"], r["common"] / r["matched"], lines[a:b], d_lines[low:high], s)
+                    return known[r["region"]]
+
+                strong = lambda r: r["strong"] and evidence(r)[0] == "strong_match"
+                best = None
+                for r in sorted(f.places, key=lambda r: (r["region"], r["nth"])):
+                    if best is None or r["tokens"] > best["tokens"] or r["strong"] and not strong(best) and strong(r):
+                        best = r
+                e = evidence(best)
+                out.append((f.file_id, best["region"], f.doc_id, best["score"], best["nth"], *e))
+            yield pd.DataFrame(out, columns=names)
+
+    return pairs.mapInPandas(run, _EVIDENCE)
+
+
+def reported(shortlist: DataFrame, regions: DataFrame, docs: DataFrame, files: DataFrame, documents: DataFrame, possible: int = 25, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """report() of best_per_source() of verify() of a whole shortlist; files are (file_id, path, language, source), documents (file_id, language, source), regions and docs their prints().
+
+    All places are compared by normalised tokens. Only pairs with a place that may be strong, and the few others that are reported, are compared as spelled.
+    """
+    strong = (F.col("tokens") >= s.strong_matched) & (F.col("run") >= max(s.strong_run, min(s.contiguous_run, s.renamed_run))) & (F.col("coverage") >= s.strong_coverage) & (F.col("common") / F.col("matched") < s.strong_common_ratio)
+    place = F.struct("region", "nth", "score", "rare", "common", "matched", "first", "last", "run", "tokens", strong.alias("strong"))
+    pairs = materialise(outline(shortlist, regions, docs, s).groupBy("file_id", "doc_id").agg(F.array_sort(F.collect_list(place)).alias("places")))
+    release(pairs.sparkSession)
+    may = F.exists("places", lambda p: p["strong"])
+    told = materialise(folded(pairs.where(may), files, documents, s))
+    # all of one class: the first place with the most tokens is the best
+    best = F.aggregate(F.slice("places", 2, F.size("places")), F.element_at("places", 1), lambda kept, p: F.when(p["tokens"] > kept["tokens"], p).otherwise(kept))
+    weak = pairs.where(~may).select("file_id", "doc_id", best.alias("p")).select("file_id", "doc_id", F.lit("possible_common_pattern").alias("classification"), F.lit(1).alias("rank"), F.col("p.tokens").alias("matched_tokens"), F.col("p.run").alias("contiguous_tokens"), F.array("p").alias("places"))
+    # of these no more than are reported at all
+    shown = materialise(report(weak, files, possible).select("file_id", "doc_id", "places"))
+    return report(best_per_source(told.unionByName(folded(shown, files, documents, s))), files, possible)
+
+
 _CLASSES = {"insufficient_evidence": 0, "possible_common_pattern": 1, "strong_match": 2}
 
 

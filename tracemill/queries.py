@@ -13,7 +13,7 @@ from .constants import PIPELINE
 from .functions import arrow as A
 from .functions import columns as X
 from .operators import corpus, history, license, provenance, search, similarity
-from .session import materialise, table
+from .session import materialise, release, table
 from .streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,11 +49,13 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, language, source) of the code blobs, the language in its usual spelling; where it is null, the extension of a path tells it."""
     name = _spelled("language")
     code = table(spark, folder, "blobs").where(F.expr(IS_CODE) & F.col("source").isNotNull()).select(F.col("id").alias("file_id"), name.alias("language"), "source")
-    unnamed = code.where("language is null").select("file_id")
-    seen = table(spark, folder, "scan_files").select(F.col("blob_id").alias("file_id"), X.language("path").alias("told")).where("told <> 'unknown'").join(unnamed, "file_id", "left_semi")
+    unnamed = code.where("language is null")
+    seen = table(spark, folder, "scan_files").select(F.col("blob_id").alias("file_id"), X.language("path").alias("told")).where("told <> 'unknown'").join(unnamed.select("file_id"), "file_id", "left_semi")
     # of several paths the most frequent language counts, then the alphabetically first
     told = seen.groupBy("file_id", "told").agg(F.count("*").alias("n")).groupBy("file_id").agg(F.max_by("told", F.struct("n", -F.ascii("told"))).alias("told"))
-    return code.join(told, "file_id", "left").select("file_id", F.coalesce("language", "told", F.lit("javascript")).alias("language"), "source")
+    # sources whose language is named are not moved
+    named = unnamed.join(told, "file_id", "left").select("file_id", F.coalesce("told", F.lit("javascript")).alias("language"), "source")
+    return code.where("language is not null").unionByName(named)
 
 
 def _occurrences(spark: SparkSession, folder: str) -> DataFrame:
@@ -492,23 +494,23 @@ def blob_containment(spark, folder):
     return found.select("probe_id", "doc_id", "shared", F.round("containment", 6).alias("containment"), similarity.band(F.col("containment"), F.lit(False), F.lit("CLEAR")).alias("band"))
 
 
-def _search(spark, folder):
-    """Arrivals searched in the corpus of blobs: arrivals, sources and the shortlists.
+def _search(spark, folder, plain=False):
+    """Arrivals searched in the corpus of blobs: arrivals, sources, the shortlists, and the prints of both sides.
 
     Of the blobs only hashes that a region has are kept; whatever is on the stoplist is left out before anything is moved.
     """
     told = F.when(X.language("path") != "unknown", X.language("path"))
     asked = table(spark, folder, "arrivals").where("source is not null").select(F.col("arrival_id").alias("file_id"), F.coalesce(_spelled("language"), told, F.lit("javascript")).alias("language"), "source", "path")
     sources = _sources(spark, folder)
-    regions = materialise(search.prints(asked, regional=True))
+    regions = materialise(search.prints(asked, regional=True, plain=plain))
     met = search.seen(regions.select("representation", F.explode("hashes").alias("h")).select("representation", search.unsigned("h").alias("hash")))
-    docs = materialise(search.prints(sources, only=met))
+    docs = materialise(search.prints(sources, only=met, plain=plain))
     frequency = materialise(search.shape_frequency(docs))
     kept = frequency.join(corpus.stoplist(frequency), ["representation", "hash"], "left_anti").select("representation", "hash")
     told_apart = search.seen(kept)
     held = search.flat(docs, told_apart).withColumnRenamed("file_id", "doc_id").join(kept, ["representation", "hash"], "left_semi")
     sizes = docs.where("representation = 'preserving'").groupBy(X.language_family("language").alias("family")).agg(F.count("*").alias("total"))
-    return asked, sources, search.ranked(search.flat(regions, told_apart).drop("first", "last"), held.drop("region"), sizes)
+    return asked, sources, search.ranked(search.flat(regions, told_apart).drop("first", "last"), held.drop("region"), sizes), regions, docs
 
 
 _SHORTLISTS = (
@@ -563,12 +565,11 @@ def search_shortlists(spark, folder):
 @query()
 def search_findings(spark, folder):
     """Verified findings of the arrivals, folded per source and cut for the report."""
-    asked, sources, found = _search(spark, folder)
+    asked, sources, found, regions, docs = _search(spark, folder, plain=True)
     shortlist = materialise(found)
-    # only what is on a shortlist is lexed for the comparison
-    docs = materialise(search.documents(sources.join(shortlist.select(F.col("doc_id").alias("file_id")).distinct(), "file_id", "left_semi")))
-    regions = materialise(search.regions(asked.join(shortlist.select("file_id").distinct(), "file_id", "left_semi")))
-    return search.report(search.best_per_source(search.verify(shortlist, regions, docs)), asked)
+    del found
+    release(spark)
+    return search.reported(shortlist, regions, docs, asked, sources)
 
 
 # --- events and history
