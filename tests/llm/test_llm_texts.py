@@ -463,6 +463,40 @@ def test_containment_equals_brute_force(spark, least):
     assert handwritten.contained(handwritten.line_sets(df.where("false")), spark.createDataFrame(list(held)[:0], "blob_id bigint, project bigint"), least).count() == 0
 
 
+def _shuffled_records(spark, run):
+    """Records that the stages of run write for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        found = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_lines_of_one_blob_are_moved_once(spark):
+    texts = [(i, "\n".join(f"value_{i}_{k} = {k}" for k in range(200))) for i in range(60)]
+    sets = handwritten.line_sets(spark.createDataFrame(texts, "id bigint, source string"))
+    held = spark.createDataFrame([(i, i % 7) for i, _ in texts], "blob_id bigint, project bigint")
+    got = []
+    moved = _shuffled_records(spark, lambda: got.extend(handwritten.contained(sets, held).collect()))
+    assert {(r.blob_id, r.project, r.share) for r in got} == {(i, i % 7, 1.0) for i, _ in texts} and moved < 1.5 * 60 * 200
+
+
+def test_blobs_of_no_project_are_found_in_the_only_one_that_holds_their_lines(spark):
+    body = [f"value_{i} = compute_{i}(argument)" for i in range(10)]
+    texts = [(1, body), (2, [*body[:8], "x", "y"]), (3, [*body[:7], "x", "y", "w"]), (4, [*body, "z"])]
+    sets = handwritten.line_sets(spark.createDataFrame([(i, "\n".join(t)) for i, t in texts], "id bigint, source string"))
+    held = spark.createDataFrame([(1, 5), (1, 6), (4, 6)], "blob_id bigint, project bigint")
+    for only in (held, held.where("project = 5")):
+        got = {(r.blob_id, r.project): r.share for r in handwritten.contained(sets, only).collect()}
+        want = {(2, 5): 0.8, (1, 5): 1.0, (4, 5): 10 / 11} | ({(2, 6): 0.8, (1, 6): 1.0, (4, 6): 1.0} if only is held else {})
+        assert got == want
+
+
 def test_the_index_finds_vendored_copies_without_markers(spark, monkeypatch):
     monkeypatch.setattr(handwritten, "VENDOR_DIRECTORIES", "no-such-directory")
     monkeypatch.setattr(handwritten, "GENERATED_PATH", "^$")

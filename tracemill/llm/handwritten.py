@@ -15,10 +15,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 from .corpus import is_code
 
 LEAST_SHARE = 0.8
@@ -182,21 +182,30 @@ def package_name(c: Column) -> Column:
 def contained(sets: DataFrame, held: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     """(blob_id, project, share): the projects whose files hold a share of at least `least` of the lines of a blob (blob_id, lines).
 
-    held has (blob_id, project), which project's releases hold which blob. The index lists for each line the projects
-    that hold it. A blob that lacks more lines elsewhere than the share allows is dropped; for the others, as many of the
-    rarest lines are looked up as there must be one among them that the project holds. Shares are exact. Blobs
-    that a project holds itself have a share of 1 and are not looked up.
+    held has (blob_id, project), which project's releases hold which blob. Blobs that a project holds itself have a share of
+    1 and are not looked up. A line of one blob only is therefore never looked up and is dropped first; the index lists for
+    each other line the projects that hold it. A blob that lacks more lines in projects that do not hold the blob than the
+    share allows is dropped; for the others, as many of the rarest lines are looked up as there must be one among them that
+    the project holds. Shares are exact.
     """
+    spark = sets.sparkSession
     held = held.select("blob_id", "project").distinct()
     sets = sets.select("blob_id", "lines").where("size(lines) > 0")
+    of = Window.partitionBy("line")
     each = sets.select("blob_id", F.explode("lines").alias("line"))
-    index = materialise(each.join(held, "blob_id").groupBy("line", "project").agg(F.lit(1).alias("one")).select("line", "project"))
-    spread = index.groupBy("line").agg(F.count("*").alias("projects")).where("projects > 1")
-    shared = each.join(spread, "line").groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("projects", "line"))).alias("shared"))
-    n, lacking = F.size("lines"), F.size("lines") - F.size("shared")
-    # of the n - ceil(least n) + 1 rarest lines those that no second project holds come first
-    look = n - F.ceil(n * least - 1e-9) + 1 - lacking
-    able = materialise(sets.select("blob_id", "lines").join(shared, "blob_id").where(look > 0).select("blob_id", n.alias("n"), F.col("shared.line").alias("lines"), F.slice("shared.line", F.lit(1), look.cast("int")).alias("rare")))
+    met_twice = materialise(each.select("blob_id", "line", F.min("blob_id").over(of).alias("least"), F.max("blob_id").over(of).alias("most")).where("least < most").select("blob_id", "line"))
+    release(spark)
+    index = materialise(met_twice.join(held, "blob_id").select("line", "project").distinct())
+    release(spark)
+    spread = index.groupBy("line").agg(F.count("*").alias("projects"))
+    sizes = sets.select("blob_id", F.size("lines").alias("n")).join(held.groupBy("blob_id").agg(F.count("*").alias("holders")), "blob_id", "left")
+    # all holders of a blob hold its lines, so any further project of a line is another one
+    elsewhere = met_twice.join(spread, "line").join(sizes, "blob_id").where(F.col("projects") > F.coalesce("holders", F.lit(0)))
+    shared = elsewhere.groupBy("blob_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("projects", "line"))).alias("shared"))
+    # of the n - ceil(least n) + 1 rarest lines those that no other project holds come first
+    look = F.size("shared") - F.ceil(F.col("n") * least - 1e-9) + 1
+    able = materialise(shared.where(look > 0).select("blob_id", "n", F.col("shared.line").alias("lines"), F.slice("shared.line", F.lit(1), look.cast("int")).alias("rare")))
+    release(spark)
     met = able.select("blob_id", F.explode("rare").alias("line")).join(index, "line").select("blob_id", "project").distinct()
     new = met.join(held, ["blob_id", "project"], "left_anti")
     counted = new.join(able.select("blob_id", "n", F.explode("lines").alias("line")), "blob_id").join(index, ["line", "project"]).groupBy("blob_id", "project").agg((F.count("*") / F.first("n")).alias("share"))
